@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the ellipsoid.
 SEMI_MAJOR_M = 6378137.0
@@ -95,13 +96,17 @@ def direct_arrays(lon, lat, azimuth, distance, steps: int = 60):
         return out_lon, np.degrees(out_lat)
 
 
-@F.pandas_udf("s double, az double")
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+@F.pandas_udf(_doubles("s", "az"))
 def _inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     s, az = inverse_arrays(*(c.to_numpy(float) for c in (lon1, lat1, lon2, lat2)))
     return pd.DataFrame({"s": s, "az": az})
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(_doubles("lon", "lat"))
 def _direct(lon: pd.Series, lat: pd.Series, az: pd.Series, s: pd.Series) -> pd.DataFrame:
     x, y = direct_arrays(*(c.to_numpy(float) for c in (lon, lat, az, s)))
     return pd.DataFrame({"lon": x, "lat": y})

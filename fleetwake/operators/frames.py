@@ -14,6 +14,8 @@ may hold a third of all rows. The primitives here cut every track first:
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +28,33 @@ BLOCK_ROWS = 32_768
 _NULL_CHUNK = -(2**62)
 
 
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="fleetwake-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a step to the shared folder and go on from the written table.
+
+    Ends the lineage, survives lost executors and keeps plans that read a step twice from
+    computing it twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/fleetwake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_if_shuffled(df: DataFrame) -> DataFrame:
+    """``cut`` unless the plan is still a plain scan with projections and filters."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return cut(df) if any(node in plan for node in ("Window [", "Join ", "Aggregate [", "MapInPandas", "FlatMapGroups")) else df
+
+
 def keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -66,6 +95,8 @@ def scan(
     last, first = last or {}, first or {}
     kinds = (("g", lag), ("d", lead), ("t", total), ("l", last), ("f", first))
     tmp = {(k, out): f"__{k}_{out}" for k, group in kinds for out in group}
+    # The step is read twice below (rows and carry), so it must not be recomputed.
+    df = cut_if_shuffled(df)
     base = df.withColumns(
         {
             "__chunk": chunk_of(df, order[0], width),
