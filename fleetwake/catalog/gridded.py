@@ -310,11 +310,11 @@ def _(spark, sf):
     return t.select("pair_id", "obs", us("time").alias("t_us"), rnd("center_lon").alias("center_lon"), rnd("center_lat").alias("center_lat"))
 
 
-@query("pr04_pr05_pair_observations", f"""WITH {PAIRS} SELECT pair_id, t AS t_us, round(r, 3) AS r_m, round(dul*1e3, 6) + 0.0 AS dul_mm, round(dut*1e3, 6) + 0.0 AS dut_mm, round(-1.25*dul*dul*dul/r*1e12, 4) + 0.0 AS q_e12,
+@query("pr04_pr05_pair_observations", f"""WITH {PAIRS} SELECT pair_id, t AS t_us, round(r, 3) AS r_m, round(dul*1e3, 4) + 0.0 AS dul_mm, round(dut*1e3, 4) + 0.0 AS dut_mm, round(-1.25*dul*dul*dul/r*1e12, 4) + 0.0 AS q_e12,
  round(mx, 3) AS mid_x, CASE WHEN c1 = c2 THEN 'within_cluster' ELSE 'cross_cluster' END AS relation FROM pr""")
 def _(spark, sf):
     p = pairs.pair_observations(moving(spark, sf), spread=2)
-    return p.select("pair_id", us("time").alias("t_us"), rnd("r_m", 3).alias("r_m"), rnd(F.col("dul") * 1e3).alias("dul_mm"), rnd(F.col("dut") * 1e3).alias("dut_mm"),
+    return p.select("pair_id", us("time").alias("t_us"), rnd("r_m", 3).alias("r_m"), rnd(F.col("dul") * 1e3, 4).alias("dul_mm"), rnd(F.col("dut") * 1e3, 4).alias("dut_mm"),
                     rnd(F.col("q") * 1e12, 4).alias("q_e12"), rnd("mid_x", 3).alias("mid_x"), "relation")
 
 
@@ -347,22 +347,22 @@ def _(spark, sf):
     return pairs.with_populations(pairs.pair_observations(moving(spark, sf))).groupBy("array_id", "population").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("kn02_centred_velocity", f"WITH {MOVE} SELECT platform_id, cell*{H6} AS t_us, reason, round(u*1e3, 6) + 0.0 AS u_mm, round(v*1e3, 6) + 0.0 AS v_mm FROM mv")
+@query("kn02_centred_velocity", f"WITH {MOVE} SELECT platform_id, cell*{H6} AS t_us, reason, round(u*1e3, 4) + 0.0 AS u_mm, round(v*1e3, 4) + 0.0 AS v_mm FROM mv")
 def _(spark, sf):
-    return moving(spark, sf).select("platform_id", us("time").alias("t_us"), "reason", rnd(F.col("u") * 1e3).alias("u_mm"), rnd(F.col("v") * 1e3).alias("v_mm"))
+    return moving(spark, sf).select("platform_id", us("time").alias("t_us"), "reason", rnd(F.col("u") * 1e3, 4).alias("u_mm"), rnd(F.col("v") * 1e3, 4).alias("v_mm"))
 
 
 @query("kn03_exact_span_velocity", f"""WITH {MOVE}, i AS (SELECT *, t >= 1704672000000000 AND t <= 1706140800000000 AS inc FROM pl),
 b AS (SELECT platform_id, min(t) AS a, max(t) AS z FROM i WHERE inc GROUP BY 1),
 w AS (SELECT i.*, a, z, lag(inc) OVER p AS il, lead(inc) OVER p AS ir, lead(inc, 2) OVER p AS i2, lag(inc, 2) OVER p AS im, lag(x) OVER p AS xl, lead(x) OVER p AS xr, lead(x, 2) OVER p AS x2, lag(x, 2) OVER p AS xm FROM i JOIN b USING (platform_id) WINDOW p AS (PARTITION BY platform_id ORDER BY t)),
 k AS (SELECT *, CASE WHEN inc AND il AND ir THEN 'c' WHEN inc AND 2*(t - a) < 43200000000 AND i2 THEN 'f' WHEN inc AND 2*(z - t) < 43200000000 AND im THEN 'b' END AS s FROM w)
-SELECT platform_id, t AS t_us, s AS stencil, round(CASE s WHEN 'c' THEN CASE WHEN x IS NOT NULL THEN xr - xl END WHEN 'f' THEN CASE WHEN xr IS NOT NULL THEN x2 - x END WHEN 'b' THEN CASE WHEN xl IS NOT NULL THEN x - xm END END/43200*1e3, 6) + 0.0 AS u_mm FROM k""")
+SELECT platform_id, t AS t_us, s AS stencil, round(CASE s WHEN 'c' THEN CASE WHEN x IS NOT NULL THEN xr - xl END WHEN 'f' THEN CASE WHEN xr IS NOT NULL THEN x2 - x END WHEN 'b' THEN CASE WHEN xl IS NOT NULL THEN x - xm END END/43200*1e3, 4) + 0.0 AS u_mm FROM k""")
 def _(spark, sf):
     t = us("time")
     p = plane(spark, sf).withColumn("included", (t >= 1704672000000000) & (t <= 1706140800000000))
     v = kinematics.exact_span_velocity(p, cadence_s=21600, span_s=43200)
     inc = p.where("included").select("platform_id").distinct()
-    return v.join(inc, "platform_id", "left_semi").select("platform_id", us("time").alias("t_us"), "stencil", rnd(F.col("u") * 1e3).alias("u_mm"))
+    return v.join(inc, "platform_id", "left_semi").select("platform_id", us("time").alias("t_us"), "stencil", rnd(F.col("u") * 1e3, 4).alias("u_mm"))
 
 
 @query("kn01_stored_velocity_in_plane")
@@ -383,9 +383,9 @@ def _(spark, sf):
     return d.select("platform_id", us("time").alias("t_us"), "active_members", rnd("age_h").alias("age_h"))
 
 
-@query("kn05_velocity_observations", f"WITH {MOVE} SELECT platform_id, t AS t_us, round(sqrt(u*u + v*v)*1e3, 6) AS speed_mm FROM mv WHERE u IS NOT NULL")
+@query("kn05_velocity_observations", f"WITH {MOVE} SELECT platform_id, t AS t_us, round(sqrt(u*u + v*v)*1e3, 4) AS speed_mm FROM mv WHERE u IS NOT NULL")
 def _(spark, sf):
-    return kinematics.velocity_observations(moving(spark, sf)).select("platform_id", us("time").alias("t_us"), rnd(F.col("speed") * 1e3).alias("speed_mm"))
+    return kinematics.velocity_observations(moving(spark, sf)).select("platform_id", us("time").alias("t_us"), rnd(F.col("speed") * 1e3, 4).alias("speed_mm"))
 
 
 PTS = f"""{MOVE}, sz AS (SELECT cluster_id, count(DISTINCT platform_id) AS size FROM mv GROUP BY 1),

@@ -14,9 +14,16 @@ def geometric_edges(low: float, high: float, ratio: float, anchor: float) -> lis
     """anchor·ratio^k inside [low, high]; the anchor itself is exact."""
     if not (0 < low <= anchor <= high and ratio > 1):
         raise ValueError("need 0 < low <= anchor <= high and ratio > 1")
-    down = math.floor(math.log(anchor / low, ratio) + 1e-9)
-    up = math.floor(math.log(high / anchor, ratio) + 1e-9)
-    return [anchor if k == 0 else anchor * ratio**k for k in range(-down, up + 1)]
+    down = math.floor(math.log(anchor / low, ratio) + 1e-12)
+    up = math.floor(math.log(high / anchor, ratio) + 1e-12)
+    edges = [anchor if k == 0 else anchor * ratio**k for k in range(-down, up + 1)]
+    # An end that meets the configured bound takes its exact value.
+    for i, bound in ((0, low), (-1, high)):
+        if math.isclose(edges[i], bound, rel_tol=1e-12):
+            edges[i] = float(bound)
+    if len(edges) < 2:
+        raise ValueError("the range holds fewer than two edges")
+    return edges
 
 
 def linear_edges(low: float, high: float, width: float) -> list[float]:
