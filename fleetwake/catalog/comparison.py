@@ -167,7 +167,7 @@ def _(spark, sf):
 
 
 @query("cm11_overlap_association", f"""WITH {GAP}, e AS (SELECT platform_id, obs_index AS id, t0, t FROM sv WHERE v > {LIMIT}), n AS (SELECT platform_id, obs_index AS id, CASE WHEN obs_index % 2 = 0 THEN t0 ELSE t0 + 7200000000 END AS a, CASE WHEN obs_index % 2 = 0 THEN t ELSE t + 7200000000 END AS z FROM sv WHERE t0 IS NOT NULL AND obs_index % 4 < 2)
-SELECT e.id AS edge_id, coalesce(bool_or(n.a = e.t0 AND n.z = e.t), false) AS exact, round(coalesce(max(greatest(0, least(n.z, e.t) - greatest(n.a, e.t0))/1e6), 0), 3) AS overlap_s FROM e LEFT JOIN n ON n.platform_id = e.platform_id AND n.a <= e.t AND n.z >= e.t0 GROUP BY 1""")
+SELECT e.id AS edge_id, coalesce(bool_or(n.a = e.t0 AND n.z = e.t), false) AS exact, round(coalesce(max(CASE WHEN n.a IS NOT NULL THEN greatest(0, least(n.z, e.t) - greatest(n.a, e.t0))/1e6 END), 0), 3) AS overlap_s FROM e LEFT JOIN n ON n.platform_id = e.platform_id AND n.a <= e.t AND n.z >= e.t0 GROUP BY 1""")
 def _(spark, sf):
     e = _edges(spark, sf)
     k = frames.scan(fixes(spark, sf), "platform_id", ["time", "obs_index"], lag={"p": F.col("time")}).where("p IS NOT NULL AND obs_index % 4 < 2")

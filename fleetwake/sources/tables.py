@@ -9,12 +9,18 @@ from pyspark.sql import types as T
 from fleetwake.functions.geo import missing
 from fleetwake.operators import frames
 
-OBSERVATION_SCHEMA = T.StructType.fromDDL(
-    "platform_id string, obs_index bigint, time timestamp, lon double, lat double, sst double"
-)
-SIGNAL_SCHEMA = T.StructType.fromDDL("platform_id string, obs_index bigint, time timestamp, ttff double, strain double")
-DEPLOYMENT_SCHEMA = T.StructType.fromDDL(
-    "platform_id string, deployment_time string, window_start string, window_end string, provenance string, note string"
+
+
+def _schema(**columns) -> T.StructType:
+    """A schema without a running session (DDL text needs one)."""
+    return T.StructType([T.StructField(n, t) for n, t in columns.items()])
+
+
+_TEXT, _LONG, _REAL, _TIME = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampType()
+OBSERVATION_SCHEMA = _schema(platform_id=_TEXT, obs_index=_LONG, time=_TIME, lon=_REAL, lat=_REAL, sst=_REAL)
+SIGNAL_SCHEMA = _schema(platform_id=_TEXT, obs_index=_LONG, time=_TIME, ttff=_REAL, strain=_REAL)
+DEPLOYMENT_SCHEMA = _schema(
+    platform_id=_TEXT, deployment_time=_TEXT, window_start=_TEXT, window_end=_TEXT, provenance=_TEXT, note=_TEXT
 )
 # Fixed value: serial day number of 1970-01-01.
 UNIX_EPOCH_SERIAL_DAY = 719529
