@@ -155,8 +155,7 @@ def _(spark, sf):
 
 @query("qc06_surviving_runs", f"""WITH {HALVED},
 lv AS (SELECT *, count(*) OVER (PARTITION BY platform_id, time) > 1 OR human = 'uncertain' AS hard FROM rows0 WHERE segment_status = 'retained' AND human <> 'reject'),
-ru AS (SELECT *, CAST(sum(CASE WHEN hard OR ps IS NULL OR ps <> segment THEN 1 ELSE 0 END) OVER (PARTITION BY platform_id ORDER BY t, obs_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
- FROM (SELECT *, lag(segment) OVER (PARTITION BY platform_id ORDER BY t, obs_index) AS ps FROM lv))
+ru AS (SELECT *, segment*4294967296 + CAST(sum(CASE WHEN hard THEN 1 ELSE 0 END) OVER (PARTITION BY platform_id ORDER BY t, obs_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM lv)
 SELECT obs_index, run FROM ru WHERE NOT hard""")
 def _(spark, sf):
     return ops.surviving_runs(staged(spark, sf, _halved), F.lit(False)).select("obs_index", "run")
@@ -185,11 +184,11 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY platform_id, run ORDER BY t, ob
 
 
 @query("qc12_new_side_thinning", f"""WITH RECURSIVE {FINE}, {_NEW},
-f AS (SELECT platform_id, run, k, obs_index, t AS at, lon AS ax, lat AS ay, 0 AS streak, false AS trusted, false AS drop FROM rr WHERE k = 1
- UNION ALL SELECT r.platform_id, r.run, r.k, r.obs_index, CASE WHEN cut THEN at ELSE r.t END, CASE WHEN cut THEN ax ELSE r.lon END, CASE WHEN cut THEN ay ELSE r.lat END,
+f AS (SELECT platform_id, run, k, obs_index, t AS zt, lon AS ax, lat AS ay, 0 AS streak, false AS trusted, false AS drop FROM rr WHERE k = 1
+ UNION ALL SELECT r.platform_id, r.run, r.k, r.obs_index, CASE WHEN cut THEN zt ELSE r.t END, CASE WHEN cut THEN ax ELSE r.lon END, CASE WHEN cut THEN ay ELSE r.lat END,
    CASE WHEN cut THEN streak WHEN ok THEN streak + 1 ELSE 0 END, trusted OR (NOT cut AND ok AND streak + 1 >= 2), cut
- FROM (SELECT r.*, f.at, f.ax, f.ay, f.streak, f.trusted, f.trusted AND r.human <> 'keep' AND {hav('f.ax','f.ay','r.lon','r.lat')}/((r.t - f.at)/1e6) > 0.0035 AS cut,
-   (r.t - f.at)/1e6 BETWEEN 3600 AND 172801 AND {hav('f.ax','f.ay','r.lon','r.lat')}/((r.t - f.at)/1e6) <= 0.0035 AS ok
+ FROM (SELECT r.*, f.zt, f.ax, f.ay, f.streak, f.trusted, f.trusted AND r.human <> 'keep' AND {hav('f.ax','f.ay','r.lon','r.lat')}/((r.t - f.zt)/1e6) > 0.0035 AS cut,
+   (r.t - f.zt)/1e6 BETWEEN 3600 AND 172801 AND {hav('f.ax','f.ay','r.lon','r.lat')}/((r.t - f.zt)/1e6) <= 0.0035 AS ok
    FROM f JOIN rr r ON r.platform_id = f.platform_id AND r.run = f.run AND r.k = f.k + 1) r)
 SELECT obs_index FROM f WHERE drop""")
 def _(spark, sf):
@@ -197,10 +196,10 @@ def _(spark, sf):
 
 
 @query("qc13_anomaly_groups", f"""WITH {FINE}, {_NEW},
-e AS (SELECT *, (t - lag(t) OVER w)/1e6 AS dt, {hav('lag(lon) OVER w','lag(lat) OVER w','lon','lat')} AS d, lag(obs_index) OVER w AS po FROM rr WINDOW w AS (PARTITION BY platform_id, run ORDER BY k)),
-h AS (SELECT *, lag(k) OVER (PARTITION BY platform_id, run ORDER BY k) AS pk FROM e WHERE dt > 0 AND d/dt > 0.0035),
+e AS (SELECT *, (t - lag(t) OVER w)/1e6 AS ddt, {hav('lag(lon) OVER w','lag(lat) OVER w','lon','lat')} AS d, lag(obs_index) OVER w AS po FROM rr WINDOW w AS (PARTITION BY platform_id, run ORDER BY k)),
+h AS (SELECT *, lag(k) OVER (PARTITION BY platform_id, run ORDER BY k) AS pk FROM e WHERE ddt > 0 AND d/ddt > 0.0035),
 g AS (SELECT *, sum(CASE WHEN pk IS NULL OR k - pk > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY platform_id, run ORDER BY k) AS grp FROM h)
-SELECT platform_id, min(po) AS first_obs, max(obs_index) AS last_obs, count(*) AS n_edges, bool_or(NOT dt BETWEEN 3600 AND 172801) AS untimed, round(max(d/dt), 6) AS max_speed FROM g GROUP BY platform_id, run, grp""")
+SELECT platform_id, min(po) AS first_obs, max(obs_index) AS last_obs, count(*) AS n_edges, bool_or(NOT ddt BETWEEN 3600 AND 172801) AS untimed, round(max(d/ddt), 6) AS max_speed FROM g GROUP BY platform_id, run, grp""")
 def _(spark, sf):
     rows = _flags(staged(spark, sf)).where("segment_status <> 'pending'")
     g = ops.anomaly_groups(ops.final_edges(rows, F.lit(False), CFG), CFG)

@@ -273,9 +273,9 @@ def surviving_runs(rows: DataFrame, rejected: Column, statuses=("retained",)) ->
     twins = live.groupBy(KEY, "time").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     live = live.join(twins, [KEY, "time"], "left")
     live = live.withColumn("__hard", F.col("__c").isNotNull() | (F.col("human") == "uncertain")).drop("__c")
-    seen = frames.scan(live, KEY, TRACK, lag={"__s": F.col("segment")})
-    fresh = F.col("__hard") | F.col("__s").isNull() | (F.col("__s") != F.col("segment"))
-    return frames.islands(seen.withColumn("__f", fresh).drop("__s"), KEY, TRACK, F.col("__f"), out="run").where(~F.col("__hard")).drop("__f", "__hard")
+    # A run is named by its segment and the barriers before it; segments are ordered in time.
+    counted = frames.islands(live, KEY, TRACK, F.col("__hard"), out="__barriers").where(~F.col("__hard"))
+    return counted.withColumn("run", F.col("segment") * F.lit(2**32) + F.col("__barriers")).drop("__barriers", "__hard")
 
 
 def run_edges(runs: DataFrame) -> DataFrame:
@@ -398,13 +398,11 @@ def new_side_cures(rows: DataFrame, rejected: Column, cfg: PositionConfig = Posi
     near = frames.scan(e, g, TRACK, last={"__hit": F.when(F.col("__fast"), t)})
     inside = _flag(t - F.col("__hit") <= F.col("reach_us"))
     near = near.withColumn("__in", inside)
-    ahead = frames.scan(near, g, TRACK, lead={"__n1": F.col("__in")})
-    ahead = frames.scan(ahead, g, TRACK, lead={"__n2": F.col("__n1")})
-    ahead = frames.scan(ahead, g, TRACK, lead={"__n3": F.col("__n2")}, lag={"__tail": F.col("__in")})
-    member = F.col("__in") | _flag(F.col("__n1")) | _flag(F.col("__n2")) | _flag(F.col("__n3")) | _flag(F.col("__tail"))
-    body = ahead.withColumn("__m", member).where("__m")
-    starts = frames.scan(body, g, TRACK, lag={"__p": F.col("pos")})
-    named = frames.islands(starts.withColumn("__f", F.col("__p").isNull() | (F.col("pos") != F.col("__p") + 1)), g, TRACK, F.col("__f"), out="piece")
+    b = frames.blocks(near, g, TRACK, halo=5)
+    w = frames.block_window(g)
+    b = b.withColumn("__m", F.max("__in").over(w.rowsBetween(-1, 3)))
+    b = b.withColumn("__f", F.col("__m") & ~_flag(F.lag("__m").over(w)))
+    named = frames.islands(frames.core(b).where("__m"), g, TRACK, F.col("__f"), out="piece")
     sel = named.select(KEY, "run", "piece", "obs_index", t.alias("t_us"), "lon", "lat",
                        F.col("human").isin("keep", "uncertain").alias("protected"), "trust_us")
 
