@@ -463,3 +463,42 @@ def _(spark, sf):
 SELECT platform_id, t AS t_us, round((t - s)/3600e6, 6) AS age_h FROM gr JOIN w ON a = user_id // 20 WHERE t BETWEEN s AND e""")
 def _(spark, sf):
     return tables.array_view(plane(spark, sf)).select("platform_id", us("time").alias("t_us"), rnd("age_h").alias("age_h"))
+
+
+@query("io07_io08_product_store", f"""WITH {GRID} SELECT user_id // 20 AS array_id, platform_id, count(*) AS cells, count(lon) AS positions, any_value(user_id // 5) AS cluster_id FROM gr WHERE user_id // 20 < 5 GROUP BY 1, 2""")
+def _(spark, sf):
+    """Write two products under product and array folders, read one back with its platform table."""
+    import uuid
+
+    g = plane(spark, sf).select("array_id", "platform_id", "time", "lon", "lat", "source_gap_min")
+    both = frames.cut(g).withColumn("product", F.explode(F.array(F.lit("qc_360"), F.lit("raw_360"))))
+    path = f"{frames.shared_folder(spark).rstrip('/')}/products-{uuid.uuid4().hex}"
+    tables.write_products(both, path)
+    platforms = events(spark, sf).select("platform_id", F.floor(F.col("user_id") / 5).cast("long").alias("cluster_id")).distinct()
+    p = tables.load_product(spark.read.parquet(path), platforms, "qc_360").where("array_id < 5")
+    return p.groupBy(F.col("array_id").cast("long").alias("array_id"), "platform_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("lon").alias("positions"), F.max("cluster_id").alias("cluster_id"))
+
+
+@query("io12_table_sinks", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, 3 AS copies FROM events GROUP BY 1")
+def _(spark, sf):
+    """One result table through Parquet, ORC and CSV and back."""
+    import uuid
+
+    e = events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    e = frames.cut(e)
+    base = f"{frames.shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    back = None
+    for fmt in ("parquet", "orc", "csv"):
+        tables.write_table(e, f"{base}/{fmt}", fmt)
+        one = tables.read(spark, f"{base}/{fmt}", fmt, e.schema, **({"header": True} if fmt == "csv" else {}))
+        back = one if back is None else back.unionByName(one)
+    return back.groupBy("event_type", "n", rnd("total", 2).alias("total")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@query("qc23_adjacent_kinematics")
+def _(spark, sf):
+    from fleetwake.operators.quality import adjacent_kinematics
+
+    k = adjacent_kinematics(fixes(spark, sf))
+    return k.select("obs_index", rnd("dt_s").alias("dt_s"), rnd("distance_m", 3).alias("distance_m"), rnd("speed").alias("speed"), rnd(F.col("acceleration") * 1e6, 4).alias("acceleration_um_s2"))

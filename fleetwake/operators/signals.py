@@ -161,7 +161,7 @@ def event_counts(signals: DataFrame, cfg: TtffConfig = TtffConfig(), value="ttff
     timed = signals.where("time IS NOT NULL").withColumn("__v", geo.missing(value, -999.0))
     t = F.unix_micros("time")
     seen = timed.where("__v IS NOT NULL")
-    nominal = nominal_interval(seen, cad)
+    nominal = frames.cut(nominal_interval(seen, cad))
     record = (
         timed.groupBy(KEY).agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.count("__v").alias("n_values"))
         .join(nominal, KEY, "left").na.fill(0, ["nominal_us"])
@@ -297,7 +297,8 @@ def date_groups(drops: DataFrame, tolerance_us: int) -> DataFrame:
 def ttff_cessation(signals: DataFrame, cfg: TtffConfig = TtffConfig(), value="ttff") -> tuple[DataFrame, DataFrame]:
     """(per-platform detection, per-bin results with the consensus flag)."""
     dense, record = event_counts(signals, cfg, value)
-    drops = stable_drops(dense, cfg)
+    # One row per platform and value bin from here on; read five times below.
+    drops, record = frames.cut(stable_drops(dense, cfg)), frames.cut(record)
     groups = date_groups(drops, round(cfg.agreement_h * HOUR_US))
     stable = drops.where("status = 'stable_drop'")
     members = stable.join(groups, KEY).where(F.col("drop_us").between(F.col("left_us"), F.col("right_us")))
