@@ -16,17 +16,17 @@ def _fix() -> Column:
     return F.struct("time", "lon", "lat", geo.position_valid("lon", "lat").alias("ok"), "obs_index")
 
 
-def with_previous(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def with_previous(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     """Previous row as struct ``prev`` (time, lon, lat, ok, obs_index) and ``dt_s`` to it."""
     out = frames.scan(df, key, order, width=width, lag={"prev": _fix()})
     return out.withColumn("dt_s", geo.seconds_between("prev.time", "time"))
 
 
-def with_neighbours(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def with_neighbours(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     return frames.scan(df, key, order, width=width, lag={"prev": _fix()}, lead={"next": _fix()})
 
 
-def consecutive_speed(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def consecutive_speed(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     """Haversine speed on the later row of two adjacent valid rows; nothing is bridged."""
     out = with_previous(df, key, order, width=width)
     usable = geo.position_valid("lon", "lat") & F.col("prev.ok") & (F.col("dt_s") > 0)
@@ -42,7 +42,7 @@ def time_flags(
     nominal_s: float = 300.0,
     tolerance_s: float = 1.0,
     large_gap_s: float = 1800.0,
-    width: int = frames.WEEK_US,
+    width: int = frames.CHUNK_US,
 ) -> DataFrame:
     """Invalid, duplicate, off-cadence and large-gap flags; the later row carries an interval."""
     copies = df.where("time IS NOT NULL").groupBy(*frames.keys(key), "time").agg(F.count(F.lit(1)).alias("copies"))
@@ -72,14 +72,14 @@ def edge_metrics(edges: DataFrame, fixes: DataFrame) -> DataFrame:
     ).withColumn("speed", geo.speed_over("distance_m", "dt_s"))
 
 
-def edge_velocity(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def edge_velocity(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     """East and north velocity of the edge that ends at each row."""
     out = with_previous(df, key, order, width=width)
     east, north = geo.velocity_between("prev.lon", "prev.lat", "lon", "lat", "dt_s")
     return out.withColumn("v_east", east).withColumn("v_north", north)
 
 
-def vertex_acceleration(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def vertex_acceleration(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     """|v_right - v_left| over the time between the two edge midpoints."""
     out = with_neighbours(df, key, order, width=width)
     dt_l, dt_r = geo.seconds_between("prev.time", "time"), geo.seconds_between("time", "next.time")
@@ -91,7 +91,7 @@ def vertex_acceleration(df: DataFrame, key=KEY, order=TRACK, *, width: int = fra
     return out.withColumn("acceleration", F.when(half > 0, size / half)).drop("el", "nl", "er", "nr")
 
 
-def interpolation_residual(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def interpolation_residual(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     out = with_neighbours(df, key, order, width=width)
     a, b, c = F.unix_micros("prev.time"), F.unix_micros("time"), F.unix_micros("next.time")
     f = F.when((a < b) & (b < c), (b - a) / (c - a))
@@ -101,14 +101,14 @@ def interpolation_residual(df: DataFrame, key=KEY, order=TRACK, *, width: int =
     )
 
 
-def turning_angles(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def turning_angles(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     out = with_neighbours(df, key, order, width=width)
     return out.withColumn(
         "turn_deg", geo.turning_angle(("prev.lon", "prev.lat"), ("lon", "lat"), ("next.lon", "next.lat"))
     )
 
 
-def unwrap_longitude(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.WEEK_US) -> DataFrame:
+def unwrap_longitude(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames.CHUNK_US) -> DataFrame:
     """Continuous longitude: the first value plus the running sum of wrapped steps."""
     lagged = frames.scan(df, key, order, width=width, lag={"__p": F.col("lon")})
     step = F.col("lon") - F.col("__p")
@@ -189,7 +189,7 @@ def speed_warnings(speed, high_m_s: float | None, zero_m_s: float | None) -> tup
 
 
 def split_paths(
-    df: DataFrame, key=KEY, order=TRACK, *, max_step: float = 180.0, width: int = frames.WEEK_US
+    df: DataFrame, key=KEY, order=TRACK, *, max_step: float = 180.0, width: int = frames.CHUNK_US
 ) -> DataFrame:
     """Contiguous pieces of finite points without a jump across the date line, as long rows.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY_US = 86_400_000_000
-WEEK_US = 7 * DAY_US
+CHUNK_US = DAY_US  # 288 rows at a fix every five minutes
 BLOCK_ROWS = 32_768
 _NULL_CHUNK = -(2**62)
 
@@ -75,7 +75,7 @@ def scan(
     key,
     order,
     *,
-    width: int = WEEK_US,
+    width: int = CHUNK_US,
     lag: dict | None = None,
     lead: dict | None = None,
     total: dict | None = None,
@@ -165,21 +165,21 @@ def scan(
     return joined.select(*kept, *[c.alias(o) for o, c in out.items()])
 
 
-def number(df: DataFrame, key, order, *, width: int = WEEK_US, out: str = "pos") -> DataFrame:
+def number(df: DataFrame, key, order, *, width: int = CHUNK_US, out: str = "pos") -> DataFrame:
     """Zero-based position of each row along its key."""
     return scan(df, key, order, width=width, total={out: F.lit(1).cast("long")}).withColumn(
         out, F.col(out) - 1
     )
 
 
-def islands(df: DataFrame, key, order, starts: Column, *, width: int = WEEK_US, out: str = "island"):
+def islands(df: DataFrame, key, order, starts: Column, *, width: int = CHUNK_US, out: str = "island"):
     """Number the runs that begin where ``starts`` holds (0 before the first start)."""
     flag = F.coalesce(starts, F.lit(False)).cast("long")
     return scan(df, key, order, width=width, total={out: flag})
 
 
 def blocks(
-    df: DataFrame, key, order, *, halo: int, width: int = WEEK_US, size: int = BLOCK_ROWS
+    df: DataFrame, key, order, *, halo: int, width: int = CHUNK_US, size: int = BLOCK_ROWS
 ) -> DataFrame:
     """Rows cut into blocks of ``size`` with ``halo`` neighbour rows copied into each block.
 

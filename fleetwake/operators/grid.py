@@ -38,7 +38,7 @@ def common_grid(fixes: DataFrame, cadence_min: float) -> DataFrame:
         "cell", F.timestamp_micros(F.col("cell") * step).alias("time"))
 
 
-def brackets(fixes: DataFrame, cells: DataFrame, columns: list[str], key=KEY, *, width: int = frames.WEEK_US) -> DataFrame:
+def brackets(fixes: DataFrame, cells: DataFrame, columns: list[str], key=KEY, *, width: int = frames.CHUNK_US) -> DataFrame:
     """Nearest fix at or before (``p``) and after (``n``) every cell: one union and one ordered pass, no range join."""
     key = frames.keys(key)
     extra = [c for c in cells.columns if c not in key + ["time"]]

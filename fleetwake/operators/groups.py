@@ -25,7 +25,7 @@ class ClusterRule:
 def start_arrays(starts: DataFrame, max_gap_h: float) -> DataFrame:
     """Array number by chronological start; a gap above the limit opens a new array.
 
-    The order is global, so it runs through the chunked scan (one row per platform, chunks of a week).
+    The order is global, so it runs through the chunked scan (one row per platform, chunks of a day).
     """
     s = starts.withColumn("__all", F.lit(0))
     order = ["start_time", KEY]

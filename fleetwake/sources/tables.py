@@ -198,7 +198,7 @@ def write_products(grid: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def accepted_tracks(
-    qc: DataFrame, *, index="obs_index", status="final_status", valid="final_valid", width: int = frames.WEEK_US
+    qc: DataFrame, *, index="obs_index", status="final_status", valid="final_valid", width: int = frames.CHUNK_US
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, native, violations) of a QC table.
 
