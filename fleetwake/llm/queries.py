@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import mixing, patterns
+from fleetwake.llm import mixing, patterns, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         F.col("platform_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         joined_sha256("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op3_min_cost_resharding")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    # The old layout keeps each provenance in one shard, so its sizes are far from even.
+    old = F.pmod(F.crc32(F.coalesce(F.col("provenance"), F.lit("")).cast("binary")), F.lit(16)).cast("int")
+    d = sharding.plan(deployments(spark, sf), old=old, n_old=16, n_new=16)
+    return d.select(
+        F.col("platform_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
