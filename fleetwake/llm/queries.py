@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import mixing, patterns, sharding
+from fleetwake.llm import language, mixing, patterns, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,41 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         F.col("platform_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )
+
+
+def reviews(spark: SparkSession, sf: str, label: str, good: int) -> DataFrame:
+    """A label as a review decision: ``good`` keeps the record, the other value rejects it."""
+    return spark.read.parquet(f"{sf}/labels.parquet").where(F.col(label).isNotNull()).select(
+        F.col("doc_id").alias("platform_id"), F.when(F.col(label) == good, "keep").otherwise("reject").alias("decision")
+    )
+
+
+def remainder(modulus: int) -> F.Column:
+    return F.crc32(F.col("platform_id").cast("string").cast("binary")) % modulus
+
+
+@query("op6_hashed_ngram_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    records = deployments(spark, sf)
+    model = quality.fit(records, reviews(spark, sf, "quality", 1))
+    return quality.score(records, model).withColumnRenamed("platform_id", "doc_id")
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query("op8_whole_token_counts")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        definition = f.read()
+    return tokens.count_tokens(deployments(spark, sf), definition).withColumnRenamed("platform_id", "doc_id")
+
+
+@query("op10_compression_language")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    records = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("platform_id"), F.col("text").alias("note"), "lang")
+    known = language.fit(records.where(remainder(4) != 2))
+    d = language.classify(records.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False))), known, keep=("held_out",))
+    return d.select(F.col("platform_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
