@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import language, mixing, patterns, quality, sharding, tokens
+from fleetwake.llm import language, mixing, near, patterns, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     known = language.fit(records.where(remainder(4) != 2))
     d = language.classify(records.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False))), known, keep=("held_out",))
     return d.select(F.col("platform_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op9_minhash_near_duplicates")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(deployments(spark, sf), shingle=4).withColumnRenamed("platform_id", "doc_id")
