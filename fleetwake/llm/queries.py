@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import language, mixing, near, patterns, quality, sharding, tokens
+from fleetwake.llm import language, mixing, near, patterns, quality, repeats, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_minhash_near_duplicates")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(deployments(spark, sf), shingle=4).withColumnRenamed("platform_id", "doc_id")
+
+
+@query("op5_doubling_substring_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(deployments(spark, sf)).withColumnRenamed("platform_id", "doc_id")
