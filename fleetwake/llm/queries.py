@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import language, mixing, near, patterns, quality, repeats, sharding, tokens
+from fleetwake.llm import language, mixing, near, patterns, privacy, quality, repeats, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,23 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_doubling_substring_dedup")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(deployments(spark, sf)).withColumnRenamed("platform_id", "doc_id")
+
+
+def spelled(spans) -> F.Column:
+    names = F.array(*[F.lit(k) for k in privacy.KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(number: int):
+    return lambda s: s["kind"] == number
+
+
+@query("op1_weak_supervision_pii")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    d = privacy.private_spans(deployments(spark, sf))
+    base = F.filter("spans", lambda s: s["strict"])
+    return d.select(
+        F.col("platform_id").alias("doc_id"),
+        *[F.size(F.filter(base, of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(privacy.KINDS)],
+        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
+    )
