@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import language, mixing, near, patterns, privacy, quality, repeats, sharding, tokens
+from fleetwake.llm import language, mixing, near, patterns, privacy, quality, repeats, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         *[F.size(F.filter(base, of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(privacy.KINDS)],
         F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
     )
+
+
+@query("op2_lexicon_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    records = deployments(spark, sf)
+    lexicon = toxicity.fit(records, reviews(spark, sf, "toxic", 0).where(~held_out))
+    d = toxicity.score(records.withColumn("held_out", held_out), lexicon, keep=("held_out",))
+    return d.select(F.col("platform_id").alias("doc_id"), "held_out", "score", "predicted")
