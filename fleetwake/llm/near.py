@@ -17,6 +17,8 @@ COORDINATES, EACH, MATCHES = 40, 3, 4
 _FACTORS = words.mix(np.arange(1, COORDINATES * EACH + 1, dtype=np.uint64)) | np.uint64(1)
 #: Members of a candidate cluster that one task compares with each other.
 BLOCK = 2048
+#: Keys of dropped records that are broadcast at most (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(column: pa.Array, length: int) -> list[np.ndarray]:
@@ -155,6 +157,29 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
     return m.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def _resolve(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``k, h, t`` → ``k, h, n, component_id, kept`` for every row; h is the hash of the text."""
+    signed = shared.cut(_signed(rows, shingle))
+    named = signed.where("name IS NOT NULL")
+    classes = named.groupBy("name").agg(F.min_by("coordinates", F.struct("k", "h")).alias("coordinates"), F.min(F.struct("k", "h")).alias("one"))
+    classes = shared.cut(classes)
+    clusters = components(candidates(classes))
+    wanted = clusters.join(classes.select(F.col("name").alias("node"), "one"), "node").select(
+        F.col("component").alias("cluster"), F.col("node").alias("name"), F.col("one.k").alias("k"), F.col("one.h").alias("h")
+    )
+    # One text of each candidate class; the hash build is on the small side, so texts are not sorted.
+    same = rows["k"].eqNullSafe(wanted["k"]) & (rows["h"] == wanted["h"])
+    found = rows.join(wanted.hint("shuffle_hash"), same).select("cluster", "name", "t").dropDuplicates(["name"])
+    links = _confirm(shared.cut(_sets(found, shingle)), percent)
+    reached = shared.cut(components(links).withColumnRenamed("node", "name"))
+
+    d = signed.select("k", "h", "n", "name").join(reached, "name", "left").select("k", "h", "n", F.coalesce("component", "name").alias("component"))
+    d = shared.cut(d)
+    ids = d.where("component IS NOT NULL").groupBy("component").agg(F.min("k").alias("component_id"))
+    d = d.join(ids, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("k")).otherwise(F.col("component_id")))
+    return d.select("k", "h", "n", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def near_duplicates(deployments: DataFrame, *, key: str = "platform_id", note: str = "note", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each record: ``key, n_shingles, component_id, kept``.
 
@@ -175,22 +200,27 @@ def near_duplicates(deployments: DataFrame, *, key: str = "platform_id", note: s
     kept. An empty table gives an empty table. Other columns are ignored.
     """
     rows = deployments.select(F.col(key).alias("k"), F.xxhash64(note).alias("h"), F.col(note).alias("t"))
-    signed = shared.cut(_signed(rows, shingle))
-    named = signed.where("name IS NOT NULL")
-    classes = named.groupBy("name").agg(F.min_by("coordinates", F.struct("k", "h")).alias("coordinates"), F.min(F.struct("k", "h")).alias("one"))
-    classes = shared.cut(classes)
-    clusters = components(candidates(classes))
-    wanted = clusters.join(classes.select(F.col("name").alias("node"), "one"), "node").select(
-        F.col("component").alias("cluster"), F.col("node").alias("name"), F.col("one.k").alias("k"), F.col("one.h").alias("h")
-    )
-    # One text of each candidate class; the hash build is on the small side, so texts are not sorted.
-    same = rows["k"].eqNullSafe(wanted["k"]) & (rows["h"] == wanted["h"])
-    found = rows.join(wanted.hint("shuffle_hash"), same).select("cluster", "name", "t").dropDuplicates(["name"])
-    links = _confirm(shared.cut(_sets(found, shingle)), percent)
-    reached = shared.cut(components(links).withColumnRenamed("node", "name"))
+    d = _resolve(rows, shingle, percent)
+    return d.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
-    d = signed.select("k", "n", "name").join(reached, "name", "left").select("k", "n", F.coalesce("component", "name").alias("component"))
-    d = shared.cut(d)
-    ids = d.where("component IS NOT NULL").groupBy("component").agg(F.min("k").alias("component_id"))
-    d = d.join(ids, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("k")).otherwise(F.col("component_id")))
-    return d.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
+
+def deduplicate(deployments: DataFrame, *, key: str = "platform_id", note: str = "note", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The records that :func:`near_duplicates` keeps, with all their columns; of repeated records one stays.
+
+    The records that go are few columns of a table; up to ``BROADCAST_ROWS`` of them are broadcast,
+    more are joined by a shuffle.
+    """
+    d = shared.cut(_resolve(deployments.select(F.col(key).alias("k"), F.xxhash64(note).alias("h"), F.col(note).alias("t")), shingle, percent))
+    gone = d.where("NOT kept").select("k", "h").distinct()
+    again = d.where("kept").groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "h")
+
+    def match(df, small):
+        small = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("shuffle_hash")
+        return small, df[key].eqNullSafe(small["k"]) & (F.xxhash64(df[note]) == small["h"])
+
+    small, same = match(deployments, gone)
+    left = deployments.join(small, same, "left_anti")
+    if again.isEmpty():
+        return left
+    small, same = match(left, again)
+    return left.join(small, same, "left_anti").unionByName(left.join(small, same, "left_semi").dropDuplicates([key, note]))

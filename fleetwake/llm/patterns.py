@@ -94,6 +94,7 @@ def search(
     review_note: str = "note",
     window: int = 10,
     block_bytes: int = 8 << 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each deployment record: ``key``, ``n_words``, ``n_hit``, ``items``.
 
@@ -106,13 +107,13 @@ def search(
     second and later block takes another pass over the notes, from a written table. Notes never
     meet, so a hot source or a long text costs no more than its own length. Null or empty notes
     have no words; a null event id is left out of ``items`` but its windows still hit. Repeated
-    records give repeated rows; other columns are ignored.
+    records give repeated rows; ``keep`` names columns to carry along, others are ignored.
     """
-    schema = f"k {deployments.schema[key].dataType.simpleString()}, t binary, n_words long, n_hit long, hits array<long>, items array<string>"
     df = deployments.select(
         F.col(key).alias("k"), F.col(note).cast("binary").alias("t"), F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"),
+        F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
+    schema = df.schema
     sc = deployments.sparkSession.sparkContext
     blocks = _blocks(reviews, event, review_note, block_bytes)
     now, after, passes = next(blocks, []), next(blocks, None), 0
@@ -124,7 +125,7 @@ def search(
         if after is None:
             break
         now, after = after, next(blocks, None)
-    return df.select(F.col("k").alias(key), "n_words", "n_hit", "items")
+    return df.select(F.col("k").alias(key), "n_words", "n_hit", "items", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def _scanner(block, window: int, passes: int, last: bool):
@@ -154,8 +155,8 @@ def _scanner(block, window: int, passes: int, last: bool):
             text = pa.nulls(len(texts), pa.binary()) if last else batch.column(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["k", "t", "n_words", "n_hit", "hits", "items"],
+                 pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *batch.columns[6:]],
+                names=batch.schema.names,
             )
 
     return run
