@@ -31,7 +31,11 @@ def _delta_sigma(big_b, sin_s, cos_s, cos_2m):
 
 
 def inverse_arrays(lon1, lat1, lon2, lat2, steps: int = 60):
-    """Distance in metres and forward azimuth in degrees; NaN where the series does not settle."""
+    """Distance in metres and forward azimuth in degrees.
+
+    Longitude difference on the auxiliary sphere by fixed-point steps; near the antipode, where
+    they do not settle, the azimuth is bisected instead.
+    """
     with np.errstate(all="ignore"):
         span = np.radians((np.asarray(lon2, float) - lon1 + 180.0) % 360.0 - 180.0)
         u1 = np.arctan((1 - FLATTENING) * np.tan(np.radians(np.asarray(lat1, float))))
@@ -60,7 +64,55 @@ def inverse_arrays(lon1, lat1, lon2, lat2, steps: int = 60):
         distance = SEMI_MINOR_M * big_a * (sigma - _delta_sigma(big_b, sin_s, cos_s, cos_2m))
         azimuth = np.degrees(np.arctan2(east, north))
         bad = (moved > 1e-11) | (np.abs(lam) > np.pi)
-        return np.where(bad, np.nan, distance), np.where(bad, np.nan, azimuth)
+        if np.any(bad):
+            distance, azimuth = np.array(distance, float, ndmin=1), np.array(azimuth, float, ndmin=1)
+            at = np.atleast_1d(bad)
+            pick = [np.broadcast_to(x, bad.shape).reshape(at.shape)[at] for x in (span, u1, u2)]
+            distance[at], azimuth[at] = _bisected(*pick)
+            distance, azimuth = distance.reshape(bad.shape), azimuth.reshape(bad.shape)
+        return distance, azimuth
+
+
+def _bisected(span, u1, u2, steps: int = 80):
+    """Distance and forward azimuth by bisection of the azimuth, for any pair of points.
+
+    Points are turned so that the start is the southern one of the larger reduced latitude and the
+    longitude grows; then the longitude at which a geodesic reaches the other latitude grows with
+    its azimuth from 0 to half a turn.
+    """
+    east = np.where(span < 0, -1.0, 1.0)
+    swapped = np.abs(u1) < np.abs(u2)
+    b1, b2 = np.where(swapped, u2, u1), np.where(swapped, u1, u2)
+    flip = np.where(b1 > 0, -1.0, 1.0)
+    b1, b2 = np.minimum(flip * b1, -1e-18), flip * b2
+    wanted = np.abs(span)
+
+    def reach(alpha):
+        sa, ca = np.sin(alpha), np.cos(alpha)
+        s0 = sa * np.cos(b1)
+        s2 = np.clip(s0 / np.cos(b2), -1.0, 1.0)
+        c2 = np.sqrt(np.maximum(0.0, (ca * np.cos(b1)) ** 2 + (np.cos(b2) ** 2 - np.cos(b1) ** 2))) / np.cos(b2)
+        g1, g2 = np.arctan2(np.sin(b1), ca * np.cos(b1)), np.arctan2(np.sin(b2), c2 * np.cos(b2))
+        w1, w2 = np.arctan2(s0 * np.sin(g1), np.cos(g1)), np.arctan2(s0 * np.sin(g2), np.cos(g2))
+        sigma, cos2 = g2 - g1, 1 - s0**2
+        c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+        cos_2m = np.cos(g1 + g2)
+        way = sigma + c * np.sin(sigma) * (cos_2m + c * np.cos(sigma) * (2 * cos_2m**2 - 1))
+        return (w2 - w1) - (1 - c) * FLATTENING * s0 * way, sigma, cos2, cos_2m, s2, c2
+
+    low, high = np.zeros(wanted.shape), np.full(wanted.shape, np.pi)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        short = reach(middle)[0] < wanted
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    alpha = (low + high) / 2
+    _, sigma, cos2, cos_2m, s2, c2 = reach(alpha)
+    big_a, big_b = _series(cos2)
+    distance = SEMI_MINOR_M * big_a * (sigma - _delta_sigma(big_b, np.sin(sigma), np.cos(sigma), cos_2m))
+    # Back to the given points: swapped ends run the other way, mirrored ones north for south.
+    sin_1, cos_1 = np.where(swapped, s2, np.sin(alpha)), np.where(swapped, c2, np.cos(alpha))
+    turn = np.where(swapped, -1.0, 1.0)
+    return distance, np.degrees(np.arctan2(sin_1 * east, turn * cos_1 * flip))
 
 
 def direct_arrays(lon, lat, azimuth, distance, steps: int = 60):

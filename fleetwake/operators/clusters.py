@@ -102,7 +102,7 @@ def hull_area(points: DataFrame, group=GROUP) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in g) + ", n long, hull_m2 double"
-    lot = F.pmod(F.xxhash64(*g), F.lit(256))
+    lot = F.floor(F.unix_micros("time") / F.lit(frames.CHUNK_US // 4))
     areas = points.select(*g, "x_m", "y_m").withColumn("__lot", lot).groupBy(*group, "__lot").applyInPandas(hull, schema)
     areas = frames.cut(areas)
     first = areas.where("hull_m2 IS NOT NULL").groupBy(*group).agg(F.min_by("hull_m2", "time").alias("__f"))

@@ -26,12 +26,19 @@ DAY_US = 86_400_000_000
 CHUNK_US = DAY_US  # 288 rows at a fix every five minutes
 BLOCK_ROWS = 32_768
 _NULL_CHUNK = -(2**62)
+NULL_ROWS = 4096  # rows without an ordering value in one chunk, by their second ordering column
 
 
 def shared_folder(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    In local mode, where driver and executors are one process, an unset folder becomes a temporary
+    one; elsewhere it must be named, since other machines do not see a local folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fleetwake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -63,11 +70,15 @@ def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def chunk_of(df: DataFrame, name: str, width: int) -> Column:
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, T.TimestampType):
+def chunk_of(df: DataFrame, order: list[str], width: int) -> Column:
+    """Chunk of the first ordering column; rows without it come first, in chunks of the second one."""
+    c = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, T.TimestampType):
         c = F.unix_micros(c)
-    return F.coalesce(F.floor(c / F.lit(width)).cast("long"), F.lit(_NULL_CHUNK))
+    empty = F.lit(_NULL_CHUNK)
+    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType):
+        empty = F.coalesce(F.lit(_NULL_CHUNK) + F.floor(F.col(order[1]) / F.lit(NULL_ROWS)).cast("long"), F.lit(2 * _NULL_CHUNK))
+    return F.coalesce(F.floor(c / F.lit(width)).cast("long"), empty)
 
 
 def scan(
@@ -99,7 +110,7 @@ def scan(
     df = cut_if_shuffled(df)
     base = df.withColumns(
         {
-            "__chunk": chunk_of(df, order[0], width),
+            "__chunk": chunk_of(df, order, width),
             **{tmp[k, out]: e for k, group in kinds for out, e in group.items()},
         }
     )
@@ -210,8 +221,15 @@ def core(df: DataFrame, keep_pos: bool = False) -> DataFrame:
 
 
 def _coarse(v: Column) -> Column:
-    """A monotone map of doubles to a bounded set of integers (0.4 % steps)."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 256)).cast("long")
+    """A monotone map of doubles to a bounded set of integers: 4,096 steps for each power of two, at any size.
+
+    Near a power of two the exponent may be one off; the step then is -1 or 4,096, which is the
+    same integer.
+    """
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    steps = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 4096)
+    return F.when(size > 0, F.signum(v) * ((exponent + 1100) * 4096 + steps)).otherwise(0).cast("long")
 
 
 def quantiles(df: DataFrame, key, values: dict, probs: dict) -> DataFrame:

@@ -313,14 +313,18 @@ def pieces(edges: DataFrame, fast: Column, halo: int = HALO) -> DataFrame:
 
 CURE_SCHEMA = (
     "platform_id string, obs_index long, reason string, event_id string, implicated array<long>, anchor long, "
-    "reconnect long, bridge_speed double, iteration int"
+    "reconnect long, bridge_speed double, iteration int, samples int, speed_median double, speed_scale double, "
+    "bridge_z double, atypical boolean, residual_m double, rival_z double"
 )
 
 
-def _emit(cures, pdf: pd.DataFrame) -> list[dict]:
+def _emit(cures, pdf: pd.DataFrame, warning_z: float) -> list[dict]:
     from hashlib import sha256
     import json
 
+    def finite(x: float) -> float | None:
+        return float(x) if np.isfinite(x) else None
+
     idx, platform, out = pdf["obs_index"].to_numpy(), pdf[KEY].iloc[0], []
     for c in cures:
         members = [int(idx[r]) for r in c.skipped]
@@ -330,23 +334,38 @@ def _emit(cures, pdf: pd.DataFrame) -> list[dict]:
                 "platform_id": platform, "obs_index": m, "reason": c.reason, "event_id": f"{c.reason}:{tag}",
                 "implicated": members, "anchor": int(idx[c.anchor]),
                 "reconnect": None if c.reconnect < 0 else int(idx[c.reconnect]),
-                "bridge_speed": None if c.bridge_speed != c.bridge_speed else c.bridge_speed, "iteration": c.iteration,
+                "bridge_speed": finite(c.bridge_speed), "iteration": c.iteration, "samples": c.samples,
+                "speed_median": finite(c.median), "speed_scale": finite(c.scale), "bridge_z": finite(c.z),
+                "atypical": None if finite(c.z) is None else c.z > warning_z,
+                "residual_m": finite(c.residual_m), "rival_z": finite(c.rival_z),
             })
     return out
 
 
-def _grouped(rows: DataFrame, solve) -> DataFrame:
-    """Run ``solve(pdf of one piece) -> cures`` over all pieces, a batch of pieces per call."""
+def _grouped(rows: DataFrame, solve, cfg: PositionConfig) -> DataFrame:
+    """Run ``solve(pdf of one piece) -> cures`` over all pieces, eight neighbouring pieces per call."""
     columns = CURE_SCHEMA.replace(",", "").split()[::2]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[dict] = []
         for _, part in pdf.sort_values(["run", "piece", "t_us", "obs_index"]).groupby(["run", "piece"], sort=False):
-            found += _emit(solve(part.reset_index(drop=True)), part)
+            found += _emit(solve(part.reset_index(drop=True)), part, cfg.warning_z)
         return pd.DataFrame(found, columns=columns)
 
-    lot = F.pmod(F.xxhash64("run", F.floor(F.col("piece") / 8)), F.lit(64))
-    return rows.withColumn("__lot", lot).groupBy(KEY, "__lot").applyInPandas(work, CURE_SCHEMA)
+    lot = F.floor(F.col("piece") / 8)
+    return rows.withColumn("__lot", lot).groupBy(KEY, "run", "__lot").applyInPandas(work, CURE_SCHEMA)
+
+
+def run_baseline(edges: DataFrame, cfg: PositionConfig) -> DataFrame:
+    """Median and floored robust scale of the calm speeds of every run with a fast edge."""
+    g = [KEY, "run"]
+    limit = F.col("edge_speed") <= cfg.speed_limit
+    hot = edges.where(is_timed(cfg) & ~limit).select(*g).distinct()
+    calm = frames.cut(edges.where(is_timed(cfg) & limit).join(hot, g, "left_semi").select(*g, "edge_speed"))
+    middle = frames.quantiles(calm, g, {"speed": F.col("edge_speed")}, {"median": 0.5}).select(*g, "speed_median")
+    off = frames.cut(calm.join(middle, g).select(*g, "speed_median", F.abs(F.col("edge_speed") - F.col("speed_median")).alias("off")))
+    scale = frames.quantiles(off, g, {"off": F.col("off")}, {"median": 0.5})
+    return middle.join(scale, g).select(*g, "speed_median", F.greatest(1.4826 * F.col("off_median"), F.lit(cfg.scale_floor)).alias("speed_scale"))
 
 
 def geometry_cures(rows: DataFrame, rejected: Column, cfg: PositionConfig = PositionConfig(), *, aggressive: bool = False) -> DataFrame:
@@ -356,17 +375,25 @@ def geometry_cures(rows: DataFrame, rejected: Column, cfg: PositionConfig = Posi
     first = ends.groupBy(KEY, "segment").agg(
         F.min(F.struct(*TRACK)).alias("a"), F.max(F.struct(*TRACK)).alias("z")
     ).select(KEY, "segment", F.col("a.obs_index").alias("first_obs"), F.col("z.obs_index").alias("last_obs"))
-    near = pieces(edges, is_timed(cfg) & (F.col("edge_speed") > cfg.speed_limit)).join(first, [KEY, "segment"], "left").select(
-        KEY, "run", "piece", "obs_index", F.unix_micros("time").alias("t_us"), "lon", "lat",
+    none = F.lit(None).cast("double")
+    near = pieces(edges, is_timed(cfg) & (F.col("edge_speed") > cfg.speed_limit)).join(first, [KEY, "segment"], "left")
+    if aggressive:
+        near = near.join(run_baseline(edges, cfg), [KEY, "run"], "left")
+    else:
+        near = near.withColumns({"speed_median": none, "speed_scale": none})
+    near = near.select(
+        KEY, "speed_median", "speed_scale", "run", "piece", "obs_index", F.unix_micros("time").alias("t_us"), "lon", "lat",
         F.col("human").isin("keep", "uncertain").alias("protected"),
         _flag(F.col("obs_index") == F.col("first_obs")).alias("is_first"), _flag(F.col("obs_index") == F.col("last_obs")).alias("is_last"))
 
     def solve(pdf: pd.DataFrame):
         t = pdf["t_us"].to_numpy()
-        p = Piece((t - t[0]) / 1e6, pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["protected"].to_numpy(bool), cfg)
+        usual = (float(pdf["speed_median"].iloc[0]), float(pdf["speed_scale"].iloc[0]))
+        p = Piece((t - t[0]) / 1e6, pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["protected"].to_numpy(bool), cfg,
+                  usual if np.isfinite(usual).all() else None)
         return runsolver.solve(p, pdf["obs_index"].to_numpy(), bool(pdf["is_first"].iloc[0]), bool(pdf["is_last"].iloc[-1]), aggressive)
 
-    return _grouped(near, solve)
+    return _grouped(near, solve, cfg)
 
 
 def new_side_cures(rows: DataFrame, rejected: Column, cfg: PositionConfig = PositionConfig()) -> DataFrame:
@@ -412,7 +439,7 @@ def new_side_cures(rows: DataFrame, rejected: Column, cfg: PositionConfig = Posi
         trust = pdf["trust_us"].iloc[0]
         return runsolver.thin_new_side(p, float("inf") if pd.isna(trust) else (trust - t0[0]) / 1e6)
 
-    return _grouped(sel, solve)
+    return _grouped(sel, solve, cfg)
 
 
 def _with_cures(rows: DataFrame, cures: DataFrame) -> DataFrame:

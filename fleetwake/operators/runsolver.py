@@ -1,13 +1,13 @@
-"""Sequential cures of fast edges inside one short piece of a run.
+"""Cures of fast edges inside one short piece of a run, from tables of all its possible bridges.
 
-Spark cuts the runs into pieces around fast edges (see :mod:`fleetwake.operators.quality`); the
-helpers here work on the few rows of one piece. Positions index the rows of the piece in time order.
+Spark cuts the runs into pieces around fast edges (see :mod:`fleetwake.operators.quality`). A
+:class:`Bridges` table holds, for the rows that survive, the elapsed time and the speed from every
+row to the k-th row after it; the rules read off that table which rows a bridge may leave out.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -39,276 +39,278 @@ class PositionConfig:
 
 @dataclass
 class Cure:
+    """Rows to drop and the bridge over them; rows are numbers within the piece.
+
+    ``samples``, ``median`` and ``scale`` describe the calm speeds nearby, ``z`` how far the bridge is
+    from them; ``residual_m`` is the distance of a dropped single row from the straight course, and
+    ``rival_z`` the score of the other end of its edge.
+    """
+
     skipped: list[int]
     anchor: int
     reconnect: int
     bridge_speed: float
     reason: str
     iteration: int = 0
+    samples: int | None = None
+    median: float = np.nan
+    scale: float = np.nan
+    z: float = np.nan
+    residual_m: float = np.nan
+    rival_z: float = np.nan
 
 
 @dataclass
 class Piece:
-    """Rows of one piece in time order, with the edge arithmetic on them."""
+    """Rows of one piece in time order."""
 
     t: np.ndarray  # seconds
     lon: np.ndarray
     lat: np.ndarray
     protected: np.ndarray
     cfg: PositionConfig
-    _memo: dict = field(default_factory=dict)
-
-    def edge(self, a: int, b: int) -> tuple[float, float]:
-        """Elapsed seconds and speed from the earlier to the later of two rows."""
-        if a > b:
-            a, b = b, a
-        got = self._memo.get((a, b))
-        if got is None:
-            p, q = math.radians(self.lat[a]), math.radians(self.lat[b])
-            h = math.sin((q - p) / 2) ** 2
-            h += math.cos(p) * math.cos(q) * math.sin(math.radians(self.lon[b] - self.lon[a]) / 2) ** 2
-            dt = float(self.t[b] - self.t[a])
-            d = 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, max(0.0, h))))
-            got = self._memo[a, b] = (dt, d / dt if dt > 0 else math.nan)
-        return got
-
-    def timed(self, a: int, b: int) -> bool:
-        return self.cfg.min_dt_s <= self.edge(a, b)[0] <= self.cfg.reach_s
-
-    def calm(self, a: int, b: int) -> bool:
-        return self.timed(a, b) and self.edge(a, b)[1] <= self.cfg.speed_limit
-
-    def fast(self, a: int, b: int) -> bool:
-        return self.timed(a, b) and self.edge(a, b)[1] > self.cfg.speed_limit
-
-    def velocity(self, a: int, b: int) -> tuple[float, float]:
-        v = self.edge(a, b)[1]
-        p, q = math.radians(self.lat[a]), math.radians(self.lat[b])
-        d = math.radians(self.lon[b] - self.lon[a])
-        d = (d + math.pi) % (2 * math.pi) - math.pi
-        w = math.atan2(math.sin(d) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(d))
-        return v * math.sin(w), v * math.cos(w)
-
-    def acceleration(self, a: int, b: int, c: int) -> float:
-        half = (self.edge(a, b)[0] + self.edge(b, c)[0]) / 2
-        if not half > 0:
-            return math.nan
-        (e0, n0), (e1, n1) = self.velocity(a, b), self.velocity(b, c)
-        return math.hypot(e1 - e0, n1 - n0) / half
-
-    def spread(self, speeds) -> tuple[float, float]:
-        """Median and floored robust scale of some speeds."""
-        x = np.asarray(speeds, float)
-        if not len(x):
-            return math.nan, math.nan
-        m = float(np.median(x))
-        return m, max(1.4826 * float(np.median(np.abs(x - m))), self.cfg.scale_floor)
-
-
-def one_way(p: Piece, order: list[int]):
-    """Walk a run one way from trusted ground, hopping over at most ``max_removal`` rows.
-
-    Returns the hops as ``{(low, high) rows: (anchor, reconnect)}`` and ``follow``: row → (next
-    trusted row, the hop taken to reach it or None).
+    #: Median and scale of the calm speeds of the whole run, where the piece is only a part of it.
+    baseline: tuple[float, float] | None = None
+
+    def take(self, rows: np.ndarray) -> Piece:
+        return replace(self, t=self.t[rows], lon=self.lon[rows], lat=self.lat[rows], protected=self.protected[rows])
+
+    def mirrored(self) -> Piece:
+        """The same rows as seen by a clock that runs backwards."""
+        back = self.take(np.arange(len(self.t))[::-1])
+        return replace(back, t=-back.t)
+
+
+def _distance(lon, lat, a, b) -> np.ndarray:
+    p, q = np.radians(lat[a]), np.radians(lat[b])
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon[b] - lon[a]) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))
+
+
+def _velocity(p: Piece, a: int, b: int) -> np.ndarray:
+    """East and north speed at the first row."""
+    lat0, lat1 = np.radians(p.lat[[a, b]])
+    d = (np.radians(p.lon[b] - p.lon[a]) + np.pi) % (2 * np.pi) - np.pi
+    way = np.arctan2(np.sin(d) * np.cos(lat1), np.cos(lat0) * np.sin(lat1) - np.sin(lat0) * np.cos(lat1) * np.cos(d))
+    return _distance(p.lon, p.lat, a, b) / (p.t[b] - p.t[a]) * np.array([np.sin(way), np.cos(way)])
+
+
+def _bend(p: Piece, a: int, b: int, c: int) -> float:
+    """Acceleration at b on the way a, b, c; infinite where it can not be told."""
+    half = (p.t[c] - p.t[a]) / 2
+    turn = float(np.hypot(*(_velocity(p, b, c) - _velocity(p, a, b)))) / half if half > 0 else np.nan
+    return turn if np.isfinite(turn) else -np.inf
+
+
+def _residual(p: Piece, a: int, b: int, c: int) -> float:
+    """Distance of b from the point between a and c at its time, on the chord."""
+    lon, lat = np.radians(p.lon[[a, b, c]]), np.radians(p.lat[[a, b, c]])
+    xyz = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    share = (p.t[b] - p.t[a]) / (p.t[c] - p.t[a])
+    course = (1 - share) * xyz[0] + share * xyz[2]
+    size = np.linalg.norm(course)
+    return float(EARTH_RADIUS_M * np.arccos(np.clip(xyz[1] @ course / size, -1, 1))) if size > 1e-12 else np.nan
+
+
+class Bridges:
+    """``speed[k - 1, i]`` and ``dt[k - 1, i]``: from row i to row i + k, NaN beyond the end.
+
+    ``calm`` bridges have a usable time and at most the speed limit, ``fast`` edges more. ``usable``
+    bridges cross no protected row and stay within reach; both only get harder with k.
     """
-    hops, follow = {}, {}
-    i, trusted, n = 0, False, len(order)
-    while i + 1 < n:
-        here, nxt = order[i], order[i + 1]
-        if not trusted:
-            if i + 2 >= n:
-                break
-            if p.calm(here, nxt) and p.calm(nxt, order[i + 2]):
-                follow[here], follow[nxt] = (nxt, None), (order[i + 2], None)
-                i, trusted = i + 2, True
-            else:
-                i += 1
-            continue
-        if p.calm(here, nxt):
-            follow[here] = (nxt, None)
-            i += 1
-            continue
-        landed = 0
-        if p.fast(here, nxt):
-            for k in range(2, min(p.cfg.max_removal + 2, n - i)):
-                if p.protected[order[i + k - 1]] or not 0 < p.edge(here, order[i + k])[0] <= p.cfg.reach_s:
-                    break
-                if p.calm(here, order[i + k]):
-                    landed = k
-                    break
-        if landed:
-            far = order[i + landed]
-            name = (min(here, far), max(here, far))
-            hops[name] = (here, far)
-            follow[here] = (far, name)
-            i += landed
-        else:
-            trusted = False
-            i += 1
-    return hops, follow
-
-
-def confirmed_hops(p: Piece, order: list[int]) -> list[Cure]:
-    """Hops that both directions find, continue from, and that depend only on confirmed hops."""
-    ahead, follow_a = one_way(p, order)
-    back, follow_b = one_way(p, order[::-1])
-    spot = {r: i for i, r in enumerate(order)}
-
-    def onward(name):
-        for hops, follow in ((ahead, follow_a), (back, follow_b)):
-            yield follow.get(hops[name][1])
-
-    # A hop found both ways must skip the same rows, which the two end rows fix.
-    kept = {k for k in ahead.keys() & back.keys() if all(s is not None for s in onward(k))}
-    while True:
-        firm = {k for k in kept if all(s[1] is None or s[1] in kept for s in onward(k))}
-        if firm == kept:
-            break
-        kept = firm
-    inner = {k: order[spot[k[0]] + 1 : spot[k[1]]] for k in kept}
-    uses: dict[int, int] = {}
-    for rows in inner.values():
-        for r in rows:
-            uses[r] = uses.get(r, 0) + 1
-    return [
-        Cure(rows, k[0], k[1], p.edge(*k)[1], "bidirectionally_confirmed_time_bounded_excursion_cure")
-        for k, rows in inner.items()
-        if all(uses[r] == 1 for r in rows)
-    ]
-
-
-def endpoint_cures(p: Piece, order: list[int]) -> list[Cure]:
-    """Lone fast edges between calm pairs where dropping one end clearly fits better."""
-    n, found = len(order), []
-    for i in range(2, n - 3):
-        b, a, u, v, d, e = (order[i + k] for k in (-2, -1, 0, 1, 2, 3))
-        if not p.fast(u, v) or not (p.calm(b, a) and p.calm(a, u) and p.calm(v, d) and p.calm(d, e)):
-            continue
-        near = range(max(0, i - p.cfg.window_points), min(n - 1, i + 1 + p.cfg.window_points))
-        speeds = [
-            p.edge(order[k], order[k + 1])[1]
-            for k in near
-            if not {order[k], order[k + 1]} & {u, v} and p.calm(order[k], order[k + 1])
-        ]
-        if len(speeds) < p.cfg.min_samples:
-            continue
-        m, scale = p.spread(speeds)
-        options = []
-        for drop, left, right in ((u, a, v), (v, u, d)):
-            if not p.protected[drop] and p.calm(left, right):
-                speed = p.edge(left, right)[1]
-                options.append((abs(speed - m) / scale, Cure([drop], left, right, speed, "unique_endpoint_speed_cure")))
-        options.sort(key=lambda o: o[0])
-        if len(options) == 2 and options[1][0] - options[0][0] < p.cfg.margin_z:
+
+    def __init__(self, p: Piece):
+        self.p, cfg = p, p.cfg
+        self.n, self.most = len(p.t), cfg.max_removal + 1
+        self.dt = np.full((self.most, self.n), np.nan)
+        self.speed = self.dt.copy()
+        free = np.zeros(self.dt.shape, bool)
+        held = np.concatenate([[0], np.cumsum(p.protected)])
+        for k in range(1, min(self.most, self.n - 1) + 1):
+            i = np.arange(self.n - k)
+            self.dt[k - 1, i] = p.t[i + k] - p.t[i]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.speed[k - 1, i] = np.where(self.dt[k - 1, i] > 0, _distance(p.lon, p.lat, i, i + k) / self.dt[k - 1, i], np.nan)
+            free[k - 1, i] = held[i + k] == held[i + 1]
+        timed = (self.dt >= cfg.min_dt_s) & (self.dt <= cfg.reach_s)
+        self.timed = timed
+        self.calm = timed & (self.speed <= cfg.speed_limit)
+        self.fast = timed[0] & (self.speed[0] > cfg.speed_limit)
+        self.usable = free & (self.dt > 0) & (self.dt <= cfg.reach_s)
+
+    def onward(self) -> np.ndarray:
+        """The row that trusted ground goes on to: the next one, the end of the shortest calm bridge over a fast edge, or -1."""
+        good = self.calm & self.usable
+        good[0] = False
+        hop = np.where(self.fast & good.any(0), np.arange(self.n) + 1 + good.argmax(0), -1)
+        return np.where(self.calm[0], np.arange(self.n) + 1, hop)
+
+    def trusted(self, onward: np.ndarray) -> list[int]:
+        """Rows on trusted ground, from left to right: it begins behind two calm edges and ends where nothing goes on."""
+        seeds = np.flatnonzero(self.calm[0, :-1] & self.calm[0, 1:])
+        rows, at = [], 0
+        while (s := np.searchsorted(seeds, at)) < len(seeds):
+            at = int(seeds[s]) + 2
+            while at >= 0:
+                rows.append(at)
+                at = int(onward[at])
+            at = rows[-1] + 1
+        return rows
+
+    def nearby(self, low: int, high: int, touching: slice) -> tuple[int, float, float]:
+        """(number, median, scale) of the calm edges around rows low to high, without the ``touching`` ones."""
+        w = self.p.cfg.window_points
+        use = np.zeros(self.n, bool)
+        use[max(0, low - w) : min(self.n - 1, high + w)] = True
+        use[touching] = False
+        return len(x := self.speed[0][use & self.calm[0]]), *spread(x, self.p.cfg)
+
+
+def spread(speeds: np.ndarray, cfg: PositionConfig) -> tuple[float, float]:
+    """Median and floored robust scale of some speeds."""
+    if not len(speeds):
+        return np.nan, np.nan
+    middle = float(np.median(speeds))
+    return middle, max(1.4826 * float(np.median(np.abs(speeds - middle))), cfg.scale_floor)
+
+
+def confirmed_hops(b: Bridges) -> list[Cure]:
+    """Bridges that trusted ground takes from both sides and that rest only on other such bridges."""
+    last = b.n - 1
+    sides = []
+    for table, turn in ((b, lambda i: i), (Bridges(b.p.mirrored()), lambda i: last - i)):
+        onward = table.onward()
+        hops = {}
+        for i in table.trusted(onward):
+            if onward[i] > i + 1:
+                end = int(onward[i])
+                more = int(onward[end])
+                rests = tuple(sorted((turn(end), turn(more)))) if more > end + 1 else None
+                hops[tuple(sorted((turn(i), turn(end))))] = (more >= 0, rests)
+        sides.append(hops)
+    both = sides[0].keys() & sides[1].keys()
+    # Doubt spreads from bridges that lead nowhere, or rest on one that a side lacks, to all that rest on them.
+    carried: dict = {}
+    doubtful = []
+    for hop in both:
+        for ends, rests in (sides[0][hop], sides[1][hop]):
+            if not ends or (rests is not None and rests not in both):
+                doubtful.append(hop)
+            if rests is not None:
+                carried.setdefault(rests, []).append(hop)
+    firm = set(both)
+    while doubtful:
+        hop = doubtful.pop()
+        if hop in firm:
+            firm.remove(hop)
+            doubtful += carried.get(hop, [])
+    depth = np.zeros(b.n + 1, int)
+    for lo, hi in firm:
+        depth[lo + 1] += 1
+        depth[hi] -= 1
+    depth = np.cumsum(depth)
+    out = []
+    for lo, hi in sorted(firm):
+        if depth[lo + 1 : hi].max() == 1:
+            speed = float(b.speed[hi - lo - 1, lo])
+            count, middle, scale = b.nearby(lo, hi, slice(lo, hi))
+            z = abs(speed - middle) / scale
+            out.append(Cure(list(range(lo + 1, hi)), lo, hi, speed, "bidirectionally_confirmed_time_bounded_excursion_cure", samples=count, median=middle, scale=scale, z=z))
+    return out
+
+
+def endpoint_cures(b: Bridges) -> list[Cure]:
+    """Lone fast edges between two calm edges on each side, where dropping one end fits clearly better."""
+    cfg, found = b.p.cfg, {}
+    if b.n < 7:
+        return []
+    c = b.calm[0]
+    i = np.arange(2, b.n - 3)
+    for u in i[b.fast[i] & c[i - 2] & c[i - 1] & c[i + 1] & c[i + 2]]:
+        count, middle, scale = b.nearby(u, u + 1, slice(u - 1, u + 2))
+        if count < cfg.min_samples:
             continue
-        if options:
-            found.append(options[0][1])
-    named = [c.skipped[0] for c in found]
-    return [c for c in found if named.count(c.skipped[0]) == 1]
-
-
-def boundary_cures(p: Piece, order: list[int], first_row: bool, last_row: bool) -> list[Cure]:
-    """Gross first or last row of a segment next to a long calm stretch that no inner cure explains."""
-    need, out = p.cfg.min_samples, []
-    if len(order) < need + 2:
-        return out
-    for wanted, seq in ((first_row, order), (last_row, order[::-1])):
-        if not wanted:
+        # Either end of the edge may be wrong: the bridge over it starts just before it.
+        scores = {}
+        for drop in (int(u), int(u) + 1):
+            if b.calm[1, drop - 1] and not b.p.protected[drop]:
+                scores[drop] = abs(b.speed[1, drop - 1] - middle) / scale
+        if not scores or (len(scores) == 2 and abs(np.subtract(*scores.values())) < cfg.margin_z):
             continue
-        end, neighbour = seq[0], seq[1]
-        dt, speed = p.edge(end, neighbour)
-        if (
-            p.protected[end]
-            or not p.timed(end, neighbour)
-            or not speed > p.cfg.speed_limit * p.cfg.boundary_factor
-            or not all(p.calm(seq[k], seq[k + 1]) for k in range(1, need + 1))
-        ):
+        drop = min(scores, key=scores.get)
+        rival = max(scores.values()) if len(scores) == 2 else np.nan
+        found.setdefault(drop, []).append(
+            Cure([drop], drop - 1, drop + 1, float(b.speed[1, drop - 1]), "unique_endpoint_speed_cure", samples=count, median=middle, scale=scale,
+                 z=scores[drop], residual_m=_residual(b.p, drop - 1, drop, drop + 1), rival_z=rival)
+        )
+    return [x[0] for x in found.values() if len(x) == 1]
+
+
+def boundary_cures(b: Bridges, first_row: bool, last_row: bool) -> list[Cure]:
+    """A gross first or last row of a segment beside a long calm stretch, unless some bridge from it is calm."""
+    cfg, out = b.p.cfg, []
+    for wanted, table in ((first_row, b), (last_row, Bridges(b.p.mirrored()))):
+        if not wanted or b.n < cfg.min_samples + 2:
             continue
-        rival = False
-        for far in seq[2 : p.cfg.max_removal + 2]:
-            if not 0 < p.edge(end, far)[0] <= p.cfg.reach_s:
-                break
-            if p.calm(end, far):
-                rival = True
-                break
-        if not rival:
-            out.append(Cure([end], neighbour, neighbour, speed, "automatic_boundary_endpoint_speed_cure"))
+        gross = table.timed[0, 0] and table.speed[0, 0] > cfg.speed_limit * cfg.boundary_factor
+        if gross and not table.p.protected[0] and table.calm[0, 1 : cfg.min_samples + 1].all() and not table.calm[1:, 0].any():
+            end, beside = (0, 1) if table is b else (b.n - 1, b.n - 2)
+            out.append(Cure([end], beside, beside, float(table.speed[0, 0]), "automatic_boundary_endpoint_speed_cure"))
     return out
 
 
-def ranked_cures(p: Piece, order: list[int], label: np.ndarray) -> list[Cure]:
-    """Smallest cure of each fast edge, ranked; overlapping ones give way to better ranks."""
-    n = len(order)
-    if n < 3:
-        return []
-    m, scale = p.spread([p.edge(a, b)[1] for a, b in zip(order, order[1:]) if p.calm(a, b)])
-    best: dict[tuple, tuple] = {}
-    for i in range(n - 1):
-        if not p.fast(order[i], order[i + 1]):
-            continue
-        choices = []
-        for side in (-1, 1):
-            for k in range(1, p.cfg.max_removal + 1):
-                # Dropping k rows left of the edge keeps its right row, and the other way round.
-                lo, hi = (i - k, i + 1) if side < 0 else (i, i + 1 + k)
-                if lo < 0 or hi >= n:
-                    break
-                rows = order[lo + 1 : hi]
-                if any(p.protected[r] for r in rows):
-                    break
-                a, c = order[lo], order[hi]
-                dt, speed = p.edge(a, c)
-                if not 0 < dt <= p.cfg.reach_s:
-                    break
-                if dt >= p.cfg.min_dt_s and speed <= p.cfg.speed_limit:
-                    bends = []
-                    if lo > 0:
-                        bends.append(p.acceleration(order[lo - 1], a, c))
-                    if hi + 1 < n:
-                        bends.append(p.acceleration(a, c, order[hi + 1]))
-                    bends = [x for x in bends if math.isfinite(x)]
-                    fit = abs(speed - m) / scale if math.isfinite(m) else math.inf
-                    rank = (k, max(bends, default=math.inf), fit, -p.t[rows[0]], tuple(int(label[r]) for r in rows))
-                    reason = "automatic_iterative_endpoint_speed_cure" if k == 1 else "automatic_iterative_excursion_speed_cure"
-                    choices.append((rank, Cure(list(rows), a, c, speed, reason)))
-                    break
-        if choices:
-            top = min(choices, key=lambda c: c[0])
-            name = tuple(sorted(top[1].skipped))
-            if name not in best or top[0] < best[name][0]:
-                best[name] = top
-    taken, out = set(), []
-    for _, cure in sorted(best.values(), key=lambda c: c[0]):
-        if not taken.intersection(cure.skipped):
-            taken.update(cure.skipped)
-            out.append(cure)
+def ranked_cures(b: Bridges, label: np.ndarray) -> list[Cure]:
+    """The best bridge at each fast edge; where bridges overlap the better rank goes first.
+
+    Rank: fewer rows, less acceleration at its ends, closer to the usual speed, later, lower labels.
+    """
+    p, cfg = b.p, b.p.cfg
+    middle, scale = p.baseline or spread(b.speed[0][b.calm[0]], cfg)
+    good = b.calm & b.usable
+    best: dict = {}
+    for i in map(int, np.flatnonzero(b.fast)):
+        # Over the k rows before the edge's end, or over the k rows after its start.
+        spans = [next(((i - k, i + 1) for k in range(1, b.most) if i >= k and good[k, i - k]), None), next(((i, i + k + 1) for k in range(1, b.most) if good[k, i]), None)]
+        ranks = []
+        for lo, hi in filter(None, spans):
+            joints = [(lo - 1, lo, hi), (lo, hi, hi + 1)][lo == 0 : 1 + (hi + 1 < b.n)]
+            worst = max((_bend(p, *j) for j in joints), default=-np.inf)
+            speed = b.speed[hi - lo - 1, lo]
+            fit = abs(speed - middle) / scale if np.isfinite(middle) else np.inf
+            ranks.append(((hi - lo - 1, worst if np.isfinite(worst) else np.inf, fit, -p.t[lo + 1], tuple(map(int, label[lo + 1 : hi]))), (lo, hi)))
+        if ranks:
+            rank, span = min(ranks)
+            best[span] = min(rank, best.get(span, rank))
+    used, out = np.zeros(b.n, bool), []
+    for rank, (lo, hi) in sorted((r, s) for s, r in best.items()):
+        if not used[lo + 1 : hi].any():
+            used[lo + 1 : hi] = True
+            reason = "automatic_iterative_endpoint_speed_cure" if rank[0] == 1 else "automatic_iterative_excursion_speed_cure"
+            out.append(Cure(list(range(lo + 1, hi)), lo, hi, float(b.speed[hi - lo - 1, lo]), reason, median=middle, scale=scale, z=rank[2]))
     return out
 
 
 def solve(p: Piece, label: np.ndarray, first_row: bool, last_row: bool, aggressive: bool) -> list[Cure]:
-    """All cures of one piece: confirmed hops before endpoints to a fixed point, then the rest."""
-    order, done, step = list(range(len(p.t))), [], 0
-
-    def apply(cures: list[Cure]) -> bool:
-        nonlocal order, step
-        if not cures:
-            return False
-        step += 1
-        gone = {r for c in cures for r in c.skipped}
-        order = [r for r in order if r not in gone]
-        for c in cures:
-            c.iteration = step
-        done.extend(cures)
-        return True
-
-    while True:
-        if len(order) >= 4 and apply(confirmed_hops(p, order)):
-            continue
-        if len(order) < 7 or not apply(endpoint_cures(p, order)):
-            break
+    """All cures of one piece: confirmed bridges before lone ends until neither finds more, then the bolder rules."""
+    left, done = np.arange(len(p.t)), []
+
+    def drop(*rules) -> bool:
+        """Apply the first of the rules that finds something."""
+        nonlocal left
+        table = Bridges(p.take(left))
+        found = next(filter(None, (rule(table) for rule in rules)), [])
+        step = done[-1].iteration + 1 if done else 1
+        done.extend(
+            replace(c, skipped=[int(left[r]) for r in c.skipped], anchor=int(left[c.anchor]), reconnect=int(left[c.reconnect]), iteration=step) for c in found
+        )
+        left = np.delete(left, [r for c in found for r in c.skipped]) if found else left
+        return bool(found)
+
+    while drop(confirmed_hops, endpoint_cures):
+        pass
     if aggressive:
-        apply(boundary_cures(p, order, first_row, last_row))
-        while apply(ranked_cures(p, order, label)):
+        drop(lambda b: boundary_cures(b, first_row, last_row))
+        while drop(lambda b: ranked_cures(b, label[left])):
             pass
     return done
 
@@ -319,32 +321,39 @@ def thin_new_side(p: Piece, trusted_from_s: float) -> list[Cure]:
     Only rows from ``trusted_from_s`` on (two calm edges of the run are past) may act as the older row.
     """
     out: list[Cure] = []
-    anchor, block = 0, []
-    for r in range(1, len(p.t)):
-        dt, speed = p.edge(anchor, r)
-        if p.t[anchor] >= trusted_from_s and dt > 0 and speed > p.cfg.speed_limit and not p.protected[r]:
-            block.append(r)
-            continue
-        if block:
-            out.append(Cure(block, anchor, r, speed, "automatic_new_side_speed_thinning"))
-            block = []
-        anchor = r
-    if block:
-        out.append(Cure(block, anchor, -1, math.nan, "automatic_new_side_speed_thinning"))
+    n, at = len(p.t), 0
+    step = np.arange(n - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        speed = _distance(p.lon, p.lat, step, step + 1) / np.diff(p.t)
+    starts = np.flatnonzero((np.diff(p.t) > 0) & (speed > p.cfg.speed_limit) & ~p.protected[1:] & (p.t[:-1] >= trusted_from_s))
+    while (s := np.searchsorted(starts, at)) < len(starts):
+        older = int(starts[s])
+        later = np.arange(older + 1, n)
+        dt = p.t[later] - p.t[older]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = (dt > 0) & (_distance(p.lon, p.lat, older, later) / dt > p.cfg.speed_limit) & ~p.protected[later]
+        kept = later[~far]
+        at = int(kept[0]) if len(kept) else n
+        bridge = float(_distance(p.lon, p.lat, older, at) / (p.t[at] - p.t[older])) if at < n and p.t[at] > p.t[older] else np.nan
+        out.append(Cure(list(range(older + 1, at)), older, at if at < n else -1, bridge, "automatic_new_side_speed_thinning"))
     return out
 
 
 def thin_short(t: np.ndarray, human: np.ndarray, limit_s: float) -> np.ndarray:
-    """Rejected rows of one island of closely spaced rows; the anchor is the last surviving row."""
+    """Rejected rows of one island of closely spaced rows; the anchor is the last surviving row.
+
+    Rows that a human rejected never anchor and are not judged; an uncertain row ends the anchor.
+    """
     drop = np.zeros(len(t), bool)
-    anchor = None
-    for i in range(len(t)):
-        if anchor is None:
-            anchor = None if human[i] in ("reject", "uncertain") else t[i]
-        elif 0 < t[i] - anchor < limit_s:
-            drop[i] = True
-        elif human[i] == "uncertain":
-            anchor = None
-        elif human[i] != "reject":
-            anchor = t[i]
+    at, n = 0, len(t)
+    while at < n:
+        if human[at] in ("reject", "uncertain"):
+            at += 1
+            continue
+        # Everything within the limit of an anchor falls; the next row beyond it decides what follows.
+        beyond = at + 1
+        while beyond < n and (0 < t[beyond] - t[at] < limit_s or human[beyond] == "reject"):
+            drop[beyond] = 0 < t[beyond] - t[at] < limit_s
+            beyond += 1
+        at = beyond
     return drop
