@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetwake.catalog.base import query, rnd, us
-from fleetwake.catalog.gridded import MOVE, PAIRS, cells as grid_cells, fixes, moving, plane
-from fleetwake.catalog.inputs import OBS, events
+from fleetwake.catalog.gridded import GRID, MOVE, PAIRS, cells as grid_cells, fixes, moving, plane
+from fleetwake.catalog.inputs import OBS, events, geodesic
 from fleetwake.functions import bins
 from fleetwake.operators import affine, audit, dispersion, frames, grid, pairs, passage, raster, spatial, thirdorder
 
@@ -509,7 +509,12 @@ def _(spark, sf):
     return c.select(us("window_start").alias("window_us"), F.col("lat").alias("la"), F.col("lon").alias("lo"), rnd("value", 5).alias("value"), "contributing_bins", "observations")
 
 
-@query("sc11_sc16_projection_round_trip")
+@query("sc11_sc16_projection_round_trip", f"""WITH {GRID},
+ok AS (SELECT user_id // 20 AS array_id, platform_id, t, lon, lat FROM gr WHERE lon IS NOT NULL),
+fp AS (SELECT array_id, platform_id, radians(arg_min(lon, t)) AS x, radians(arg_min(lat, t)) AS y FROM ok GROUP BY 1, 2),
+og AS (SELECT array_id, degrees(atan2(avg(cos(y)*sin(x)), avg(cos(y)*cos(x)))) AS lo0, degrees(atan2(avg(sin(y)), sqrt(pow(avg(cos(y)*cos(x)), 2) + pow(avg(cos(y)*sin(x)), 2)))) AS la0 FROM fp GROUP BY 1),
+pj AS (SELECT platform_id, t, lo0, la0, lon AS lo1, lat AS la1 FROM ok JOIN og USING (array_id)), {geodesic("pj")}
+SELECT platform_id, t AS t_us, round(s*sin(radians(az)), 3) + 0.0 AS x_m, round(s*cos(radians(az)), 3) + 0.0 AS y_m, 0.0 AS lon_error FROM geo""")
 def _(spark, sf):
     g = plane(spark, sf).drop("x_m", "y_m").where("lon IS NOT NULL")
     p = audit.project(frames.cut(g), audit.projection_origins(g))

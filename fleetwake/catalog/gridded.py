@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetwake.catalog.base import query, rnd, us
-from fleetwake.catalog.inputs import OBS, events, hav, observations
+from fleetwake.catalog.inputs import OBS, events, geodesic, hav, observations
 from fleetwake.operators import audit, clusters, frames, grid, groups, kinematics, pairs
 from fleetwake.sources import tables
 
@@ -102,13 +102,33 @@ def _(spark, sf):
     return grid.regular_product(f, cells(f), 2880).select("platform_id", "cell", "dt_s")
 
 
-@query("rg07_velocity_values")
+_NEXT = "lag(1) OVER w AS one, lon AS lo0, lat AS la0, CASE WHEN lon IS NOT NULL THEN lead(lon) OVER w END AS lo1, CASE WHEN lon IS NOT NULL THEN lead(lat) OVER w END AS la1"
+
+
+@query("rg07_velocity_values", f"""WITH {GRID}, nx AS (SELECT platform_id, cell, {_NEXT} FROM gr WINDOW w AS (PARTITION BY platform_id ORDER BY t)), {geodesic("nx")}
+SELECT platform_id, cell, round(s/21600*sin(radians(az)), 6) + 0.0 AS u, round(s/21600*cos(radians(az)), 6) + 0.0 AS v, round(s/21600, 6) AS speed FROM geo""")
 def _(spark, sf):
     f = frames.cut(fixes(spark, sf))
     return grid.regular_product(f, cells(f), 2880).select("platform_id", "cell", rnd("u").alias("u"), rnd("v").alias("v"), rnd("speed").alias("speed"))
 
 
-@query("rg08_standard_products")
+def _product_sql(name: str, rows: str, cadence_min: int, gap_min: int) -> str:
+    """CTEs of one product on its own grid; ends in ``{name}``: product, platform_id, t, lon, lat, dt."""
+    us_ = cadence_min * 60_000_000
+    return f"""{name}_c AS (SELECT platform_id, unnest(generate_series(CAST(ceil(a/{us_}.0) AS BIGINT), z // {us_}))*{us_} AS t FROM sp),
+{name}_f AS (SELECT platform_id, epoch_us(time) AS t, lon, lat FROM obs WHERE {rows}),
+{name}_b AS (SELECT c.*, p.t AS pt, p.lon AS plon, p.lat AS plat, n.t AS nt, n.lon AS nlon, n.lat AS nlat FROM {name}_c c
+  ASOF LEFT JOIN {name}_f p ON c.platform_id = p.platform_id AND c.t >= p.t ASOF LEFT JOIN {name}_f n ON c.platform_id = n.platform_id AND c.t <= n.t),
+{name}_g AS (SELECT *, CASE WHEN pt = t THEN 0 ELSE (nt - pt)/6e7 END <= {gap_min} AS ok, CASE WHEN pt = t THEN 0 ELSE (t - pt)/(nt - pt)::DOUBLE END AS f FROM {name}_b),
+{name} AS (SELECT '{name}' AS product, platform_id, t, CASE WHEN ok THEN plon + (nlon - plon)*f END AS lon, CASE WHEN ok THEN plat + (nlat - plat)*f END AS lat, {cadence_min * 60}.0 AS dt FROM {name}_g)"""
+
+
+@query("rg08_standard_products", f"""WITH {OBS},
+sp AS (SELECT platform_id, min(epoch_us(time)) AS a, max(epoch_us(time)) AS z FROM obs GROUP BY 1),
+{_product_sql("raw_360", "true", 360, 2880)}, {_product_sql("qc_360", "obs_index % 11 <> 4", 360, 1440)}, {_product_sql("qc_720", "obs_index % 11 <> 4", 720, 2880)},
+al AS (SELECT * FROM raw_360 UNION ALL SELECT * FROM qc_360 UNION ALL SELECT * FROM qc_720),
+nx AS (SELECT *, {_NEXT} FROM al WINDOW w AS (PARTITION BY product, platform_id ORDER BY t)), {geodesic("nx")}
+SELECT product, platform_id, t AS t_us, round(lon, 6) AS lon, round(lat, 6) AS lat, round(s/dt, 6) AS speed FROM geo""")
 def _(spark, sf):
     f = frames.cut(fixes(spark, sf))
     specs = (("raw_360", "raw", 360, 2880), ("qc_360", "qc", 360, 1440), ("qc_720", "qc", 720, 2880))
@@ -496,7 +516,14 @@ def _(spark, sf):
     return back.groupBy("event_type", "n", rnd("total", 2).alias("total")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
-@query("qc23_adjacent_kinematics")
+@query("qc23_adjacent_kinematics", f"""WITH {OBS},
+fx AS (SELECT platform_id, obs_index, epoch_us(time) AS t, lon, lat FROM obs),
+lg AS (SELECT *, (t - lag(t) OVER w)/1e6 AS gap, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM fx WINDOW w AS (PARTITION BY platform_id ORDER BY t, obs_index)),
+ed AS (SELECT platform_id, obs_index, t, CASE WHEN gap > 0 THEN gap END AS dt, CASE WHEN gap > 0 THEN plon END AS lo0, CASE WHEN gap > 0 THEN plat END AS la0, lon AS lo1, lat AS la1 FROM lg),
+{geodesic("ed")},
+ve AS (SELECT *, s/dt AS speed, s/dt*sin(radians(az)) AS ve, s/dt*cos(radians(az)) AS vn FROM geo),
+nx AS (SELECT *, lead(dt) OVER w AS dt2, lead(ve) OVER w AS ve2, lead(vn) OVER w AS vn2 FROM ve WINDOW w AS (PARTITION BY platform_id ORDER BY t, obs_index))
+SELECT obs_index, round(dt, 6) AS dt_s, round(s, 3) AS distance_m, round(speed, 6) AS speed, round(sqrt(pow(ve2 - ve, 2) + pow(vn2 - vn, 2))/((dt + dt2)/2)*1e6, 4) AS acceleration_um_s2 FROM nx""")
 def _(spark, sf):
     from fleetwake.operators.quality import adjacent_kinematics
 

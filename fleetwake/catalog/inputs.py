@@ -77,3 +77,29 @@ HAVERSINE = """12742017.6 * asin(sqrt(
 
 def hav(a0: str, b0: str, a1: str, b1: str) -> str:
     return HAVERSINE.format(a0=a0, b0=b0, a1=a1, b1=b1)
+
+
+_STEP = """sin(lam)*cos(u2) AS e, cos(u1)*sin(u2) - sin(u1)*cos(u2)*cos(lam) AS n, sin(u1)*sin(u2) + cos(u1)*cos(u2)*cos(lam) AS cs"""
+_ARC = """sqrt(e*e + n*n) AS ss, atan2(sqrt(e*e + n*n), cs) AS sg, CASE WHEN e*e + n*n > 0 THEN cos(u1)*cos(u2)*sin(lam)/sqrt(e*e + n*n) ELSE 0 END AS sa"""
+_MID = """1 - sa*sa AS c2, CASE WHEN 1 - sa*sa > 1e-15 THEN cs - 2*sin(u1)*sin(u2)/(1 - sa*sa) ELSE 0 END AS cm,
+  1/298.257223563/16*(1 - sa*sa)*(4 + 1/298.257223563*(4 - 3*(1 - sa*sa))) AS c"""
+
+
+def geodesic(source: str, out: str = "geo", steps: int = 8) -> str:
+    """CTEs from ``source`` with lo0, la0, lo1, la1 to ``out`` with s (metres) and az (degrees) on the ellipsoid.
+
+    Fixed-point steps for the longitude on the auxiliary sphere; for pairs far from the antipode.
+    """
+    flat = "(1 - 1/298.257223563)"
+    ctes = [f"{out}_0 AS (SELECT *, radians(lo1 - lo0) AS sp, radians(lo1 - lo0) AS lam, atan({flat}*tan(radians(la0))) AS u1, atan({flat}*tan(radians(la1))) AS u2 FROM {source})"]
+    inner = f"SELECT *, {_MID} FROM (SELECT *, {_ARC} FROM (SELECT *, {_STEP} FROM {out}_{{}}))"
+    drop = "e, n, cs, ss, sg, sa, c2, cm, c"
+    for i in range(steps):
+        more = "sp + (1 - c)/298.257223563*sa*(sg + c*ss*(cm + c*cs*(2*cm*cm - 1)))"
+        ctes.append(f"{out}_{i + 1} AS (SELECT * EXCLUDE ({drop}, lam), {more} AS lam FROM ({inner.format(i)}))")
+    minor = f"(6378137.0*{flat})"
+    ctes.append(f"""{out}_u AS (SELECT *, c2*(6378137.0*6378137.0 - {minor}*{minor})/({minor}*{minor}) AS q FROM ({inner.format(steps)}))""")
+    big_b = "(q/1024*(256 + q*(-128 + q*(74 - 47*q))))"
+    delta = f"({big_b}*ss*(cm + {big_b}/4*(cs*(2*cm*cm - 1) - {big_b}/6*cm*(4*ss*ss - 3)*(4*cm*cm - 3))))"
+    ctes.append(f"{out} AS (SELECT * EXCLUDE ({drop}, lam, sp, u1, u2, q), {minor}*(1 + q/16384*(4096 + q*(-768 + q*(320 - 175*q))))*(sg - {delta}) AS s, degrees(atan2(e, n)) AS az FROM {out}_u)")
+    return ",\n".join(ctes)

@@ -312,7 +312,8 @@ def _(spark, sf):
         F.max("path_points").alias("path_points"), F.min("obs_index").alias("first_index"), F.max("obs_index").alias("last_index"))
 
 
-@query("sc22_display_sample")
+@query("sc22_display_sample", f"""WITH {OBS} SELECT platform_id, obs_index, lon, lat FROM obs
+ORDER BY md5('figure|' || CAST(obs_index AS VARCHAR)), obs_index LIMIT 500""")
 def _(spark, sf):
     o = observations(spark, sf)
     return audit.display_sample(o, 500, "figure", ["obs_index"]).select("platform_id", "obs_index", "lon", "lat")

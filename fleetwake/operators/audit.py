@@ -208,6 +208,6 @@ def split_paths(
 
 
 def display_sample(df: DataFrame, maximum: int, identity: str, key: list[str]) -> DataFrame:
-    """At most ``maximum`` rows, the same ones at any partitioning: top-k by a keyed hash."""
-    h = F.xxhash64(F.lit(identity), *[F.col(k) for k in key])
+    """At most ``maximum`` rows, the same ones at any partitioning: top-k by a keyed MD5."""
+    h = F.md5(F.concat_ws("|", F.lit(identity), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
     return df.withColumn("__h", h).orderBy("__h", *key).limit(maximum).drop("__h")
