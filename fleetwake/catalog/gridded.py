@@ -258,12 +258,15 @@ def _(spark, sf):
 
 
 @query("gr06_reference_assignments", """WITH s AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1)
-SELECT CAST(user_id AS VARCHAR) AS platform_id, row_number() OVER (PARTITION BY user_id // 5 ORDER BY s, CAST(user_id AS VARCHAR)) AS member_id FROM s WHERE user_id % 10 <> 3""")
+SELECT CAST(user_id AS VARCHAR) AS platform_id, CASE WHEN user_id % 10 = 1 THEN 100 ELSE row_number() OVER (PARTITION BY user_id // 5 ORDER BY s, CAST(user_id AS VARCHAR)) END AS member_id, NULL AS side
+FROM s WHERE user_id % 10 NOT IN (3, 7)
+UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, CASE WHEN user_id % 10 = 3 THEN 'only_in_reference' ELSE 'only_in_product' END FROM s WHERE user_id % 10 IN (3, 7)""")
 def _(spark, sf):
     p = events(spark, sf).groupBy("user_id", "platform_id").agg(F.min("time").alias("start_time"))
-    ref = p.where("user_id % 10 <> 3").select("platform_id", F.lit(1).alias("array_id"), F.floor(F.col("user_id") / 5).alias("cluster_id"), F.lit(None).cast("long").alias("member_id"))
-    good, _ = groups.reference_assignments(p.where("user_id % 10 <> 3"), ref)
-    return good.select("platform_id", "member_id")
+    number = F.when(F.col("user_id") % 10 == 1, 100).cast("long")
+    ref = p.where("user_id % 10 <> 7").select("platform_id", F.lit(1).alias("array_id"), F.floor(F.col("user_id") / 5).alias("cluster_id"), number.alias("member_id"))
+    good, odd = groups.reference_assignments(p.where("user_id % 10 <> 3"), ref)
+    return good.select("platform_id", "member_id", F.lit(None).cast("string").alias("side")).unionByName(odd.withColumn("member_id", F.lit(None).cast("long")))
 
 
 @query("gr07_activation", f"""WITH {GRID}, n AS (SELECT user_id // 20 AS array_id, user_id // 5 AS cluster_id, t, count(DISTINCT platform_id) AS n FROM gr WHERE lon IS NOT NULL GROUP BY 1, 2, 3)
@@ -465,11 +468,19 @@ def _(spark, sf):
     return s.select("cluster_id", "metric", "n", rnd("mean", 3).alias("mean"), rnd("p50", 3).alias("p50"))
 
 
-@query("io07_product_audit", f"""WITH {GRID} SELECT 'qc_360' AS product, count(DISTINCT t) AS n_times, 1 AS n_cadences, 360.0::DOUBLE AS cadence_min, 0 AS mask_mismatch, 0 AS repeated_cells FROM gr""")
+@query("io07_product_audit", f"""WITH {GRID},
+fl AS (SELECT *, CASE WHEN lon IS NOT NULL AND cell % 50 = 7 THEN NULL WHEN lon IS NOT NULL AND cell % 60 = 11 THEN 200.0 ELSE lon END AS x FROM gr),
+st AS (SELECT DISTINCT t FROM fl), sp2 AS (SELECT t - lag(t) OVER (ORDER BY t) AS d FROM st)
+SELECT 'qc_360' AS product, (SELECT count(*) FROM st) AS n_times, (SELECT CAST(count(DISTINCT d) AS INTEGER) FROM sp2) AS n_cadences, (SELECT min(d)/6e7 FROM sp2) AS cadence_min,
+ CAST(count_if((x IS NULL) <> (lat IS NULL)) + count_if((x IS NULL) <> (lat IS NULL) AND cell % 97 = 3) AS INTEGER) AS mask_mismatch,
+ CAST(count_if(x >= 180) + count_if(x >= 180 AND cell % 97 = 3) AS INTEGER) AS lon_out_of_range, CAST(count_if(cell % 97 = 3) AS INTEGER) AS repeated_cells FROM fl""")
 def _(spark, sf):
     g = gridded(spark, sf).withColumn("product", F.lit("qc_360"))
+    here = F.col("lon").isNotNull()
+    g = g.withColumn("lon", F.when(here & (F.col("cell") % 50 == 7), None).when(here & (F.col("cell") % 60 == 11), 200.0).otherwise(F.col("lon")))
+    g = g.unionByName(g.where("cell % 97 = 3"))
     a = tables.product_audit(frames.cut(g))
-    return a.select("product", "n_times", F.col("n_cadences").cast("int").alias("n_cadences"), "cadence_min", F.col("mask_mismatch").cast("int").alias("mask_mismatch"), F.col("repeated_cells").cast("int").alias("repeated_cells"))
+    return a.select("product", "n_times", *[F.col(c).cast("int").alias(c) for c in ("n_cadences", "mask_mismatch", "lon_out_of_range", "repeated_cells")], "cadence_min")
 
 
 @query("io11_select_ids", """SELECT CAST(user_id AS VARCHAR) AS platform_id, count(*) AS n FROM events WHERE user_id IN (1, 3, 7) GROUP BY 1 UNION ALL SELECT 'nobody', 0""")

@@ -35,23 +35,29 @@ def epsilon(pairs: DataFrame, by: list[str]) -> DataFrame:
     return a.withColumn("identity_error", F.abs(F.col("epsilon") - F.col("weighted_q")))
 
 
-def moments(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Raw and central moments 1–4 (population); the mean is subtracted before the powers are summed."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    v = F.col("__v")
-    raw = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias(f"n_{name}"), F.avg("__v").alias(f"mean_{name}"), F.avg(v * v).alias(f"raw2_{name}"),
-        F.avg(v * v * v).alias(f"raw3_{name}"), F.avg(v * v * v * v).alias(f"raw4_{name}"))
-    keys = raw.select(*by, F.col(f"mean_{name}").alias("__m"))
-    d = F.col("__v") - F.col("__m")
-    centred = rows.join(keys, by) if by else rows.crossJoin(F.broadcast(keys))
-    cen = centred.groupBy(*by).agg(
-        F.avg(d * d).alias(f"var_{name}"), F.avg(d * d * d).alias(f"cen3_{name}"), F.avg(d * d * d * d).alias(f"cen4_{name}"))
-    j = raw.join(cen, by) if by else raw.crossJoin(F.broadcast(cen))
-    r2, c2 = F.col(f"raw2_{name}"), F.col(f"var_{name}")
-    return j.withColumns({
+def _moment_sums(v: Column, name: str) -> list[Column]:
+    """Aggregates for :func:`_moment_columns`; Spark merges the central ones without cancellation."""
+    return [
+        F.count(v).alias(f"n_{name}"), F.avg(v).alias(f"mean_{name}"), F.avg(v * v).alias(f"raw2_{name}"), F.avg(v * v * v).alias(f"raw3_{name}"),
+        F.avg(v * v * v * v).alias(f"raw4_{name}"), F.var_pop(v).alias(f"var_{name}"), F.skewness(v).alias(f"skew_{name}"), F.kurtosis(v).alias(f"flat_{name}"),
+    ]
+
+
+def _moment_columns(name: str) -> dict[str, Column]:
+    """Central moments and ratios from the aggregates; a group without values has none."""
+    c2, r2 = F.col(f"var_{name}"), F.col(f"raw2_{name}")
+    third, fourth = F.when(c2 > 0, F.col(f"skew_{name}")), F.when(c2 > 0, F.col(f"flat_{name}") + 3)
+    central = lambda ratio, power: F.when(c2 > 0, ratio * F.pow(c2, F.lit(power))).otherwise(c2)
+    return {
+        f"cen3_{name}": central(third, 1.5), f"cen4_{name}": central(fourth, 2.0),
         f"ratio3_{name}": F.when(r2 > 0, F.col(f"raw3_{name}") / F.pow(r2, F.lit(1.5))), f"ratio4_{name}": F.when(r2 > 0, F.col(f"raw4_{name}") / (r2 * r2)),
-        f"skew_{name}": F.when(c2 > 0, F.col(f"cen3_{name}") / F.pow(c2, F.lit(1.5))), f"flat_{name}": F.when(c2 > 0, F.col(f"cen4_{name}") / (c2 * c2))})
+        f"skew_{name}": third, f"flat_{name}": fourth, f"n_{name}": F.when(F.col(f"n_{name}") > 0, F.col(f"n_{name}")),
+    }
+
+
+def moments(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Raw and central moments 1–4 (population) in one pass."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*_moment_sums(F.col(value), name)).withColumns(_moment_columns(name))
 
 
 def support(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -95,15 +101,16 @@ def separation_bins(pairs: DataFrame, edges: list[float], by: list[str], *, kind
         F.avg("r_m").alias("mean_r"), F.avg("__c").alias("s_lll"), estimator(F.sum("__c"), F.sum("r_m")).alias("epsilon"),
         F.sum("__c").alias("__sc"), F.sum("r_m").alias("__sr"), F.sum("__a").alias("__sa"), F.sum(F.col("__a") * F.col("__a")).alias("__sa2"),
         F.avg("mid_lat").alias("mean_lat"), F.avg(F.col("dul") * F.col("dul")).alias("__s2"), ext.alias("__x"),
-        F.min("time").alias("__t0"), F.max("time").alias("__t1"), F.count(F.lit(1)).alias("__n"))
+        F.min("time").alias("__t0"), F.max("time").alias("__t1"), F.count(F.lit(1)).alias("__n"),
+        *_moment_sums(F.col("dul"), "dul"), *_moment_sums(F.col("dut"), "dut"))
+    main = main.withColumns({**_moment_columns("dul"), **_moment_columns("dut")})
     share = Window.partitionBy(*g, "__h").orderBy(F.desc("__a"), "pair_id", "time")
     best = Window.partitionBy(*g).orderBy(F.desc("__a"), "pair_id", "time")
     tops = b.select(*g, "__a", "pair_id", "time").withColumn("__h", F.pmod(F.xxhash64("pair_id", "time"), F.lit(64)))
     tops = tops.withColumn("__r", F.row_number().over(share)).where("__r <= 5").withColumn("__r", F.row_number().over(best)).where("__r <= 5")
     tops = tops.groupBy(*g).agg(F.sum("__a").alias("__top5"))
     hours = b.select(*g, F.date_trunc("hour", "time").alias("h")).distinct().groupBy(*g).agg(F.count(F.lit(1)).alias("occupied_hours"))
-    m1, m2 = moments(b, g, "dul", "dul"), moments(b, g, "dut", "dut")
-    got = main.join(support(b, g), g).join(tops, g).join(hours, g).join(m1, g).join(m2, g, "left")
+    got = main.join(support(b, g), g).join(tops, g).join(hours, g)
     spark = pairs.sparkSession
     if by:
         dense = pairs.select(*by).distinct().crossJoin(F.broadcast(bin_table(spark, edges)))

@@ -76,3 +76,22 @@ def test_near_pairs_match_brute_force(spark):
 
 def test_shared_folder_follows_the_session(spark):
     assert frames.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_rows_without_time_are_cut_by_their_second_order(spark):
+    d = spark.range(20_000).select(F.lit("p").alias("platform_id"), F.lit(None).cast("timestamp").alias("time"), F.col("id").alias("obs_index"))
+    out = frames.scan(d, "platform_id", ["time", "obs_index"], lag={"prev": F.col("obs_index")}, total={"n": F.lit(1).cast("long")})
+    chunks = d.select(frames.chunk_of(d, ["time", "obs_index"], frames.CHUNK_US).alias("c")).groupBy("c").count()
+    assert chunks.count() == 5 and chunks.agg(F.max("count")).first()[0] <= frames.NULL_ROWS
+    assert out.where("n <> obs_index + 1 OR NOT prev <=> nullif(obs_index - 1, -1)").count() == 0
+
+
+def test_quantiles_of_tiny_values_use_many_buckets(spark):
+    d = spark.range(2000).select(F.lit(1).alias("g"), ((F.col("id") + 1) * 1e-9 * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("v"))
+    assert d.select(frames._coarse(F.col("v")).alias("b")).distinct().count() > 1500
+    ordered = [r.v for r in d.orderBy("v").collect()]
+    assert [r.b for r in d.orderBy("v").select(frames._coarse(F.col("v")).alias("b")).collect()] == sorted(r.b for r in d.select(frames._coarse(F.col("v")).alias("b")).collect())
+    q = frames.quantiles(d, "g", {"v": F.col("v")}, {"p1": 0.1, "p9": 0.9}).first()
+    import numpy as np
+
+    assert np.allclose([q.v_p1, q.v_p9], np.quantile(ordered, [0.1, 0.9]), rtol=1e-12, atol=0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from fleetwake.functions import wgs84
 from fleetwake.functions.wgs84 import direct_arrays, inverse_arrays
 
 
@@ -34,3 +35,19 @@ def test_equal_points_and_equator():
     assert s[0] == 0
     s, az = inverse_arrays(*[np.array([v]) for v in (0.0, 0.0, 1.0, 0.0)])
     assert abs(s[0] - 111319.4908) < 1e-3 and abs(az[0] - 90) < 1e-9
+
+
+def test_near_antipodal_pairs_have_a_distance():
+    # Published values for (0, 0) - (179.5, 0.5) and (0, -30) - (179.8, 29.9).
+    d, az = wgs84.inverse_arrays(np.array([0.0, 0.0, 0.0]), np.array([0.0, -30.0, 0.0]), np.array([179.5, 179.8, 179.7]), np.array([0.5, 29.9, 0.2]))
+    assert np.allclose(d[:2], [19936288.579, 19989832.827610], atol=1e-3) and np.allclose(az[:2], [25.671872868, 161.890524736], atol=1e-6)
+    assert np.isfinite(d).all()
+
+
+def test_bisection_agrees_with_the_steps_and_keeps_the_sides():
+    r = np.random.default_rng(4)
+    lon1, lon2, lat1, lat2 = r.uniform(-180, 180, 500), r.uniform(-180, 180, 500), r.uniform(-89, 89, 500), r.uniform(-89, 89, 500)
+    d, az = wgs84.inverse_arrays(lon1, lat1, lon2, lat2)
+    reduced = lambda lat: np.arctan((1 - wgs84.FLATTENING) * np.tan(np.radians(lat)))
+    d2, az2 = wgs84._bisected(np.radians((lon2 - lon1 + 180) % 360 - 180), reduced(lat1), reduced(lat2))
+    assert np.abs(d - d2).max() < 1e-5 and np.abs((az - az2 + 180) % 360 - 180).max() < 1e-8
