@@ -266,14 +266,21 @@ def _(spark, sf):
     return p.select("pair_id", "shell", "status", "termination_reason", "missing_count", rnd("max_gap_min", 3).alias("max_gap_min"))
 
 
-@query("fs05_pair_catalogue", f"""WITH {FS}, m AS (SELECT pair_id, min(d) AS md, min(t) AS s, max(t) AS e FROM d0 WHERE d IS NOT NULL GROUP BY 1), g AS (SELECT DISTINCT pair_id, CAST(split_part(pair_id, '|', 1) AS BIGINT) % 2 AS c1, CAST(split_part(pair_id, '|', 2) AS BIGINT) % 2 AS c2 FROM d0)
-SELECT pair_id, CASE WHEN c1 = c2 THEN 'within_cluster' ELSE 'chance' END AS kind, round(md, 5) AS min_distance_km, e AS end_us FROM m JOIN g USING (pair_id) WHERE c1 = c2 OR md <= 4""")
+PICK = f"""{GRID}, g AS (SELECT platform_id, user_id // 20 AS array_id, user_id // 5 AS cluster_id, t, gap, lon, lat FROM gr WHERE lon IS NOT NULL),
+pr AS (SELECT a.platform_id AS p1, b.platform_id AS p2, a.array_id, a.cluster_id AS k1, b.cluster_id AS k2, a.t, a.lon AS lo0, a.lat AS la0, b.lon AS lo1, b.lat AS la1, a.gap <= 1440 AND b.gap <= 1440 AS held
+  FROM g a JOIN g b ON a.array_id = b.array_id AND a.t = b.t AND a.platform_id < b.platform_id), {geodesic("pr")},
+mi AS (SELECT p1, p2, any_value(k1) AS k1, any_value(k2) AS k2, min(s) FILTER (WHERE held)/1000 AS md, arg_min(t, s) FILTER (WHERE held) AS mt, min(t) FILTER (WHERE held) AS f, max(t) AS e FROM geo GROUP BY 1, 2),
+pk AS (SELECT *, CASE WHEN k1 = k2 THEN 'within_cluster' ELSE 'chance' END AS kind FROM mi WHERE md IS NOT NULL AND (k1 = k2 OR md <= 4))"""
+
+
+def picked(spark, sf):
+    return passage.pair_catalogue(plane(spark, sf), chance_km=4.0, max_gap_min=1440.0)
+
+
+@query("fs05_pair_catalogue", f"""WITH {PICK} SELECT p1 || '|' || p2 AS pair_id, kind, round(md, 5) AS min_distance_km, CASE WHEN kind = 'chance' THEN mt ELSE f END AS start_us, e AS end_us FROM pk""")
 def _(spark, sf):
-    d = distances(spark, sf)
-    half = lambda i: F.element_at(F.split("pair_id", r"\|"), i).cast("long") % 2
-    g = d.select("pair_id", "array_id").distinct().withColumns({"cluster_1": half(1), "cluster_2": half(2)})
-    c = passage.pair_catalogue(d, g, 4.0)
-    return c.select("pair_id", "kind", rnd("min_distance_km", 5).alias("min_distance_km"), us("analysis_end").alias("end_us"))
+    c = picked(spark, sf)
+    return c.select("pair_id", "kind", rnd("min_distance_km", 5).alias("min_distance_km"), us("analysis_start").alias("start_us"), us("analysis_end").alias("end_us"))
 
 
 SETS = [("pooled", ["array_id"]), ("cluster", ["array_id", "cluster_id"])]
@@ -296,12 +303,12 @@ def _(spark, sf):
     return f.where("shells > 0").select("scope", "array_id", "shells", rnd(F.log("coefficient"), 5).alias("log_a"), rnd("log_rmse", 5).alias("log_rmse"))
 
 
-@query("fs09_cluster_inventory", """WITH p AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id // 5 AS cluster_id, count(*) AS members FROM p GROUP BY 1)
-SELECT cluster_id, members, members*(members-1)//2 AS possible_pairs, members = 5 AS size_ok FROM n""")
+@query("fs09_cluster_inventory", f"""WITH {PICK}, n AS (SELECT user_id // 5 AS cluster_id, count(DISTINCT user_id) AS members FROM events GROUP BY 1),
+w AS (SELECT k1 AS cluster_id, count(*) AS k FROM pk WHERE kind = 'within_cluster' GROUP BY 1)
+SELECT cluster_id, members, members*(members-1)//2 AS possible_pairs, coalesce(k, 0) AS selected_pairs, members = 5 AS size_ok FROM n LEFT JOIN w USING (cluster_id)""")
 def _(spark, sf):
     p = events(spark, sf).select("user_id").distinct().select(F.floor(F.col("user_id") / 5).cast("long").alias("cluster_id"), F.lit(5).alias("cluster_size"))
-    cat = p.sparkSession.createDataFrame([], "kind string, cluster_1 long")
-    return passage.cluster_inventory(p, cat).select("cluster_id", "members", "possible_pairs", "size_ok")
+    return passage.cluster_inventory(p, picked(spark, sf)).select("cluster_id", "members", "possible_pairs", "selected_pairs", "size_ok")
 
 
 def aged(spark, sf):

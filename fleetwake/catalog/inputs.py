@@ -96,10 +96,10 @@ def geodesic(source: str, out: str = "geo", steps: int = 8) -> str:
     drop = "e, n, cs, ss, sg, sa, c2, cm, c"
     for i in range(steps):
         more = "sp + (1 - c)/298.257223563*sa*(sg + c*ss*(cm + c*cs*(2*cm*cm - 1)))"
-        ctes.append(f"{out}_{i + 1} AS (SELECT * EXCLUDE ({drop}, lam), {more} AS lam FROM ({inner.format(i)}))")
+        ctes.append(f"{out}_{i + 1} AS MATERIALIZED (SELECT * EXCLUDE ({drop}, lam), {more} AS lam FROM ({inner.format(i)}))")
     minor = f"(6378137.0*{flat})"
     ctes.append(f"""{out}_u AS (SELECT *, c2*(6378137.0*6378137.0 - {minor}*{minor})/({minor}*{minor}) AS q FROM ({inner.format(steps)}))""")
     big_b = "(q/1024*(256 + q*(-128 + q*(74 - 47*q))))"
     delta = f"({big_b}*ss*(cm + {big_b}/4*(cs*(2*cm*cm - 1) - {big_b}/6*cm*(4*ss*ss - 3)*(4*cm*cm - 3))))"
-    ctes.append(f"{out} AS (SELECT * EXCLUDE ({drop}, lam, sp, u1, u2, q), {minor}*(1 + q/16384*(4096 + q*(-768 + q*(320 - 175*q))))*(sg - {delta}) AS s, degrees(atan2(e, n)) AS az FROM {out}_u)")
+    ctes.append(f"{out} AS MATERIALIZED (SELECT * EXCLUDE ({drop}, lam, sp, u1, u2, q), {minor}*(1 + q/16384*(4096 + q*(-768 + q*(320 - 175*q))))*(sg - {delta}) AS s, degrees(atan2(e, n)) AS az FROM {out}_u)")
     return ",\n".join(ctes)

@@ -359,13 +359,16 @@ def flag_summary(flags: DataFrame, platforms: DataFrame, tolerance_s: float = 1.
 
 
 def case_context(obs: DataFrame, cases: DataFrame, minutes: float = 45.0) -> DataFrame:
-    """Rows around the chosen cases (a handful of rows, so they are broadcast).
+    """Rows around the chosen cases, which meet them in time cells of the span around a case.
 
     ``cases``: case_id, platform_id, time_2.
     """
-    c = F.broadcast(cases.select("case_id", KEY, F.col("time_2").alias("__t")))
+    width = max(1, round(minutes * 60e6))
+    cell = F.floor(F.unix_micros("time") / width)
+    c = cases.select("case_id", KEY, F.col("time_2").alias("__t"))
+    c = c.withColumn("__c", F.explode(F.array(*[F.floor(F.unix_micros("__t") / width) + i for i in (-1, 0, 1)])))
     off = geo.seconds_between("__t", "time") / 60
-    return obs.join(c, KEY).withColumn("offset_min", off).where(F.abs("offset_min") <= minutes).drop("__t")
+    return obs.withColumn("__c", cell).join(c, [KEY, "__c"]).drop("__c").withColumn("offset_min", off).where(F.abs("offset_min") <= minutes).drop("__t")
 
 
 def run_summary(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -408,7 +411,11 @@ def timing_summary(compared: DataFrame, cohort: Column, tolerance_s: float = 1.0
     zero = lambda c: F.when(F.abs(c) <= band, 0.0).otherwise(F.col(c))
     d = compared.withColumn("cohort", cohort)
     aggs = []
-    for c in ("delay_first_h", "delay_valid_h", "delay_first_to_valid_h"):
-        aggs += [F.median(zero(c)).alias(f"{c}_median"), F.min(zero(c)).alias(f"{c}_min"), F.max(zero(c)).alias(f"{c}_max")]
-    return d.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_if("qc_first_precedes_valid").alias("first_precedes_valid"),
-                                   F.count_if(F.abs("delay_first_h") <= band).alias("equal_first_times"), *aggs)
+    delays = ("delay_first_h", "delay_valid_h", "delay_first_to_valid_h")
+    for c in delays:
+        aggs += [F.min(zero(c)).alias(f"{c}_min"), F.max(zero(c)).alias(f"{c}_max")]
+    middle = frames.quantiles(d, "cohort", {c: zero(c) for c in delays}, {"median": 0.5}).drop(*[f"{c}_n" for c in delays])
+    out = d.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_if("qc_first_precedes_valid").alias("first_precedes_valid"),
+                                F.count_if(F.abs("delay_first_h") <= band).alias("equal_first_times"), *aggs)
+    same = out["cohort"].eqNullSafe(middle["cohort"])
+    return out.join(middle, same, "left").drop(middle["cohort"])

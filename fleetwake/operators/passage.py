@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwake.functions import wgs84
 from fleetwake.functions.bins import bin_index, bin_table
 from fleetwake.operators import frames
+from fleetwake.operators.pairs import near_pairs
 
+KEY = "platform_id"
 PAIR = "pair_id"
 DAY_US = 86_400_000_000
 
@@ -126,19 +129,46 @@ def observed_passages(series: DataFrame, edges: list[float], interval_s: float,
         only(F.log(F.col("x.distance_km") / F.col("entry_km"))).alias("log_growth"), F.coalesce("missing_count", F.lit(0)).alias("missing_count"), "max_gap_min")
 
 
-def pair_catalogue(distances: DataFrame, groups: DataFrame, chance_km: float = 10.0) -> DataFrame:
-    """Pairs to analyse: all within a cluster, and chance pairs whose least distance is small.
+def pair_catalogue(grid: DataFrame, *, chance_km: float = 10.0, max_gap_min: float | None = None, start=None, end=None) -> DataFrame:
+    """Pairs to analyse: all pairs of a cluster, and pairs of other clusters of the array that come near by chance.
 
-    ``distances``: pair_id, time, distance_km. ``groups``: pair_id, array_id, cluster_1, cluster_2.
+    ``grid``: array_id, cluster_id, platform_id, time, lon, lat, source_gap_min. A common sample is
+    supported where both source gaps are at most ``max_gap_min``. The least distance counts supported
+    samples only; a cluster pair starts at its first supported sample, a chance pair at its (earliest)
+    nearest one if that is within ``chance_km``. Both end with the last common sample, supported or
+    not. ``start`` (included) and ``end`` (excluded) bound the time. Chance pairs are found
+    through cells of the chance distance, so far pairs of an array never form.
     """
-    ok = distances.where("distance_km IS NOT NULL")
-    low = ok.groupBy(PAIR).agg(F.min_by(F.struct("distance_km", "time"), F.struct("distance_km", "time")).alias("m"), F.min("time").alias("first_common"), F.max("time").alias("analysis_end"))
-    j = groups.join(low, PAIR)
-    within = F.col("cluster_1") == F.col("cluster_2")
-    j = j.withColumn("kind", F.when(within, "within_cluster").when(F.col("m.distance_km") <= chance_km, "chance"))
-    return j.where("kind IS NOT NULL").select(
-        PAIR, "array_id", "cluster_1", "cluster_2", "kind", F.when(F.col("kind") == "chance", F.col("m.time")).otherwise(F.col("first_common")).alias("analysis_start"),
-        "analysis_end", F.col("m.distance_km").alias("min_distance_km"), F.col("m.time").alias("min_time"))
+    rows = grid.where("lon IS NOT NULL AND lat IS NOT NULL")
+    if start is not None:
+        rows = rows.where(F.col("time") >= F.lit(start))
+    if end is not None:
+        rows = rows.where(F.col("time") < F.lit(end))
+    held = F.lit(True) if max_gap_min is None else F.coalesce(F.col("source_gap_min") <= max_gap_min, F.lit(False))
+    rows = frames.cut(rows.select("array_id", "cluster_id", KEY, "time", "lon", "lat", held.alias("held")))
+    p1, p2 = f"{KEY}_1", f"{KEY}_2"
+    least = F.min(F.struct("distance_m", "time"))
+
+    together = frames.salted_pairs(rows, ["array_id", "cluster_id", "time"], KEY)
+    both = F.col("held_1") & F.col("held_2")
+    together = together.withColumn("distance_m", F.when(both, wgs84.inverse("lon_1", "lat_1", "lon_2", "lat_2")["s"]))
+    within = together.groupBy("array_id", F.col("cluster_id").alias("cluster_1"), F.col("cluster_id").alias("cluster_2"), p1, p2).agg(
+        F.min(F.when(both, F.struct("distance_m", "time"))).alias("m"), F.min(F.when(both, F.col("time"))).alias("analysis_start"), F.max("time").alias("analysis_end"))
+    within = within.where("m IS NOT NULL").withColumn("kind", F.lit("within_cluster"))
+
+    met = near_pairs(rows.where("held").drop("held"), chance_km * 1000.0, ("array_id",))
+    of = rows.select(KEY, "array_id", "cluster_id").distinct()
+    met = met.groupBy("array_id", p1, p2).agg(least.alias("m"))
+    for i in (1, 2):
+        met = met.join(of.select("array_id", F.col(KEY).alias(f"{KEY}_{i}"), F.col("cluster_id").alias(f"cluster_{i}")), ["array_id", f"{KEY}_{i}"])
+    met = frames.cut(met.where("cluster_1 <> cluster_2"))
+    times = rows.select("array_id", KEY, "time")
+    last = met.select("array_id", p1, p2).join(times.withColumnRenamed(KEY, p1), ["array_id", p1]).join(times.withColumnRenamed(KEY, p2), ["array_id", p2, "time"])
+    last = last.groupBy("array_id", p1, p2).agg(F.max("time").alias("analysis_end"))
+    chance = met.join(last, ["array_id", p1, p2]).withColumns({"analysis_start": F.col("m.time"), "kind": F.lit("chance")})
+    return within.unionByName(chance).select(
+        F.concat_ws("|", p1, p2).alias(PAIR), "array_id", p1, p2, "cluster_1", "cluster_2", "kind", "analysis_start", "analysis_end",
+        (F.col("m.distance_m") / 1000).alias("min_distance_km"), F.col("m.time").alias("min_time"))
 
 
 def spectrum(passages: DataFrame, edges: list[float], sets: list[tuple[str, list[str]]], min_reached: int = 3) -> DataFrame:
@@ -154,7 +184,9 @@ def spectrum(passages: DataFrame, edges: list[float], sets: list[tuple[str, list
         a = p.groupBy(*g).agg(
             F.count_if("__k").alias("at_risk"), F.count_if("__r").alias("reached"), F.count_if(~F.col("__k")).alias("not_observed"),
             F.avg(only("passage_days")).alias("mean_days"), F.avg(only("log_growth")).alias("mean_growth"), F.stddev_samp(only("passage_days")).alias("std_days"),
-            F.median(only("passage_days")).alias("median_days"), F.avg(F.when(r, F.col("log_growth") * F.col("log_growth") / F.col("passage_days"))).alias("__g2"))
+            F.avg(F.when(r, F.col("log_growth") * F.col("log_growth") / F.col("passage_days"))).alias("__g2"))
+        middle = frames.quantiles(passages.where(r), g, {"days": F.col("passage_days")}, {"median": 0.5}).select(*g, F.col("days_median").alias("median_days"))
+        a = a.join(middle, g, "left")
         total = passages.select(*by, PAIR).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("total_pairs"))
         dense = total.crossJoin(F.broadcast(_shells(passages.sparkSession, edges)))
         j = dense.join(a, g, "left").na.fill(0, ["at_risk", "reached", "not_observed"])
