@@ -333,14 +333,21 @@ def _(spark, sf):
     return a.join(r, ["array_id", "time"], "left").select("array_id", us("time").alias("t_us"), "platforms", rnd("rms_m", 3).alias("rms_m"), "pairs", rnd(F.sqrt("dispersion_m2"), 3).alias("relative_m"))
 
 
-@query("pj01_bootstrap_mean")
+_MD5 = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
+
+
+@query("pj01_bootstrap_mean", f"""WITH {CLOSE}, vv AS (SELECT array_id, p1 || '|' || p2 AS pair_id, t, (r - r0)*(r - r0) AS value FROM sr),
+pn AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY {_MD5.format("pair_id")}, pair_id) - 1 AS n, count(*) OVER (PARTITION BY array_id) AS size FROM (SELECT DISTINCT array_id, pair_id FROM vv)),
+dr AS (SELECT array_id, rep, {_MD5.format("'3|' || array_id || '|' || rep || '|' || n")} % size AS n, count(*) AS w FROM pn, (SELECT unnest(range(100)) AS rep) GROUP BY 1, 2, 3),
+mm AS (SELECT vv.array_id, t, rep, sum(value*w)/sum(w) AS m FROM vv JOIN pn USING (array_id, pair_id) JOIN dr ON dr.array_id = pn.array_id AND dr.n = pn.n GROUP BY 1, 2, 3)
+SELECT array_id, t AS t_us, round(sqrt(quantile_cont(m, 0.025)), 4) AS lower, round(sqrt(quantile_cont(m, 0.5)), 4) AS median, round(sqrt(quantile_cont(m, 0.975)), 4) AS upper FROM mm GROUP BY 1, 2""")
 def _(spark, sf):
     p = aged(spark, sf)
     c = frames.cut(dispersion.close_pairs(p, BY, 3000.0))
     s = dispersion.pair_separations(p, c, BY)
     v = frames.cut(s.select("array_id", "pair_id", "time", ((F.col("r") - F.col("r0")) * (F.col("r") - F.col("r0"))).alias("value")))
     b = dispersion.bootstrap_mean(v, BY, replicates=100, seed=3)
-    return b.select("array_id", us("time").alias("t_us"), *[rnd(x, 2).alias(x) for x in ("lower", "median", "upper")])
+    return b.select("array_id", us("time").alias("t_us"), *[rnd(F.sqrt(x), 4).alias(x) for x in ("lower", "median", "upper")])
 
 
 @query("pj03_regimes", f"""WITH {CLOSE}, ab AS (SELECT g.array_id, g.age, avg(pow(g.x-an.x,2)+pow(g.y-an.y,2)) AS msd FROM ag0 g JOIN an ON an.platform_id = g.platform_id WHERE g.age >= 0 AND g.x IS NOT NULL GROUP BY 1, 2),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwake.functions.bins import bin_index, bin_table, linear_edges
 from fleetwake.operators import frames
@@ -13,6 +15,7 @@ from fleetwake.operators.thirdorder import FOUR_FIFTHS, moments
 
 KEY = "platform_id"
 P1, P2 = f"{KEY}_1", f"{KEY}_2"
+PAIR_BLOCK = 4096  # resampled pairs of one matrix product
 
 
 def bootstrap_mean(values: DataFrame, by: list[str], *, replicates: int, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -21,14 +24,39 @@ def bootstrap_mean(values: DataFrame, by: list[str], *, replicates: int, level:
     ``values``: by, pair_id, time, value. Draws are hashes of (seed, replicate, slot) over the
     numbered pairs; the count of a pair in a replicate is its weight.
     """
-    pairs = frames.cut(frames.number(values.select(*by, "pair_id").distinct().withColumn("__k", F.xxhash64("pair_id")), by, ["__k", "pair_id"], width=2**52, out="n").drop("__k"))
+    def hashed(*of) -> Column:
+        """The first 13 hexadecimal digits of an MD5 as a number."""
+        return F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in of])), 1, 13), 16, 10).cast("long")
+
+    keyed = values.select(*by, "pair_id").distinct().withColumn("__k", hashed(F.col("pair_id")))
+    pairs = frames.cut(frames.number(keyed, by, ["__k", "pair_id"], width=2**40, out="n").drop("__k"))
     size = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
     # A replicate has as many draws as pairs: slots are the pairs themselves, one task's share each.
     draws = pairs.join(size, by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
-        "hit", F.pmod(F.xxhash64(F.lit(seed), *by, "rep", "n"), F.col("size")))
-    w = draws.groupBy(*by, "rep", F.col("hit").alias("n")).agg(F.count(F.lit(1)).alias("w")).join(pairs, [*by, "n"]).select(*by, "rep", "pair_id", "w")
-    v = values.where("value IS NOT NULL").join(w, [*by, "pair_id"])
-    m = v.groupBy(*by, "time", "rep").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("m"))
+        "hit", hashed(F.lit(seed), *[F.col(c) for c in by], F.col("rep"), F.col("n")) % F.col("size"))
+    w = draws.groupBy(*by, "rep", F.col("hit").alias("n")).agg(F.count(F.lit(1)).alias("w"))
+    # Blocks of pairs: one matrix product (times x pairs) (pairs x replicates) each, then sums over blocks.
+    block = F.floor(F.col("n") / PAIR_BLOCK)
+    v = values.where("value IS NOT NULL").join(pairs, [*by, "pair_id"]).select(*by, block.alias("__b"), "n", "time", F.col("value").cast("double").alias("value"))
+    w = w.withColumn("__b", block)
+    schema = T.StructType([*[values.schema[c] for c in by], T.StructField("time", values.schema["time"].dataType), T.StructField("rep", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.DoubleType())])
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        times, t = np.unique(left["time"].to_numpy(), return_inverse=True)
+        members, n = np.unique(np.concatenate([left["n"].to_numpy(), right["n"].to_numpy()]), return_inverse=True)
+        weight = np.zeros((len(members), replicates))
+        np.add.at(weight, (n[len(left) :], right["rep"].to_numpy()), right["w"].to_numpy())
+        x, there = np.zeros((len(times), len(members))), np.zeros((len(times), len(members)))
+        np.add.at(x, (t, n[: len(left)]), left["value"].to_numpy())
+        np.add.at(there, (t, n[: len(left)]), 1.0)
+        sums, counts = x @ weight, there @ weight
+        at, rep = np.nonzero(counts)
+        keys = [left[c].slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(at), int))) for c in by] if len(left) else [pa.nulls(0, left.schema.field(c).type) for c in by]
+        stamps = pa.array(times[at]).cast(left.schema.field("time").type)
+        return pa.table([*keys, stamps, pa.array(rep), pa.array(sums[at, rep]), pa.array(counts[at, rep])], names=[*by, "time", "rep", "s", "c"])
+
+    parts = v.groupBy(*by, "__b").cogroup(w.select(*by, "__b", "n", F.col("rep").cast("long").alias("rep"), F.col("w").cast("double").alias("w")).groupBy(*by, "__b")).applyInArrow(product, schema)
+    m = parts.groupBy(*by, "time", "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
     a = (1 - level) / 2
     return m.groupBy(*by, "time").agg(*[F.percentile("m", F.lit(p)).alias(n) for n, p in (("lower", a), ("median", 0.5), ("upper", 1 - a))])
 
