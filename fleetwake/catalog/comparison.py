@@ -243,7 +243,21 @@ def _(spark, sf):
     return compare.run_summary(r)[1]
 
 
-@query("cm18_choose_examples")
+_FAST, _SLOW = "max_speed DESC, platform_id, run", "max_speed, platform_id DESC, run DESC"
+_PICKS = " UNION ALL ".join(
+    f"(SELECT {k} AS priority, class, platform_id, run, max_speed FROM ol WHERE class = '{c}' {w} ORDER BY {o} LIMIT {n})"
+    for k, c, w, o, n in (
+        (0, "isolated_spike_candidate", "AND clean", _FAST, 1), (1, "isolated_spike_candidate", "", _FAST, 1), (2, "isolated_spike_candidate", "AND clean", _SLOW, 1),
+        (3, "isolated_spike_candidate", "", _FAST, 3), (0, "persistent_high_speed_run", "", f"n_edges DESC, {_FAST}", 1), (1, "persistent_high_speed_run", "", _FAST, 3)))
+
+
+@query("cm18_choose_examples", f"""WITH {JUMP},
+oa AS (SELECT platform_id, run, bool_or((NOT fb AND coalesce(dpa > 0 AND dpa <= {WIDE} AND {hav('lon_p', 'lat_p', 'lon_a', 'lat_a')}/dpa > {LIMIT}, false))
+  OR (NOT fa AND coalesce(dbc <= {WIDE} AND mbc/dbc > {LIMIT}, false))) AS outer_above FROM ht GROUP BY 1, 2),
+ol AS (SELECT rc.*, bu AND au AND NOT outer_above AS clean FROM rc JOIN oa USING (platform_id, run)),
+pk AS (SELECT class, platform_id, run, min(priority) AS priority, any_value(max_speed) AS max_speed FROM ({_PICKS}) GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY priority, max_speed DESC, platform_id, run) AS rank FROM pk)
+SELECT class, platform_id, run, rank FROM rk WHERE rank <= 3""")
 def _(spark, sf):
     r, _, _ = compare.jump_runs(rows(spark, sf), LIMIT, max_gap_s=WIDE)
     return compare.choose_examples(r).select("class", "platform_id", "run", "rank")
