@@ -293,7 +293,16 @@ ENC = f"""{GRID}, en AS (SELECT a.platform_id AS p1, b.platform_id AS p2, min(a.
  WHERE a.lon IS NOT NULL AND b.lon IS NOT NULL AND {hav('a.lon','a.lat','b.lon','b.lat')} <= 2500 GROUP BY 1, 2)"""
 
 
-@query("pr01_encounters")
+MET = f"""{GRID}, g AS (SELECT platform_id, user_id // 20 AS array_id, t, lon, lat FROM gr WHERE lon IS NOT NULL),
+bg AS (SELECT platform_id, min(t) AS s0 FROM gr GROUP BY 1),
+pr AS (SELECT a.platform_id AS p1, b.platform_id AS p2, a.t, a.lon AS lo0, a.lat AS la0, b.lon AS lo1, b.lat AS la1 FROM g a JOIN g b ON a.array_id = b.array_id AND a.t = b.t AND a.platform_id < b.platform_id),
+{geodesic("pr")},
+me AS (SELECT p1, p2, min(t) FILTER (WHERE s <= 2500) AS et, arg_min(s, t) FILTER (WHERE s <= 2500) AS em, min(t) AS os, max(t) AS oe FROM geo GROUP BY 1, 2)"""
+
+
+@query("pr01_encounters", f"""WITH {MET}
+SELECT p1 AS platform_id_1, p2 AS platform_id_2, et AS encounter_us, round(em, 2) AS encounter_m, os AS overlap_start_us, oe AS overlap_end_us
+FROM me JOIN bg x ON x.platform_id = p1 JOIN bg y ON y.platform_id = p2 WHERE et <= least(x.s0, y.s0) + 20*86400000000""")
 def _(spark, sf):
     e = pairs.encounters(_encounter_grid(spark, sf), 2500.0, max_from_start_s=20 * 86400.0, same=("array_id",))
     return e.select("platform_id_1", "platform_id_2", us("encounter_time").alias("encounter_us"), rnd("encounter_m", 2).alias("encounter_m"),
@@ -325,7 +334,10 @@ def _(spark, sf):
     return pairs.search_counts(p, g, found, ("array_id",)).select("possible", "eligible", F.col("overlapping").cast("long").alias("overlapping"))
 
 
-@query("pr03_pair_table")
+@query("pr03_pair_table", f"""WITH {MET},
+rw AS (SELECT p1, p2, a.t, a.lon AS x1, b.lon AS x2, a.lat AS y1, b.lat AS y2 FROM me JOIN gr a ON a.platform_id = p1 AND a.t BETWEEN os AND oe JOIN gr b ON b.platform_id = p2 AND b.t = a.t WHERE et IS NOT NULL)
+SELECT 'pair_' || substr(sha256('["' || p1 || '","' || p2 || '"]'), 1, 20) AS pair_id, row_number() OVER (PARTITION BY p1, p2 ORDER BY t) - 1 AS obs, t AS t_us,
+ round(degrees(atan2((sin(radians(x1)) + sin(radians(x2)))/2, (cos(radians(x1)) + cos(radians(x2)))/2)), 6) AS center_lon, round((y1 + y2)/2, 6) AS center_lat FROM rw""")
 def _(spark, sf):
     g = _encounter_grid(spark, sf)
     e = pairs.encounters(g, 2500.0, same=("array_id",))
