@@ -400,7 +400,22 @@ def _(spark, sf):
     return v.join(inc, "platform_id", "left_semi").select("platform_id", us("time").alias("t_us"), "stencil", rnd(F.col("u") * 1e3, 4).alias("u_mm"))
 
 
-@query("kn01_stored_velocity_in_plane")
+_ECC2 = "(1/298.257223563*(2 - 1/298.257223563))"
+_SIN2 = f"(1 - {_ECC2}*pow(sin(radians(py)), 2))"
+
+
+@query("kn01_stored_velocity_in_plane", f"""WITH {GRID},
+nx AS (SELECT platform_id, cell, user_id // 20 AS array_id, lon AS px, lat AS py, {_NEXT} FROM gr WINDOW w AS (PARTITION BY platform_id ORDER BY t)), {geodesic("nx", "ga")},
+fv AS (SELECT platform_id, cell, array_id, px, py, s/21600 AS v, radians(az) AS a FROM ga),
+fp AS (SELECT user_id // 20 AS array_id, platform_id, radians(arg_min(lon, t)) AS x, radians(arg_min(lat, t)) AS y FROM gr WHERE lon IS NOT NULL GROUP BY 1, 2),
+og AS (SELECT array_id, degrees(atan2(avg(cos(y)*sin(x)), avg(cos(y)*cos(x)))) AS lo0, degrees(atan2(avg(sin(y)), sqrt(pow(avg(cos(y)*cos(x)), 2) + pow(avg(cos(y)*sin(x)), 2)))) AS la0 FROM fp GROUP BY 1),
+pj AS (SELECT fv.*, og.lo0, og.la0, px AS lo1, py AS la1 FROM fv JOIN og USING (array_id)), {geodesic("pj", "gb")},
+pp AS (SELECT platform_id, cell, px, py, v, a, lo0, la0, s*sin(radians(az)) AS x, s*cos(radians(az)) AS y FROM gb),
+-- A step of one second is centimetres at most: the radii of curvature at its start are exact enough.
+pq AS (SELECT *, CASE WHEN v <= 0.02 THEN px + degrees(v*sin(a)*sqrt({_SIN2})/(6378137.0*cos(radians(py)))) END AS lo1,
+  CASE WHEN v <= 0.02 THEN py + degrees(v*cos(a)*pow({_SIN2}, 1.5)/(6378137.0*(1 - {_ECC2}))) END AS la1 FROM pp), {geodesic("pq", "gc")}
+SELECT platform_id, cell, CASE WHEN v IS NULL THEN 'missing_stored_forward_velocity' WHEN v > 0.02 THEN 'speed_mask_exceeded' ELSE 'valid' END AS reason,
+ round(s*sin(radians(az)) - x, 5) + 0.0 AS u, round(s*cos(radians(az)) - y, 5) + 0.0 AS v FROM gc""")
 def _(spark, sf):
     f = frames.cut(fixes(spark, sf))
     g = grid.regular_product(f, cells(f), 2880).withColumn("array_id", F.floor(F.col("user_id") / 20))
