@@ -259,9 +259,22 @@ def _(spark, sf):
     return p.select("pair_id", "shell", us("entry_time").alias("entry_us"), "status", "termination_reason", rnd("log_growth", 5).alias("log_growth"))
 
 
-@query("fs04_observed_passages_bridging")
+@query("fs04_observed_passages_bridging", f"""WITH {FS}, g0 AS (SELECT *, 360 + (t // 21600000000) % 29*100 AS gapm FROM ds),
+v AS (SELECT *, d IS NOT NULL AND gapm > 2880 AS hard, d IS NOT NULL AND gapm <= 2880 AS ok FROM g0),
+w AS (SELECT *, lag(d) OVER p AS pd, lag(t) OVER p AS pt, coalesce(lag(ok) OVER p, false) AS pok,
+  CASE WHEN ok THEN (t - last_value(CASE WHEN ok THEN t END IGNORE NULLS) OVER (PARTITION BY pair_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))/6e7 END AS gap
+  FROM v WINDOW p AS (PARTITION BY pair_id ORDER BY t)),
+e AS (SELECT pair_id, shell, min(t) AS et FROM w JOIN sh ON ok AND d >= lo AND d < hi AND ((pok AND pd < lo AND t - pt = 21600000000) OR (pt IS NULL AND d = lo)) GROUP BY 1, 2),
+x AS (SELECT e.pair_id, e.shell, min(t) AS xt FROM e JOIN sh USING (shell) JOIN w ON w.pair_id = e.pair_id AND t > et AND ok AND d >= hi GROUP BY 1, 2),
+sg AS (SELECT e.pair_id, e.shell, et, w.*, CASE WHEN hard THEN 'source_gap_limit' WHEN t > et AND gap > 2880 THEN 'elapsed_gap_limit' END AS fault
+  FROM e LEFT JOIN x USING (pair_id, shell) JOIN w ON w.pair_id = e.pair_id AND t >= et AND (xt IS NULL OR t <= xt)),
+f AS (SELECT pair_id, shell, arg_min(fault, t) FILTER (WHERE fault IS NOT NULL) AS why, count_if(NOT ok) AS missing, coalesce(max(gap) FILTER (WHERE t > et), 0) AS mg FROM sg GROUP BY 1, 2)
+SELECT p.pair_id, sh.shell, CASE WHEN et IS NULL THEN 'not_observed_entry' WHEN why IS NOT NULL THEN 'right_censored_gap' WHEN xt IS NULL THEN 'right_censored_track_end' ELSE 'reached' END AS status,
+ CASE WHEN et IS NULL THEN 'no_witnessed_entry' WHEN why IS NOT NULL THEN why WHEN xt IS NULL THEN 'track_end' ELSE 'upper_threshold_reached' END AS termination_reason, coalesce(missing, 0) AS missing_count, round(mg, 3) AS max_gap_min
+FROM (SELECT DISTINCT pair_id FROM ds) p CROSS JOIN sh LEFT JOIN e ON e.pair_id = p.pair_id AND e.shell = sh.shell LEFT JOIN x ON x.pair_id = p.pair_id AND x.shell = sh.shell LEFT JOIN f ON f.pair_id = p.pair_id AND f.shell = sh.shell""")
 def _(spark, sf):
-    d = distances(spark, sf).withColumn("source_gap_min", F.lit(360.0))
+    gap = 360 + F.floor(us("time") / F.lit(21_600_000_000)) % 29 * 100
+    d = distances(spark, sf).withColumn("source_gap_min", gap.cast("double"))
     p = passage.observed_passages(d, FE, 21600, policy="bridge_missing", max_gap_min=2880.0, keys=FK)
     return p.select("pair_id", "shell", "status", "termination_reason", "missing_count", rnd("max_gap_min", 3).alias("max_gap_min"))
 
