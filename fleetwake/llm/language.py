@@ -78,9 +78,10 @@ def classify(deployments: DataFrame, dictionaries: dict[str, bytes], *, key: str
     Deployment records have no language field in the library's own tables: ``lang`` is an extra
     column of the training rows given to :func:`fit`.
     """
-    given = deployments.select(F.col(key).alias("k"), F.col(note).alias("t"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    kept = given.drop("t")
-    schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    given = deployments.select(F.col(key).alias("k"), F.col(note).alias("t"), *[F.col(c).alias(f"keep_{c}") for c in keep if c != note])
+    shared.small_batches(deployments.sparkSession)
+    whole = note in keep
+    schema = (given if whole else given.drop("t")).select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     content = deployments.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
@@ -100,8 +101,8 @@ def classify(deployments: DataFrame, dictionaries: dict[str, bytes], *, key: str
                 names.append(sizes[0][1])
                 scores.append(score)
                 out.append(score < margin)
-            columns = [batch.column(0), *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
+            columns = [batch.column(0), *batch.columns[1 if whole else 2 :], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     done = given.mapInArrow(run, schema)
-    return done.select(F.col("k").alias(key), "lang_pred", "score", "rejected", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return done.select(F.col("k").alias(key), "lang_pred", "score", "rejected", *[F.col("t" if c == note else f"keep_{c}").alias(c) for c in keep])

@@ -159,6 +159,7 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
 
 def _resolve(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``k, h, t`` → ``k, h, n, component_id, kept`` for every row; h is the hash of the text."""
+    shared.small_batches(rows.sparkSession)
     signed = shared.cut(_signed(rows, shingle))
     named = signed.where("name IS NOT NULL")
     classes = named.groupBy("name").agg(F.min_by("coordinates", F.struct("k", "h")).alias("coordinates"), F.min(F.struct("k", "h")).alias("one"))

@@ -110,31 +110,32 @@ def search(
     records give repeated rows; ``keep`` names columns to carry along, others are ignored.
     """
     df = deployments.select(
-        F.col(key).alias("k"), F.col(note).cast("binary").alias("t"), F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), *[F.col(c).alias(f"keep_{c}") for c in keep],
+        F.col(key).alias("k"), F.col(note).alias("t"), F.lit(0).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"), *[F.col(c).alias(f"keep_{c}") for c in keep if c != note],
     )
     schema = df.schema
+    shared.small_batches(deployments.sparkSession)
     sc = deployments.sparkSession.sparkContext
     blocks = _blocks(reviews, event, review_note, block_bytes)
     now, after, passes = next(blocks, []), next(blocks, None), 0
     while True:
         if passes:
             df = shared.cut(df)
-        df = df.mapInArrow(_scanner(sc.broadcast(now), window, passes, after is None), schema)
+        df = df.mapInArrow(_scanner(sc.broadcast(now), window, passes, after is None, note in keep), schema)
         passes += 1
         if after is None:
             break
         now, after = after, next(blocks, None)
-    return df.select(F.col("k").alias(key), "n_words", "n_hit", "items", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return df.select(F.col("k").alias(key), "n_words", "n_hit", "items", *[F.col("t" if c == note else f"keep_{c}").alias(c) for c in keep])
 
 
-def _scanner(block, window: int, passes: int, last: bool):
+def _scanner(block, window: int, passes: int, last: bool, keep_note: bool):
     """A pass over the notes; hits of earlier passes come in and go on as word numbers."""
 
     def run(batches):
         tables = build(block.value, window)
         for batch in shared.pieces(batches, "t"):
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             earlier = batch.column(4).to_pylist() if passes else None
             known = batch.column(5).to_pylist() if passes else None
             n_words, n_hit, hits, items = [], [], [], []
@@ -152,7 +153,7 @@ def _scanner(block, window: int, passes: int, last: bool):
                 n_hit.append(len(hit))
                 hits.append([] if last else sorted(hit))
                 items.append(sorted(names))
-            text = pa.nulls(len(texts), pa.binary()) if last else batch.column(1)
+            text = pa.nulls(len(texts), pa.string()) if last and not keep_note else batch.column(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                  pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *batch.columns[6:]],

@@ -203,6 +203,7 @@ def private_spans(deployments: DataFrame, *, key: str = "platform_id", note: str
     probabilities. Null and empty notes have no spans. Notes are read once, whole; each pattern
     search is linear in the text. Other columns are ignored; repeated records give repeated rows.
     """
+    shared.small_batches(deployments.sparkSession)
     found = shared.cut(_find(deployments.select(F.col(key).alias("k"), F.col(note).alias("t"))))
     counted = found.select(F.explode("spans").alias("s")).groupBy("s.pattern").agg(F.count(F.lit(1)).alias("n"), F.bool_and("s.strict").alias("strict")).orderBy("pattern").collect()
     good = []

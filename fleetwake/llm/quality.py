@@ -194,6 +194,7 @@ def score(deployments: DataFrame, model: Model, *, key: str = "platform_id", not
         f"k {deployments.schema[key].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, quality double, kept boolean"
     )
+    shared.small_batches(deployments.sparkSession)
     sent = deployments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Hand Python at most so many rows at a time, where the session has no smaller number.
+
+    Notes are long rows: the usual ten thousand are tens of megabytes in the JVM, in Arrow and in
+    Python at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``most`` bytes of text (one row at least)."""
     for batch in batches:

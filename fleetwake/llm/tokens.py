@@ -88,6 +88,7 @@ def count_tokens(deployments: DataFrame, definition: str, *, key: str = "platfor
     repeated rows. Deployment records have no token counts of their own in the library.
     """
     schema = f"k {deployments.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+    shared.small_batches(deployments.sparkSession)
     shared_model = deployments.sparkSession.sparkContext.broadcast((definition, whole_tokens(definition)))
 
     def run(batches):

@@ -205,6 +205,7 @@ def score(deployments: DataFrame, lexicon: Lexicon, *, key: str = "platform_id",
     the score of that. ``keep`` names columns to carry along, others are ignored. Repeated records give
     repeated rows. Whole notes, no shuffle; the lexicon is bounded by its number of entries.
     """
+    shared.small_batches(deployments.sparkSession)
     rows = weighed(deployments.select(F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"keep_{c}") for c in keep]).alias("k"), F.col(note).alias("t")), lexicon)
     a, b, c = lexicon.curve
     by_length = F.log1p(100 * F.col("total") / F.greatest("n", F.lit(1)))
