@@ -17,6 +17,8 @@ COORDINATES, EACH, MATCHES = 40, 3, 4
 _FACTORS = words.mix(np.arange(1, COORDINATES * EACH + 1, dtype=np.uint64)) | np.uint64(1)
 #: Members of a candidate cluster that one task compares with each other.
 BLOCK = 2048
+#: Members of a posting that one task compares with each other (100 bytes each).
+POSTED = 8192
 #: Keys of dropped records that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -85,21 +87,104 @@ def _sets(df: DataFrame, length: int) -> DataFrame:
     return df.mapInArrow(run, "cluster binary, name binary, hashes binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Links ``a, b`` between sets that agree in at least ``MATCHES`` coordinates with a posting's first set.
+def _briefs(classes: DataFrame) -> DataFrame:
+    """``name, n, coordinates`` → ``name, n, brief``: 16 bits of every coordinate, in which equal coordinates are equal."""
+
+    def run(batches):
+        for batch in batches:
+            low = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint16).reshape(-1, COORDINATES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in low], pa.binary())], names=["name", "n", "brief"])
+
+    return classes.select("name", "n", "coordinates").mapInArrow(run, "name binary, n long, brief binary")
+
+
+def agreeing(briefs: np.ndarray, n: np.ndarray, side: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (rows a, rows b) of the sets of each group that agree in ``MATCHES`` coordinates.
+
+    ``first`` is the row of each group's beginning, and the end. Sizes too different for a link are
+    passed over, and so are pairs within one ``side`` of a group that has two. Every set is compared
+    with its group's first, all groups at once. Where some are left, each set that is reached is
+    compared with those that are not, so no pair is lost and each group has fewer links than sets.
+    """
+    counts = np.diff(first)
+    group = np.repeat(np.arange(len(counts)), counts)
+    two = (np.maximum.reduceat(side, first[:-1]) != np.minimum.reduceat(side, first[:-1]))[group]
+
+    def agree(a, b):
+        equal = np.zeros(np.broadcast_shapes(a.shape, b.shape), dtype=np.uint8)
+        for c in range(COORDINATES):
+            equal += briefs[c, a] == briefs[c, b]
+        near_ = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        return (equal >= MATCHES) & near_ & (~two[a] | (side[a] != side[b]))
+
+    head = first[:-1][group]
+    rows = np.arange(len(head))
+    hit = agree(rows, head) & (rows != head)
+    out_a, out_b = [rows[hit]], [head[hit]]
+    missed = ~hit & (rows != head)
+    for g in np.flatnonzero((np.add.reduceat(missed.astype(np.int64), first[:-1]) > 0) & (counts > 2)):
+        own = rows[first[g] : first[g + 1]]
+        queue, left = own[hit[own]], own[missed[own]]
+        while len(left):
+            if not len(queue):
+                queue, left = left[:1], left[1:]
+            some, queue = queue[:64], queue[64:]
+            found = agree(some[:, None], left[None, :])
+            reached = found.any(axis=0)
+            out_a.append(left[reached])
+            out_b.append(some[found.argmax(axis=0)[reached]])
+            queue, left = np.concatenate([queue, left[reached]]), left[~reached]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _agreeing(posts: DataFrame, percent: int) -> DataFrame:
+    """``value, i, j, block, name, n, brief``, each ``value, i, j`` in one piece of a partition → links ``a, b``."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([t.column(c).to_numpy() for c in ("value", "i", "j")])
+        first = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
+        briefs = np.frombuffer(b"".join(t.column("brief").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
+        side = t.column("block").to_numpy() != keys[1]
+        a, b = agreeing(np.ascontiguousarray(briefs.T), t.column("n").to_numpy(), side, first, percent)
+        names = t.column("name").combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows < POSTED:
+                continue
+            keys = np.stack([held.column(c).to_numpy() for c in ("value", "i", "j")])
+            begin = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            if len(begin):  # the last group may go on in the next batch
+                yield links(held.slice(0, begin[-1] + 1))
+                held = held.slice(begin[-1] + 1)
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    return posts.select("value", "i", "j", "block", "name", "n", "brief").mapInArrow(run, "a binary, b binary")
+
+
+def candidates(classes: DataFrame, percent: int = 80) -> DataFrame:
+    """Links ``a, b`` that join all sets that agree in at least ``MATCHES`` coordinates; ``classes``: ``name, n, coordinates``.
 
     A pair with that many equal coordinates has one among the first ``COORDINATES - MATCHES + 1``
-    (prefix), so only these are posted. Each posting joins its members to its smallest set instead
-    of all pairs; the whole signatures then count the collisions of the distinct pairs.
+    (prefix), so only these are posted. The members of each posting are compared with each other by
+    whole signatures, and only spanning links of those that agree leave it, so its rows do not
+    multiply: a pair that agrees is joined directly or over others that agree. A posting of more than
+    ``POSTED`` members is cut by hash into blocks, and every pair of blocks is a group of its own.
     """
     prefix = F.slice("coordinates", 1, COORDINATES - MATCHES + 1)
     posts = classes.select("name", F.explode(prefix).alias("value"))
-    heads = posts.groupBy("value").agg(F.min("name").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "head")
-    pairs = posts.join(heads, "value").where("name <> head").select("name", "head").distinct()
-    sig = classes.select("name", "coordinates")
-    pairs = pairs.join(sig, "name").join(sig.select(F.col("name").alias("head"), F.col("coordinates").alias("of_head")), "head")
-    equal = F.aggregate(F.zip_with("coordinates", "of_head", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.where(equal >= MATCHES).select(F.col("name").alias("a"), F.col("head").alias("b"))
+    sizes = posts.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value", F.ceil(F.col("m") / POSTED).cast("int").alias("blocks"))
+    posts = posts.join(sizes, "value").join(_briefs(classes), "name")
+    # The salt keeps blocks apart from the partitioning by name.
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("name", "value"), "blocks").cast("int"))
+    posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posts = posts.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "n", "brief")
+    return _agreeing(posts.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "name"), percent)
 
 
 def linked(names: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
@@ -162,9 +247,9 @@ def _resolve(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared.small_batches(rows.sparkSession)
     signed = shared.cut(_signed(rows, shingle))
     named = signed.where("name IS NOT NULL")
-    classes = named.groupBy("name").agg(F.min_by("coordinates", F.struct("k", "h")).alias("coordinates"), F.min(F.struct("k", "h")).alias("one"))
+    classes = named.groupBy("name").agg(F.min_by("coordinates", F.struct("k", "h")).alias("coordinates"), F.min(F.struct("k", "h")).alias("one"), F.min("n").alias("n"))
     classes = shared.cut(classes)
-    clusters = components(candidates(classes))
+    clusters = components(candidates(classes, percent))
     wanted = clusters.join(classes.select(F.col("name").alias("node"), "one"), "node").select(
         F.col("component").alias("cluster"), F.col("node").alias("name"), F.col("one.k").alias("k"), F.col("one.h").alias("h")
     )
@@ -191,10 +276,10 @@ def near_duplicates(deployments: DataFrame, *, key: str = "platform_id", note: s
     reach, the own key included, and a record is ``kept`` where it is the own key.
 
     Notes with equal sets become one class (128-bit identity), so copies cost nothing. Classes are
-    posted under every coordinate and value of their signature's prefix and joined to the first of a
-    posting; pairs with too few equal coordinates go, the others make candidate clusters, and in
-    these every link is decided on the full sets (64-bit shingle hashes). Candidates miss a link
-    with a probability of about 1e-8 where its sets share postings with each other alone.
+    posted under every coordinate and value of their signature's prefix, and all members of a
+    posting are compared with each other; those with enough equal coordinates make candidate clusters,
+    and in these every link is decided on the full sets (64-bit shingle hashes). Candidates miss a link
+    with a probability below 1e-8, whatever other sets share its postings.
 
     Null keys: such records are never a ``component_id``, unless all of their component are null
     (then it is null, and the record is kept). Records that share a key are records of their own; all with the smallest key are

@@ -7,6 +7,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from notes import odd, prose, records
 
 from fleetwake.llm import components, near, repeats, words
@@ -103,6 +105,52 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert sorted([tuple(x) for x in got], key=str) == plain_near(rows, 4, 80)
 
 
+def clauses(n=60, seed=4):
+    """Documents of 10 to 12 of 50 clauses; every third has one clause fewer than the one before."""
+    r, out = random.Random(seed), []
+    texts = [prose(1000 + c, 30) for c in range(50)]
+    for i in range(n):
+        own = own[:-1] if i % 3 == 2 else [texts[c] for c in r.sample(range(50), r.randrange(10, 13))]
+        out.append((f"c{r.randrange(10**8):08d}", " ".join(own), "x"))
+    return out
+
+
+def signature_classes(spark, rows):
+    sets = near.shingles(pa.array([t for _, t, _ in rows]), 5)
+    coordinates, names = near._signatures(sets)
+    classes = {names[i]: (names[i], len(sets[i]), [int(x) for x in coordinates[i]]) for i in range(len(rows))}
+    return list(classes.values()), spark.createDataFrame(list(classes.values()), "name binary, n long, coordinates array<long>")
+
+
+@pytest.mark.parametrize("posted", [8192, 7])
+def test_candidates_join_all_sets_that_agree(spark, monkeypatch, posted):
+    monkeypatch.setattr(near, "POSTED", posted)
+    listed, classes = signature_classes(spark, clauses(600))
+    coordinates, n = np.array([c for _, _, c in listed]), np.array([n for _, n, _ in listed])
+    agree = sum(coordinates[:, None, c] == coordinates[None, :, c] for c in range(near.COORDINATES)) >= near.MATCHES
+    pairs = np.argwhere(np.triu(agree & (100 * np.minimum(n, n[:, None]) >= 80 * np.maximum(n, n[:, None])), 1))
+    assert len(pairs) > 200
+    of = {r.node: r.component for r in components.components(near.candidates(classes)).collect()}
+    names = [bytes(name) for name, _, _ in listed]
+    assert [] == [(a, b) for a, b in pairs if of.get(names[a], a) != of.get(names[b], b)]
+
+
+def test_candidates_do_not_need_the_first_set_of_a_posting(spark):
+    fresh = iter(range(10**6))
+    sets = {x: [next(fresh) for _ in range(near.COORDINATES)] for x in (b"y", b"z")}
+    sets[b"z"][:20] = sets[b"y"][:20]
+    for c in range(20):  # heads every posting of the pair, agrees with it in that coordinate alone
+        sets[b"%c" % c] = [sets[b"y"][i] if i == c else next(fresh) for i in range(near.COORDINATES)]
+    classes = spark.createDataFrame([(x, 100, c) for x, c in sets.items()], "name binary, n long, coordinates array<long>")
+    assert {tuple(sorted(map(bytes, r))) for r in near.candidates(classes).collect()} == {(b"y", b"z")}
+
+
+def test_near_duplicates_of_shared_clauses(spark):
+    rows = clauses()
+    got = near.near_duplicates(records(spark, rows)).collect()
+    assert sorted([tuple(x) for x in got], key=str) == plain_near(rows, 5, 80)
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = near_rows()
     left = near.deduplicate(records(spark, rows), shingle=4)
