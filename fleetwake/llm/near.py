@@ -17,6 +17,8 @@ COORDINATES, EACH, MATCHES = 40, 3, 4
 _FACTORS = words.mix(np.arange(1, COORDINATES * EACH + 1, dtype=np.uint64)) | np.uint64(1)
 #: Members of a candidate cluster that one task compares with each other.
 BLOCK = 2048
+#: Bytes of their full sets, 8 for each shingle; the tighter of the two says how many blocks there are.
+BLOCK_BYTES = 16 << 20
 #: Members of a posting that one task compares with each other (100 bytes each).
 POSTED = 8192
 #: Keys of dropped records that are broadcast at most (16 bytes each).
@@ -220,16 +222,22 @@ def linked(names: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent
     return out
 
 
-def _confirm(members: DataFrame, percent: int) -> DataFrame:
-    """Links between full sets within each candidate cluster; ``members``: ``cluster, name, hashes``.
+def _blocks(members: DataFrame) -> DataFrame:
+    """``cluster, name, hashes`` → ``cluster, i, j, block, name, hashes``: the pairs of blocks of each cluster.
 
-    A cluster of more than ``BLOCK`` sets is cut by hash into blocks, and every pair of blocks is a
-    group of its own, so that a group never holds more than about two blocks.
+    A cluster of more than ``BLOCK`` sets or ``BLOCK_BYTES`` of hashes is cut by hash into blocks,
+    so that a pair of blocks holds about two blocks in sets and in bytes (one set at least).
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    count, held = F.count(F.lit(1)), F.sum(F.octet_length("hashes"))
+    blocks = F.least(count, F.greatest(F.ceil(count / BLOCK), F.ceil(held / BLOCK_BYTES)))
+    sizes = members.groupBy("cluster").agg(blocks.cast("int").alias("blocks"))
     m = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "hashes")
+    return m.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "hashes")
+
+
+def _confirm(members: DataFrame, percent: int) -> DataFrame:
+    """Links between full sets within each candidate cluster; ``members``: ``cluster, name, hashes``."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("name")
@@ -239,7 +247,7 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
         pairs = linked(names, sets, side, percent) if len(sets) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
-    return m.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
+    return _blocks(members).groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _resolve(rows: DataFrame, shingle: int, percent: int) -> DataFrame:

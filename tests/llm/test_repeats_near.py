@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from notes import odd, prose, records
+from pyspark.sql import functions as F
 
 from fleetwake.llm import components, near, repeats, words
 
@@ -151,6 +152,19 @@ def test_near_duplicates_of_shared_clauses(spark):
     assert sorted([tuple(x) for x in got], key=str) == plain_near(rows, 5, 80)
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_BYTES", 400_000, raising=False)
+    members = spark.createDataFrame([(b"c", b"%d" % i, bytes([i]) * 80_000) for i in range(60)], "cluster binary, name binary, hashes binary")
+    groups = near._blocks(members).groupBy("i", "j").agg(F.sum(F.octet_length("hashes")).alias("b"), F.collect_set("name").alias("names")).collect()
+    assert max(g.b for g in groups) <= 4 * 400_000
+    met = {(a, b) for g in groups for a in map(bytes, g.names) for b in map(bytes, g.names)}
+    assert len(met) == 60 * 60
+    monkeypatch.setattr(near, "BLOCK_BYTES", 2_000)
+    rows = near_rows()
+    got = near.near_duplicates(records(spark, rows), shingle=4).collect()
+    assert sorted([tuple(x) for x in got], key=str) == plain_near(rows, 4, 80)
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = near_rows()
     left = near.deduplicate(records(spark, rows), shingle=4)
