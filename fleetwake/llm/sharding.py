@@ -133,16 +133,35 @@ def number(placed: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def rewrite(deployments: DataFrame, placed: DataFrame, path: str, *, key: str = "platform_id") -> list[int]:
+def rewrite(deployments: DataFrame, placed: DataFrame, path: str, *, key: str = "platform_id", note: str = "note", old: Column | None = None) -> list[int]:
     """Write the files of the shards that the plan changes under ``path/shard=…`` and return their numbers.
 
-    A shard whose records all stay and which gets none keeps its files. ``key`` must be unique. Rows
-    of one shard spread over several files by their slot, so no task holds a shard.
+    A shard whose records all stay and which gets none keeps its files. ``placed`` is the plan of
+    ``deployments``, of which every record meets one slot: by key (null is a key like others), size
+    and hash of the note, the columns that the plan has carried along (``keep``) and the old shard where
+    ``old`` is given as to the plan. Records equal in all these take their slots in turn, so ``old`` or
+    ``keep`` is needed where records of one key and note lie in different shards and differ otherwise.
+    Rows of one shard spread over several files by their slot, so no task holds a shard.
     """
     moved = placed.where("shard <> old_shard")
     touched = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     numbers = sorted(r.s for r in touched.collect())  # at most one row for each shard
-    rows = deployments.drop("shard", "slot").join(placed.where(F.col("shard").isin(numbers)).select(key, "shard", "slot"), key)
+    text = F.coalesce(F.col(note).cast("binary"), F.lit(b""))
+    kept = [c for c in placed.columns if c in deployments.columns and c not in (key, "size", "text_crc32", "old_shard", "shard", "slot")]
+    own = {"key": F.col(key), "size": (F.octet_length(text) + 1).cast("long"), "crc": F.crc32(text)} | {f"keep_{c}": F.col(c) for c in kept}
+    place = {"key": F.col(key), "size": F.col("size"), "crc": F.col("text_crc32")} | {f"keep_{c}": F.col(c) for c in kept}
+    if old is not None:
+        own, place = own | {"old": F.coalesce(old, F.lit(0)).cast("int")}, place | {"old": F.col("old_shard")}
+    hashable = [c for c, kind in deployments.dtypes if "map<" not in kind and "variant" not in kind]
+    line = Window.partitionBy(*own)
+    rows = deployments.select(F.struct(*[F.col(c) for c in deployments.columns if c not in ("shard", "slot")]).alias("record"), F.xxhash64(*hashable).alias("order"), *[v.alias(k) for k, v in own.items()])
+    rows = rows.withColumn("turn", F.row_number().over(line.orderBy("order"))).drop("order")
+    slots = placed.select("shard", "slot", *[v.alias(k) for k, v in place.items()]).withColumn("turn", F.row_number().over(line.orderBy("shard", "slot")))
+    slots = slots.where(F.col("shard").isin(numbers))
+    same = rows["turn"] == slots["turn"]
+    for k in own:
+        same &= rows[k].eqNullSafe(slots[k])
+    rows = rows.join(slots, same).select("record.*", "shard", "slot")
     spread = F.floor(F.col("slot") / 65536)
     rows.repartition("shard", spread).sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
     return numbers

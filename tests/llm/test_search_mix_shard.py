@@ -140,6 +140,22 @@ def test_shards_are_even_and_move_least(spark, tmp_path):
     assert back.join(table.select("platform_id", "slot", "shard"), ["platform_id", "slot", "shard"]).count() == back.count()
 
 
+def test_rewrite_of_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None if i % 5 == 0 else f"p{i % 40}", prose(i % 30, 5 + i % 20), f"s{i % 7}") for i in range(300)]
+    rows += [("x", "the same note", f"s{i % 7}") for i in range(21)] + [(None, None, "s1"), (None, "", "s2")]
+    d = records(spark, rows)
+    old = F.crc32(F.col("provenance").cast("binary")) % 4
+    for name, keep, given in (("old", (), old), ("keep", ("provenance",), None)):
+        table = spark.createDataFrame(sharding.plan(d, old=old, n_old=4, n_new=5, keep=keep).collect())
+        touched = sharding.rewrite(d, table, str(tmp_path / name), old=given)
+        back = spark.read.parquet(str(tmp_path / name)).collect()
+        want = [tuple(r) for r in table.where(F.col("shard").isin(touched)).select("shard", "slot", "platform_id", "size").collect()]
+        assert sorted(((r.shard, r.slot, r.platform_id, len((r.note or "").encode()) + 1) for r in back), key=str) == sorted(want, key=str)
+        stay = {r.old_shard for r in table.collect()} - set(touched)
+        shard_of = {r.provenance: r.o for r in d.select("provenance", old.alias("o")).distinct().collect()}
+        assert sorted([(r.platform_id, r.note, r.provenance) for r in back], key=str) == sorted([x for x in rows if shard_of[x[2]] not in stay], key=str)
+
+
 def test_shards_of_odd_records(spark):
     import zlib
 
