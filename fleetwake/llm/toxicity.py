@@ -27,21 +27,32 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown"
 _FOLD = str.maketrans({**LOOKALIKES, **dict.fromkeys(UNSEEN)})
 _INNER = str.maketrans({**SIGNS, **DIGITS})
 _WORD = re.compile(r"[^\W_]+(?:[@$!|]+[^\W_]+)*")
+#: The same words with the signs at their ends; "!" and "|" end sentences and cells, so only begin a word.
+_ENDED = re.compile(r"[@$!|]*" + _WORD.pattern + r"[@$]*")
+_ENDS = re.compile(r"(?:^|[\W_])[@$!|]+[^\W_]|[@$](?:[\W_]|$)")
 _ODD = re.compile(r"[0-9@$!|]")
 SEED_WEIGHT = 3.0
 STEMS = range(3, 9)
 
 
-def fold(text: str | None) -> list[str]:
-    """Words of a text in one spelling: compatibility forms, case, lookalikes, and inside words digits and signs."""
+def spellings(text: str | None) -> tuple[list[str], dict[int, str]]:
+    """(words of a text as :func:`fold` gives them, number of a word → its spelling with the signs at its ends)."""
     if not text:
-        return []
+        return [], {}
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    found = _WORD.findall(text.casefold().translate(_FOLD))
+    line = text.casefold().translate(_FOLD)
+    found, ends = _WORD.findall(line), {}
     if _ODD.search(text):
+        if _ENDS.search(line):
+            ends = {i: w.translate(_INNER) for i, (w, plain) in enumerate(zip(_ENDED.findall(line), found, strict=True)) if w != plain and not plain.isdigit()}
         found = [w if w.isalpha() or w.isdigit() else w.translate(_INNER) for w in found]
-    return found
+    return found, ends
+
+
+def fold(text: str | None) -> list[str]:
+    """Words of a text in one spelling: compatibility forms, case, lookalikes, and inside words digits and signs."""
+    return spellings(text)[0]
 
 
 @dataclass(frozen=True)
@@ -64,8 +75,17 @@ class Lexicon:
         return a
 
 
-def weigh(found: list[str], automaton) -> tuple[float, int]:
-    """(sum of the weights of a text's words, number of words); a word counts its heaviest entry once."""
+def _heaviest(word: str, automaton) -> float:
+    return max((w for _, (_, w) in automaton.iter(f" {word} ") if w is not None), default=0.0)
+
+
+def weigh(found: list[str], automaton, ends: dict[int, str] | None = None) -> tuple[float, int]:
+    """(sum of the weights of a text's words, number of words); a word counts its heaviest entry once.
+
+    ``ends`` has other spellings of some words; one is taken where it has a heavier entry than the word.
+    """
+    if ends:
+        found = [ends[i] if i in ends and _heaviest(ends[i], automaton) > _heaviest(w, automaton) else w for i, w in enumerate(found)]
     line, best, spared = f" {' '.join(found)} ", {}, []
     for end, (length, weight) in automaton.iter(line):
         start = end - length + 1
@@ -187,7 +207,8 @@ def weighed(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches):
         automaton = sent.value.automaton()
         for batch in shared.pieces(batches, "t"):
-            pairs = [weigh(fold(t), automaton) for t in batch.column(1).to_pylist()]
+            texts = (spellings(t) for t in batch.column(1).to_pylist())
+            pairs = [weigh(found, automaton, ends) for found, ends in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([float(a) for a, _ in pairs], pa.float64()), pa.array([b for _, b in pairs], pa.int64())], names=["k", "total", "n"]
             )
@@ -199,7 +220,7 @@ def score(deployments: DataFrame, lexicon: Lexicon, *, key: str = "platform_id",
     """One row for each record: ``key, score, predicted``.
 
     Notes are folded (compatibility forms, case, letters that look Latin, digits and signs inside
-    words), and the automaton finds the entries at word beginnings and the whole words; words inside an exception phrase
+    words; also signs at their ends, where that spelling has the heavier entry), and the automaton finds the entries at word beginnings and the whole words; words inside an exception phrase
     do not count. ``score`` (0 to 1) is a logistic curve over the sum of the weights and the sum by length;
     ``predicted`` is 1 where it reaches ``threshold``. Null and empty notes have weight 0 and
     the score of that. ``keep`` names columns to carry along, others are ignored. Repeated records give

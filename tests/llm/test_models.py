@@ -92,6 +92,15 @@ def test_folding_and_exceptions():
     assert toxicity.weigh(toxicity.fold("the trash can and the trash"), a) == (3.0, 6)
 
 
+def test_signs_at_the_ends_of_words(spark):
+    a = toxicity.Lexicon({"ass": 2.0}, dict.fromkeys(toxicity.SEEDS, 3.0)).automaton()
+    weigh = lambda t: toxicity.weigh(*(lambda f, e: (f, a, e))(*toxicity.spellings(t)))
+    assert [weigh(t)[0] for t in ("$tupid", "a$$ x", "@$$hole", "|oser", "!d!0t", "＄tupid!", "cl0wn$ $cum")] == [3, 2, 2, 3, 3, 3, 6]
+    assert [weigh(t)[0] for t in ("@idiot", "idiot$", "$idiot!", "|idiot|", "$5 a$ @ $$ b!", "the tra$h can", "me@$tupid_$")] == [3, 3, 3, 3, 0, 0, 0]
+    got = toxicity.weighed(spark.createDataFrame([(1, "$tupid a$$"), (2, None)], "k int, t string"), toxicity.Lexicon({}, {"stupid": 3.0})).collect()
+    assert sorted((r.k, r.total, r.n) for r in got) == [(1, 3.0, 2), (2, 0.0, 0)]
+
+
 def test_toxicity_without_reviews(spark):
     lexicon = toxicity.fit(records(spark, odd()), spark.createDataFrame([], "platform_id string, decision string"))
     assert set(lexicon.words) == set(toxicity.SEEDS)
