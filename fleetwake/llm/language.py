@@ -28,8 +28,8 @@ def _slice(h: str) -> Column:
 def fit(records: DataFrame, *, note: str = "note", lang: str = "lang", dictionary_bytes: int = 131_072, excerpt: int = 1000) -> dict[str, bytes]:
     """Language → content of its dictionary, from rows with a language and a note.
 
-    A dictionary joins excerpts of up to ``excerpt`` characters of different notes, in the order of
-    their hashes, up to ``dictionary_bytes``: a bounded sample, whatever the input. Notes are
+    A dictionary joins excerpts of up to ``excerpt`` characters of different notes, each from a place
+    in the whole note that the note's hash names (not its opening, which notes may share), in the order of the hashes, up to ``dictionary_bytes``: a bounded sample, whatever the input. Notes are
     counted by language first, which says how small a hash must be, so no language is sorted whole.
     The driver gets the languages' counts and samples.
     """
@@ -39,8 +39,9 @@ def fit(records: DataFrame, *, note: str = "note", lang: str = "lang", dictionar
         return {}
     wanted = 4 * (dictionary_bytes // excerpt + 1)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, wanted / n)])
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("note") - excerpt + 1, F.lit(1))).cast("int") + 1
     few = (
-        rows.where(_slice("h") < share[F.col("lang")]).select("lang", "h", F.substring("note", 1, excerpt).alias("note"))
+        rows.where(_slice("h") < share[F.col("lang")]).select("lang", "h", F.col("note").substr(begin, F.lit(excerpt)).alias("note"))
         .dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     )
     out = dict.fromkeys(counts, b"")

@@ -149,6 +149,14 @@ def test_tokens_equal_the_library(spark):
     assert tokens.count_tokens(records(spark, []), definition).count() == 0
 
 
+def test_dictionaries_learn_the_whole_note(spark):
+    rows = [(f"p{i}", prose(1, 200) + " " + " ".join(f"body{chr(97 + j % 26)}" for j in range(i, i + 500)), "en") for i in range(200)]
+    known = language.fit(records(spark, rows).withColumnRenamed("provenance", "lang"))
+    assert 0.3 < known["en"].count(b"body") * 6 / len(known["en"]) and len(known["en"]) <= 131_072
+    short = language.fit(records(spark, [("p", "one short note", "en"), ("q", "", "en")]).withColumnRenamed("provenance", "lang"))
+    assert short["en"].strip() == b"one short note"
+
+
 def test_language_on_held_out_notes(spark):
     r = random.Random(1)
     parts = {"en": "the ing tion er and of that".split(), "de": "der ung sch keit ich und ein".split(), "fr": "le eau ment oui que des eux".split()}
