@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwake.llm import infill, language, mixing, near, patterns, privacy, quality, repeats, sharding, tokens, toxicity
+from fleetwake.llm import histories, infill, language, mixing, near, nearest, patterns, privacy, quality, repeats, sharding, shared, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -240,3 +240,74 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
         F.col("platform_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(), 256).alias("restored_sha256"),
     )
+
+
+@query(
+    "op13_nra_exact_top_k",
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    profiles = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("platform_id"), F.col("embedding").alias("profile"))
+    d = nearest.most_similar(profiles, F.col("platform_id") % 50 == 0)
+    return d.select("query_id", "rank", F.col("platform_id").alias("vec_id"), "score")
+
+
+@query(
+    "op11_depth_band_prefix_trie",
+    """
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+      lambda r, x: list_reduce(list_prepend(xor(r, x), list_transform(range(8), lambda i: i)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM c)),
+t AS (
+  SELECT i.conv_id, pos, role, text FROM ids i JOIN c ON c.conv_id = i.conv_id - i.conv_id % 100 AND pos < h
+  UNION ALL SELECT conv_id, pos, role, text FROM c JOIN ids USING (conv_id) WHERE pos >= h),
+s AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY pos) AS m, list(length(text) ORDER BY pos) AS u FROM t GROUP BY conv_id),
+p AS (SELECT conv_id, coalesce(m, []) AS m, coalesce(u, []) AS u FROM ids LEFT JOIN s USING (conv_id)),
+path AS (
+  SELECT conv_id, d, md5(array_to_string(m[1:d], '')) AS k, md5(array_to_string(m[1:d - 1], '')) AS pk, CASE WHEN d > 0 THEN u[d] ELSE 0 END AS units, d = len(m) AS ended
+  FROM (SELECT *, unnest(range(len(m) + 1)) AS d FROM p)),
+nodes AS (
+  SELECT d, k, MIN(conv_id) AS conv_id, COUNT(*) AS n, MAX(units) AS units, MAX(pk) AS pk,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended) AS ends FROM path GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, pk AS k, COUNT(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, pk),
+v AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)),
+sub AS (
+  SELECT path.d, path.k, SUM(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, SUM((v.n - 1) * v.units) AS saved
+  FROM v JOIN path ON path.conv_id = v.conv_id AND path.d <= v.d GROUP BY path.d, path.k)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN sub USING (d, k) LEFT JOIN nodes up ON up.d = v.d - 1 AND up.k = v.pk
+""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = shared.cut(histories.numbered(turns.withColumn("digest", F.md5(F.col("text").cast("binary"))), "conv_id", "turn", "role", "digest"))
+    # A conversation begins with the first h turns of the first one of its hundred.
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h")
+    ids = turns.select("conv_id").distinct().select("conv_id", h, (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    opening = turns.where("conv_id % 100 = 0 AND pos < 5").select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    begun = ids.join(opening, "base").where("pos < h").select("conv_id", "pos", "role", "text")
+    kept = turns.select("*", h).where("pos >= h").select("conv_id", "pos", "role", "text")
+    names = ["platform_id", "reviewed_at", "decision", "note"]
+    nodes, ends = histories.review_trie(begun.union(kept).toDF(*names), ids.select(F.col("conv_id").alias("platform_id")))
+    ended = shared.listed_sha256(ends, histories.NODE, "platform_id", "ends_sha256")
+    return nodes.join(ended, histories.NODE, "left").select(
+        F.col("platform_id").alias("conv_id"), "depth", F.col("parent_platform_id").alias("parent_conv_id"), F.col("n_members").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Word separators: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +58,39 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             room -= int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def listed_sha256(rows: DataFrame, by: list[str], item: str, out: str, chunk: int = 4096) -> DataFrame:
+    """``by, out`` for every group: SHA-256 (lowercase hex) of its items, ascending and comma-joined.
+
+    ``item`` is a whole number that a group holds once. Items are joined within ranges of ``chunk``
+    numbers first; a group's ranges then pass through the digest in order, as a stream that no task
+    has to hold.
+    """
+    ranges = rows.groupBy(*by, F.floor(F.col(item) / chunk).alias("__c")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ",").alias("__t")
+    )
+    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in by], f"{out} string"])
+
+    def run(batches):
+        key, digest, kinds = None, None, None
+        for batch in batches:
+            kinds, done = batch.schema, []
+            for *now, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now == key:
+                    digest.update(b",")
+                else:
+                    if digest is not None:
+                        done.append([*key, digest.hexdigest()])
+                    key, digest = now, hashlib.sha256()
+                digest.update(text.encode())
+            if done:
+                yield _batch(done, kinds)
+        if digest is not None:
+            yield _batch([[*key, digest.hexdigest()]], kinds)
+
+    def _batch(done, kinds):
+        columns = [pa.array(list(c), f.type) for c, f in zip(zip(*done, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*by, out])
+
+    return ranges.repartition(*by).sortWithinPartitions(*by, "__c").select(*by, "__t").mapInArrow(run, schema)
