@@ -120,12 +120,12 @@ def unwrap_longitude(df: DataFrame, key=KEY, order=TRACK, *, width: int = frames
 
 
 def with_geodesic(df: DataFrame, a=("lon1", "lat1"), b=("lon2", "lat2")) -> DataFrame:
-    g = df.withColumn("__g", wgs84.inverse(a[0], a[1], b[0], b[1]))
+    g = wgs84.with_inverse(df, "__g", a[0], a[1], b[0], b[1])
     return g.withColumns({"distance_m": F.col("__g.s"), "azimuth_deg": F.col("__g.az")}).drop("__g")
 
 
 def with_destination(df: DataFrame, start=("lon", "lat"), azimuth="azimuth_deg", distance="distance_m") -> DataFrame:
-    g = df.withColumn("__g", wgs84.direct(start[0], start[1], azimuth, distance))
+    g = wgs84.with_direct(df, "__g", start[0], start[1], azimuth, distance)
     return g.withColumns({"lon_end": F.col("__g.lon"), "lat_end": F.col("__g.lat")}).drop("__g")
 
 
@@ -142,7 +142,7 @@ def projection_origins(grid: DataFrame, group="array_id", member="platform_id")
 def project(grid: DataFrame, origins: DataFrame, group="array_id") -> DataFrame:
     """Azimuthal equidistant plane of each group: x = s·sin(az), y = s·cos(az) from its origin."""
     joined = grid.join(origins, group)
-    g = joined.withColumn("__g", wgs84.inverse("lon0", "lat0", "lon", "lat"))
+    g = wgs84.with_inverse(joined, "__g", "lon0", "lat0", "lon", "lat")
     a = F.radians("__g.az")
     return g.withColumns({"x_m": F.col("__g.s") * F.sin(a), "y_m": F.col("__g.s") * F.cos(a)}).drop("__g")
 
@@ -150,7 +150,7 @@ def project(grid: DataFrame, origins: DataFrame, group="array_id") -> DataFrame:
 def unproject(df: DataFrame, x="x_m", y="y_m") -> DataFrame:
     """Back from the plane; needs ``lon0`` and ``lat0``."""
     az = F.degrees(F.atan2(F.col(x), F.col(y)))
-    g = df.withColumn("__g", wgs84.direct(F.col("lon0"), F.col("lat0"), az, F.hypot(F.col(x), F.col(y))))
+    g = wgs84.with_direct(df, "__g", "lon0", "lat0", az, F.hypot(F.col(x), F.col(y)))
     return g.withColumns({"lon": F.col("__g.lon"), "lat": F.col("__g.lat")}).drop("__g")
 
 

@@ -30,17 +30,19 @@ NULL_ROWS = 4096  # rows without an ordering value in one chunk, by their second
 
 
 def shared_folder(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
+    """The folder for written steps, which all executors share.
 
-    In local mode, where driver and executors are one process, an unset folder becomes a temporary
-    one; elsewhere it must be named, since other machines do not see a local folder.
+    ``spark.checkpoint.dir`` names it, or else the folder given to ``SparkContext.setCheckpointDir``.
+    Where neither is set, local mode (driver and executors are one process) gets a temporary one;
+    elsewhere that is an error, since other machines do not see a local folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="fleetwake-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetwake-"))
+        named = context.getCheckpointDir()
     return named
 
 

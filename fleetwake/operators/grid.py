@@ -92,7 +92,7 @@ def forward_velocity(grid: DataFrame, key=KEY) -> DataFrame:
     n = frames.scan(grid, key, "time", lead={"__n": F.struct("time", "lon", "lat", geo.position_valid("lon", "lat").alias("ok"))})
     dt = geo.seconds_between("time", "__n.time")
     usable = F.coalesce(geo.position_valid("lon", "lat") & F.col("__n.ok") & (dt > 0), F.lit(False))
-    n = n.withColumn("__g", wgs84.inverse(*[F.when(usable, F.col(c)) for c in ("lon", "lat", "__n.lon", "__n.lat")]))
+    n = wgs84.with_inverse(n, "__g", *[F.when(usable, F.col(c)) for c in ("lon", "lat", "__n.lon", "__n.lat")])
     n = n.withColumn("dt_s", F.when(usable, dt)).withColumn("speed", F.col("__g.s") / F.col("dt_s"))
     az = F.radians("__g.az")
     return n.withColumns({"u": F.col("speed") * F.sin(az), "v": F.col("speed") * F.cos(az)}).drop("__n", "__g")

@@ -43,12 +43,12 @@ def pair_metrics(platforms: DataFrame, grid: DataFrame, rule: ClusterRule, *, re
     """
     p = frames.salted_pairs(platforms.select("array_id", KEY, "start_time", "start_lon", "start_lat"), "array_id", KEY, spread=spread)
     p = p.withColumn("start_gap_s", F.abs(geo.seconds_between("start_time_1", "start_time_2")))
-    p = p.withColumn("observed_m", wgs84.inverse("start_lon_1", "start_lat_1", "start_lon_2", "start_lat_2")["s"])
+    p = wgs84.with_inverse(p, "__g", "start_lon_1", "start_lat_1", "start_lon_2", "start_lat_2").withColumn("observed_m", F.col("__g.s")).drop("__g")
     cells = grid.where("lon IS NOT NULL AND lat IS NOT NULL").select("array_id", "time", KEY, "lon", "lat")
     met = frames.salted_pairs(cells, ["array_id", "time"], KEY, spread=spread).groupBy("array_id", f"{KEY}_1", f"{KEY}_2").agg(
         F.min_by(F.struct("time", "lon_1", "lat_1", "lon_2", "lat_2"), "time").alias("c"))
-    met = met.select("array_id", f"{KEY}_1", f"{KEY}_2", F.col("c.time").alias("first_common"),
-                     wgs84.inverse("c.lon_1", "c.lat_1", "c.lon_2", "c.lat_2")["s"].alias("common_m"))
+    met = wgs84.with_inverse(met, "__g", "c.lon_1", "c.lat_1", "c.lon_2", "c.lat_2")
+    met = met.select("array_id", f"{KEY}_1", f"{KEY}_2", F.col("c.time").alias("first_common"), F.col("__g.s").alias("common_m"))
     j = p.join(met, ["array_id", f"{KEY}_1", f"{KEY}_2"], "left")
     d = F.col("observed_m") if reference == "observed_starts" else F.col("common_m")
     j = j.withColumn("distance_m", d)

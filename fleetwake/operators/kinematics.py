@@ -26,8 +26,8 @@ def stored_velocity_in_plane(grid: DataFrame, max_gap_min: float, speed_mask: fl
     g = g.withColumn("__ok", F.col("__held") & ~fast)
     az = F.degrees(F.atan2("u_east", "v_north"))
     only = lambda c: F.when(F.col("__ok"), c)
-    g = g.withColumn("__d", wgs84.direct(only(F.col("lon")), only(F.col("lat")), only(az), only(F.col("__speed"))))
-    g = g.withColumn("__q", wgs84.inverse(only(F.col("lon0")), only(F.col("lat0")), F.col("__d.lon"), F.col("__d.lat")))
+    g = wgs84.with_direct(g, "__d", only(F.col("lon")), only(F.col("lat")), only(az), only(F.col("__speed")))
+    g = wgs84.with_inverse(g, "__q", only(F.col("lon0")), only(F.col("lat0")), "__d.lon", "__d.lat")
     a = F.radians("__q.az")
     g = g.withColumns({"u": F.col("__q.s") * F.sin(a) - F.col("x_m"), "v": F.col("__q.s") * F.cos(a) - F.col("y_m")})
     reason = (

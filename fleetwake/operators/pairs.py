@@ -40,8 +40,8 @@ def near_pairs(grid: DataFrame, max_m: float, on=()) -> DataFrame:
     right = around.select(*on, "time", "__cy", "__cx", *[F.col(c).alias(f"{c}_2") for c in rows.columns if c not in (*on, "time")])
     met = left.join(right, [*on, "time", "__cy", "__cx"]).where(f"{P1} < {P2}").drop("__cy", "__cx")
     rough = geo.haversine("lon_1", "lat_1", "lon_2", "lat_2") <= max_m * 1.01 + 1
-    met = met.where(rough).withColumn("distance_m", wgs84.inverse("lon_1", "lat_1", "lon_2", "lat_2")["s"])
-    return met.where(F.col("distance_m") <= max_m)
+    met = wgs84.with_inverse(met.where(rough), "__g", "lon_1", "lat_1", "lon_2", "lat_2")
+    return met.withColumn("distance_m", F.col("__g.s")).drop("__g").where(F.col("distance_m") <= max_m)
 
 
 def encounters(grid: DataFrame, max_m: float, *, max_from_start_s: float | None = None, same: tuple[str, ...] = ()) -> DataFrame:

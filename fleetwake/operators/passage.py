@@ -151,7 +151,7 @@ def pair_catalogue(grid: DataFrame, *, chance_km: float = 10.0, max_gap_min: flo
 
     together = frames.salted_pairs(rows, ["array_id", "cluster_id", "time"], KEY)
     both = F.col("held_1") & F.col("held_2")
-    together = together.withColumn("distance_m", F.when(both, wgs84.inverse("lon_1", "lat_1", "lon_2", "lat_2")["s"]))
+    together = wgs84.with_inverse(together, "__g", "lon_1", "lat_1", "lon_2", "lat_2").withColumn("distance_m", F.when(both, F.col("__g.s"))).drop("__g")
     within = together.groupBy("array_id", F.col("cluster_id").alias("cluster_1"), F.col("cluster_id").alias("cluster_2"), p1, p2).agg(
         F.min(F.when(both, F.struct("distance_m", "time"))).alias("m"), F.min(F.when(both, F.col("time"))).alias("analysis_start"), F.max("time").alias("analysis_end"))
     within = within.where("m IS NOT NULL").withColumn("kind", F.lit("within_cluster"))

@@ -750,7 +750,7 @@ def adjacent_kinematics(obs: DataFrame, key=KEY, order=TRACK) -> DataFrame:
     e = frames.scan(obs, key, order, lag={"prev": fix})
     dt = geo.seconds_between("prev.time", "time")
     usable = _flag(geo.position_valid("lon", "lat") & F.col("prev.ok") & (dt > 0))
-    e = e.withColumn("__g", wgs84.inverse(*[F.when(usable, F.col(c)) for c in ("prev.lon", "prev.lat", "lon", "lat")]))
+    e = wgs84.with_inverse(e, "__g", *[F.when(usable, F.col(c)) for c in ("prev.lon", "prev.lat", "lon", "lat")])
     e = e.withColumns({"dt_s": F.when(usable, dt), "distance_m": F.when(usable, F.col("__g.s"))})
     e = e.withColumn("speed", F.col("distance_m") / F.col("dt_s"))
     az = F.radians("__g.az")

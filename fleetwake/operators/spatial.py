@@ -92,7 +92,7 @@ def polygons(cells_: DataFrame) -> DataFrame:
     corners = F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("cx") + i) * F.col("cell_m")).alias("x"), ((F.col("cy") + j) * F.col("cell_m")).alias("y")) for k, (i, j) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
     c = cells_.withColumn("__c", F.explode(corners))
     x, y = F.col("__c.x"), F.col("__c.y")
-    c = c.withColumn("__g", wgs84.direct(F.col("lon0"), F.col("lat0"), F.degrees(F.atan2(x, y)), F.hypot(x, y)))
+    c = wgs84.with_direct(c, "__g", "lon0", "lat0", F.degrees(F.atan2(x, y)), F.hypot(x, y))
     keep = [n for n in cells_.columns]
     ring = F.array_sort(F.collect_list(F.struct(F.col("__c.k").alias("k"), F.col("__g.lon").alias("lon"), F.col("__g.lat").alias("lat"))))
     return c.groupBy(*keep).agg(ring.alias("__r")).withColumn("corners", F.transform("__r", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))).drop("__r")
