@@ -16,9 +16,13 @@ BY = ["array_id"]
 TOP = len(EDGES) - 2
 
 
-def observed(spark, sf):
-    """Pair kinematics of every array with the age since T0, written once per query."""
-    p = pairs.pair_observations(moving(spark, sf))
+def observed(spark, sf, within: float | None = EDGES[-1]):
+    """Pair kinematics of every array with the age since T0, written once per query; pairs beyond the bins are not formed."""
+    return paired(moving(spark, sf), within)
+
+
+def paired(m, within: float | None = EDGES[-1]):
+    p = pairs.pair_observations(m, within_m=within)
     return frames.cut(p.withColumn("age_h", (us("time") - T0) / F.lit(3600e6)))
 
 
@@ -28,7 +32,11 @@ eb AS (SELECT * FROM ep WHERE r <= 40000)"""
 
 @query("ep01_ep02_bin_index", f"WITH {EP} SELECT array_id, CASE WHEN r > 40000 THEN {TOP + 1} ELSE bin END AS bin, count(*) AS n FROM ep GROUP BY 1, 2")
 def _(spark, sf):
-    return observed(spark, sf).withColumn("bin", bins.bin_index("r_m", EDGES)).groupBy("array_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    m = moving(spark, sf)
+    near = paired(m)
+    n = near.where("r_m > 0").withColumn("bin", bins.bin_index("r_m", EDGES)).groupBy("array_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+    far = thirdorder.range_counts(near, EDGES, BY, pairs.possible_pairs(m)).where("over > 0")
+    return n.unionByName(far.select("array_id", F.lit(TOP + 1).alias("bin"), F.col("over").alias("n")))
 
 
 @query("ep01_geometric_bins", """SELECT event_id, CAST(CASE WHEN value < 1 THEN -1 WHEN value > 256 THEN 8 WHEN value = 256 THEN 7 ELSE floor(log2(value)) END AS INTEGER) AS bin FROM events""")
@@ -64,7 +72,8 @@ SELECT array_id, bin, coalesce(n, 0) AS observations, coalesce(np, 0) AS pairs,
  round(CASE WHEN n > 1 THEN -1.25*(sc-xc)/(sr-xr)*1e15 END, 3) + 0.0 AS without_extreme_e15, round(sqrt(s2)/(abs(2*7.2921159e-5*sin(radians(ml)))*mr), 6) AS rossby,
  CASE WHEN n IS NULL THEN 'missing_no_observations' WHEN n >= 12 AND np >= 3 AND pf >= 3 AND nt >= 12 THEN 'supported' ELSE 'low_support_' || concat_ws('_', CASE WHEN n < 12 THEN 'observations' END, CASE WHEN np < 3 THEN 'pairs' END, CASE WHEN pf < 3 THEN 'platforms' END, CASE WHEN nt < 12 THEN 'utc' END) END AS support_status FROM j""")
 def _(spark, sf):
-    s = thirdorder.separation_bins(observed(spark, sf), EDGES, BY)
+    m = moving(spark, sf)
+    s = thirdorder.separation_bins(paired(m), EDGES, BY, groups=pairs.possible_pairs(m))
     return s.select("array_id", "bin", "observations", "pairs", "platforms", "utc", "occupied_hours", rnd("mean_r", 3).alias("mean_r"), rnd(F.col("epsilon") * 1e15, 3).alias("epsilon_e15"),
                     rnd(F.coalesce("extreme_fraction", F.lit(0.0))).alias("extreme_fraction"), rnd(F.coalesce("top_five_fraction", F.lit(0.0))).alias("top_five_fraction"), rnd(F.coalesce("cancellation", F.lit(0.0))).alias("cancellation"),
                     rnd("effective_count", 4).alias("effective_count"), rnd("utc_span_h", 4).alias("utc_span_h"), rnd(F.col("epsilon_without_extreme") * 1e15, 3).alias("without_extreme_e15"), rnd("rossby").alias("rossby"), "support_status")
@@ -72,13 +81,14 @@ def _(spark, sf):
 
 @query("ep07_range_counts", f"WITH {EP} SELECT array_id, count(*) AS total, count_if(r <= 40000) AS in_bins, 0::BIGINT AS under, count_if(r > 40000) AS over FROM ep GROUP BY 1")
 def _(spark, sf):
-    return thirdorder.range_counts(observed(spark, sf).where("r_m > 0"), EDGES, BY).drop("invalid")
+    m = moving(spark, sf)
+    return thirdorder.range_counts(paired(m), EDGES, BY, pairs.possible_pairs(m)).drop("invalid")
 
 
 @query("ep08_distribution_summary", f"""WITH {EP}, l AS (SELECT 'r_m' AS metric, r AS v FROM ep UNION ALL SELECT 'dul_mm', dul*1e3 FROM ep)
 SELECT metric, count(*) AS count, round(min(v), 4) AS minimum, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.5), 4) + 0.0 AS median, round(quantile_cont(v, 0.99), 4) AS p99, round(max(v), 4) AS maximum, round(stddev_pop(v), 4) AS standard_deviation FROM l GROUP BY 1""")
 def _(spark, sf):
-    d = observed(spark, sf).where("r_m > 0").withColumn("dul_mm", F.col("dul") * 1e3)
+    d = observed(spark, sf, None).where("r_m > 0").withColumn("dul_mm", F.col("dul") * 1e3)
     s = thirdorder.distribution_summary(d, ["r_m", "dul_mm"])
     return s.select("metric", "count", *[rnd(c, 4).alias(c) for c in ("minimum", "p05", "median", "p99", "maximum", "standard_deviation")])
 
@@ -90,7 +100,7 @@ _WINSQL = "(VALUES ('w0_48', 0, 48), ('w0_120', 0, 120), ('w120_240', 120, 240))
 @query("ep09_windows_and_snapshot", f"""WITH {EP} SELECT win AS "window", array_id, count(*) AS n FROM ep JOIN {_WINSQL} ON age >= a AND age < b GROUP BY 1, 2
 UNION ALL SELECT 'snapshot', array_id, count(*) FROM ep WHERE age = 0 GROUP BY 2 UNION ALL SELECT 'union', array_id, count(*) FROM ep WHERE age >= 0 AND age < 240 GROUP BY 2""")
 def _(spark, sf):
-    o = observed(spark, sf).where("r_m > 0")
+    o = observed(spark, sf, None).where("r_m > 0")
     w, s = thirdorder.windowed(o, WIN), thirdorder.snapshot(o)
     u = thirdorder.union_once(w, s).withColumn("window", F.lit("union"))
     count = lambda d: d.groupBy("window", "array_id").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +115,8 @@ c AS (SELECT array_id, bin, qb, count(*) AS n FROM h GROUP BY 1, 2, 3), t AS (SE
 SELECT a.array_id, b.bin, qb.q_bin, coalesce(n, 0) AS n, coalesce(column_n, 0) AS column_n, CASE WHEN ir > 0 THEN round(coalesce(n, 0)/ir, 6) END AS mass
 FROM {_DENSE} CROSS JOIN (SELECT CAST(unnest(generate_series(0, {len(QE) - 2})) AS INTEGER) AS q_bin) qb LEFT JOIN c ON c.array_id = a.array_id AND c.bin = b.bin AND c.qb = qb.q_bin LEFT JOIN t ON t.array_id = a.array_id AND t.bin = b.bin""")
 def _(spark, sf):
-    h = thirdorder.q_histogram(observed(spark, sf).where("r_m > 0"), EDGES, QE, BY)
+    m = moving(spark, sf)
+    h = thirdorder.q_histogram(paired(m).where("r_m > 0"), EDGES, QE, BY, groups=pairs.possible_pairs(m))
     return h.select("array_id", "bin", "q_bin", "n", "column_n", rnd("mass").alias("mass"))
 
 

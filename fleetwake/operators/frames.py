@@ -298,6 +298,35 @@ def quantiles(df: DataFrame, key, values: dict, probs: dict) -> DataFrame:
     )
 
 
+def plane_pairs(df: DataFrame, on, ident: str, within: float, *, x: str = "x_m", y: str = "y_m", spread: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """The pairs of :func:`salted_pairs` that are at most ``within`` apart in the plane, and no others.
+
+    Rows meet through square cells of that width: one row in its own cell, the other also in four
+    of the eight cells around, so that each pair is made once and far pairs never form. Rows
+    without a position make no pair. ``spread`` cuts crowded cells as it cuts groups there.
+    """
+    on = keys(on)
+    columns = columns or [c for c in df.columns if c not in on]
+    row = F.struct(*[F.col(c).alias(c) for c in columns])
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *on, F.floor(F.col(x) / within).cast("long").alias("__x"), F.floor(F.col(y) / within).cast("long").alias("__y"), row.alias("__r"))
+    around = F.array(*[F.struct((F.col("__x") + i).alias("x"), (F.col("__y") + j).alias("y"), F.lit((i, j) == (0, 0)).alias("home")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    left = cells.withColumnRenamed("__r", "__a")
+    right = cells.select(*on, F.explode(around).alias("__c"), F.col("__r").alias("__b")).select(*on, F.col("__c.x").alias("__x"), F.col("__c.y").alias("__y"), F.col("__c.home").alias("__home"), "__b")
+    key = [*on, "__x", "__y"]
+    if spread > 1:
+        share = F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")
+        left = left.withColumn("__i", F.pmod(F.xxhash64(f"__a.{ident}"), F.lit(spread))).withColumn("__j", F.explode(share))
+        right = right.withColumn("__j", F.pmod(F.xxhash64(f"__b.{ident}"), F.lit(spread))).withColumn("__i", F.explode(share))
+        key += ["__i", "__j"]
+    a, b = F.col(f"__a.{ident}"), F.col(f"__b.{ident}")
+    dx, dy = F.col(f"__b.{x}") - F.col(f"__a.{x}"), F.col(f"__b.{y}") - F.col(f"__a.{y}")
+    met = left.join(right, key).where(((a < b) | (~F.col("__home") & (a != b))) & (dx * dx + dy * dy <= within * within * (1 + 1e-12)))
+    first, second = (F.when(a < b, F.col(f"__{p}")).otherwise(F.col(f"__{q}")) for p, q in ("ab", "ba"))
+    met = met.select(*on, first.alias("__f"), second.alias("__s"))
+    return met.select(*on, *[F.col(f"__f.{c}").alias(f"{c}_1") for c in columns], *[F.col(f"__s.{c}").alias(f"{c}_2") for c in columns])
+
+
 def salted_pairs(
     df: DataFrame,
     on,

@@ -116,17 +116,29 @@ def kinematics(df: DataFrame) -> DataFrame:
     }).drop("__dx", "__dy", "__du", "__dv")
 
 
-def pair_observations(grid: DataFrame, population=("array_id",), *, min_reliable_m: float = 0.0, spread: int = 1, activation: DataFrame | None = None) -> DataFrame:
-    """Kinematics of all pairs of a population at the times both have a valid velocity.
+def _moving(grid: DataFrame) -> DataFrame:
+    return grid.where("x_m IS NOT NULL AND y_m IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL")
 
-    ``grid``: population columns, cluster_id, platform_id, time, x_m, y_m, u, v, lat. ``spread``
-    splits populations too large for one task. ``activation`` adds the age.
+
+def pair_observations(grid: DataFrame, population=("array_id",), *, within_m: float | None = None, min_reliable_m: float = 0.0, spread: int = 1,
+                      activation: DataFrame | None = None) -> DataFrame:
+    """Kinematics of the pairs of a population at the times both have a valid velocity.
+
+    ``grid``: population columns, cluster_id, platform_id, time, x_m, y_m, u, v, lat. ``within_m`` is the
+    largest separation that the caller has a bin for: pairs beyond it are not formed at all, and
+    :func:`possible_pairs` counts them. ``spread`` splits populations (or cells) too large for one task.
+    ``activation`` adds the age.
     """
     on = list(population)
-    ok = F.col("x_m").isNotNull() & F.col("y_m").isNotNull() & F.col("u").isNotNull() & F.col("v").isNotNull()
     cols = [c for c in (KEY, "cluster_id", "x_m", "y_m", "u", "v", "lat") if c not in on]
-    p = frames.salted_pairs(grid.where(ok).select(*on, "time", *cols), [*on, "time"], KEY, spread=spread, columns=cols)
+    rows = _moving(grid).select(*on, "time", *cols)
+    if within_m is None:
+        p = frames.salted_pairs(rows, [*on, "time"], KEY, spread=spread, columns=cols)
+    else:
+        p = frames.plane_pairs(rows, [*on, "time"], KEY, within_m, spread=spread, columns=cols)
     p = kinematics(p)
+    if within_m is not None:
+        p = p.where(F.col("r_m") <= within_m)
     p = p.withColumns({
         "pair_id": pair_id(P1, P2), "mid_x": (F.col("x_m_1") + F.col("x_m_2")) / 2, "mid_y": (F.col("y_m_1") + F.col("y_m_2")) / 2,
         "mid_lat": (F.col("lat_1") + F.col("lat_2")) / 2, "below_reliable": F.col("r_m") < min_reliable_m})
@@ -137,6 +149,16 @@ def pair_observations(grid: DataFrame, population=("array_id",), *, min_reliable
     return p
 
 
+def possible_pairs(grid: DataFrame, population=("array_id",), activation: DataFrame | None = None) -> DataFrame:
+    """``population, time, possible``: how many pairs have a valid velocity at a time, from head counts alone."""
+    on = list(population)
+    n = _moving(grid).groupBy(*on, "time").agg(F.count(F.lit(1)).alias("n"))
+    n = n.where("n > 1").select(*on, "time", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("possible"))
+    if activation is not None:
+        n = n.join(activation, on).withColumn("age_h", geo.seconds_between("activation_time", "time") / 3600)
+    return n
+
+
 def with_populations(pairs: DataFrame) -> DataFrame:
     """Each pair row once as all_array and once under its relation."""
     return pairs.withColumn("population", F.explode(F.array(F.lit("all_array"), F.col("relation"))))

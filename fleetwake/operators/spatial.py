@@ -28,7 +28,7 @@ def pair_inventory(grid: DataFrame, group="array_id", max_first_m: float | None
 
 def observations(moving: DataFrame, inventory: DataFrame, group="array_id", *, low_m: float = 0.0, high_m: float = float("inf"), spread: int = 1) -> DataFrame:
     """Pair kinematics of admitted pairs inside a separation range."""
-    o = pr.pair_observations(moving, (group,), spread=spread)
+    o = pr.pair_observations(moving, (group,), within_m=high_m if high_m < float("inf") else None, spread=spread)
     o = o.join(inventory.where("selected").select(group, P1, P2), [group, P1, P2], "left_semi")
     return o.where((F.col("r_m") > 0) & (F.col("r_m") >= low_m) & (F.col("r_m") <= high_m) & F.col("q").isNotNull())
 

@@ -61,17 +61,16 @@ def moments(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
 
 
 def support(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Observations, distinct pairs, platforms and times per group; distinct keys are reduced before the shuffle."""
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("observations"))
-    def uniq(cols, name, src=rows):
-        return src.select(*by, *cols).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    # Platforms come from the distinct pairs, which are far fewer than the rows.
-    pairs = rows.select(*by, "pair_id", P1, P2).distinct()
-    members = pairs.select(*by, F.explode(F.array(P1, P2)).alias("p"))
-    out = n
-    for part in (uniq(["pair_id"], "pairs", pairs), uniq(["p"], "platforms", members), uniq(["time"], "utc")):
-        out = out.join(part, by)
-    return out
+    """Observations, distinct pairs, platforms, times and hours per group.
+
+    Rows are counted by pair and by time first; what is distinct follows from these two small tables.
+    """
+    pairs = rows.groupBy(*by, "pair_id", P1, P2).agg(F.count(F.lit(1)).alias("n"))
+    members = pairs.select(*by, F.explode(F.array(P1, P2)).alias("p")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("platforms"))
+    pairs = pairs.groupBy(*by).agg(F.sum("n").alias("observations"), F.count(F.lit(1)).alias("pairs"))
+    times = rows.select(*by, "time").distinct().groupBy(*by, F.date_trunc("hour", "time").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    times = times.groupBy(*by).agg(F.sum("n").alias("utc"), F.count(F.lit(1)).alias("occupied_hours"))
+    return pairs.join(members, by).join(times, by)
 
 
 def support_status(kind: str, need=(12, 3, 3, 12)) -> Column:
@@ -88,10 +87,13 @@ def support_status(kind: str, need=(12, 3, 3, 12)) -> Column:
     return F.when(obs == 0, "missing_no_observations").otherwise(rest)
 
 
-def separation_bins(pairs: DataFrame, edges: list[float], by: list[str], *, kind: str = "window", scheduled: int | None = None, need=(12, 3, 3, 12)) -> DataFrame:
+def separation_bins(pairs: DataFrame, edges: list[float], by: list[str], *, kind: str = "window", scheduled: int | None = None, need=(12, 3, 3, 12),
+                    groups: DataFrame | None = None) -> DataFrame:
     """Every configured bin of every group with estimator, moments, support and influence of the extreme row.
 
-    The top five cubes are found per (group, bin, pair-hash share) first, so no window holds a bin.
+    ``groups`` names the groups where ``pairs`` has only those within the last edge (by default the
+    groups of ``pairs``). The window over a bin ranks five rows of each task at most: Spark takes the limit
+    on the rank to both sides of the exchange.
     """
     b = binned(pairs.where("r_m > 0 AND dul IS NOT NULL"), edges)
     b = frames.cut_if_shuffled(b.withColumn("__c", F.col("dul") * F.col("dul") * F.col("dul")).withColumn("__a", F.abs("__c")))
@@ -104,16 +106,13 @@ def separation_bins(pairs: DataFrame, edges: list[float], by: list[str], *, kind
         F.min("time").alias("__t0"), F.max("time").alias("__t1"), F.count(F.lit(1)).alias("__n"),
         *_moment_sums(F.col("dul"), "dul"), *_moment_sums(F.col("dut"), "dut"))
     main = main.withColumns({**_moment_columns("dul"), **_moment_columns("dut")})
-    share = Window.partitionBy(*g, "__h").orderBy(F.desc("__a"), "pair_id", "time")
     best = Window.partitionBy(*g).orderBy(F.desc("__a"), "pair_id", "time")
-    tops = b.select(*g, "__a", "pair_id", "time").withColumn("__h", F.pmod(F.xxhash64("pair_id", "time"), F.lit(64)))
-    tops = tops.withColumn("__r", F.row_number().over(share)).where("__r <= 5").withColumn("__r", F.row_number().over(best)).where("__r <= 5")
+    tops = b.select(*g, "__a", "pair_id", "time").withColumn("__r", F.row_number().over(best)).where("__r <= 5")
     tops = tops.groupBy(*g).agg(F.sum("__a").alias("__top5"))
-    hours = b.select(*g, F.date_trunc("hour", "time").alias("h")).distinct().groupBy(*g).agg(F.count(F.lit(1)).alias("occupied_hours"))
-    got = main.join(support(b, g), g).join(tops, g).join(hours, g)
+    got = main.join(support(b, g), g).join(tops, g)
     spark = pairs.sparkSession
     if by:
-        dense = pairs.select(*by).distinct().crossJoin(F.broadcast(bin_table(spark, edges)))
+        dense = (pairs if groups is None else groups).select(*by).distinct().crossJoin(F.broadcast(bin_table(spark, edges)))
     else:
         dense = bin_table(spark, edges)
     j = dense.join(got, g, "left")
@@ -137,11 +136,24 @@ def separation_bins(pairs: DataFrame, edges: list[float], by: list[str], *, kind
     return j.drop("__sc", "__sr", "__sa", "__sa2", "__s2", "__x", "__t0", "__t1", "__n", "__top5").na.fill(0, ["observations", "pairs", "platforms", "utc", "occupied_hours"])
 
 
-def range_counts(pairs: DataFrame, edges: list[float], by: list[str]) -> DataFrame:
+def range_counts(pairs: DataFrame, edges: list[float], by: list[str], possible: DataFrame | None = None) -> DataFrame:
+    """Pairs inside, under and over the edges.
+
+    ``possible`` (``by…, possible``, of ``pairs.possible_pairs``) has the counts of all pairs where ``pairs`` lists only
+    those within the last edge: the rest of them is over it. Listed pairs without a separation above zero
+    then count nowhere.
+    """
     i, top = bin_index("r_m", edges), len(edges) - 2
-    return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if((i >= 0) & (i <= top)).alias("in_bins"), F.count_if(i == -1).alias("under"),
-        F.count_if(i > top).alias("over"), F.count_if(i == -2).alias("invalid"))
+    inside = (i >= 0) & (i <= top)
+    if possible is None:
+        return pairs.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(inside).alias("in_bins"), F.count_if(i == -1).alias("under"),
+            F.count_if(i > top).alias("over"), F.count_if(i == -2).alias("invalid"))
+    apart = F.col("r_m") > 0
+    near = pairs.groupBy(*by).agg(F.count_if(~apart).alias("__zero"), F.count_if(apart & inside).alias("in_bins"), F.count_if(apart & (i == -1)).alias("under"))
+    n = possible.groupBy(*by).agg(F.sum("possible").alias("possible")).join(near, by, "left").na.fill(0)
+    return n.select(*by, (F.col("possible") - F.col("__zero")).alias("total"), "in_bins", "under",
+                    (F.col("possible") - F.col("__zero") - F.col("in_bins") - F.col("under")).alias("over"), F.lit(0).cast("long").alias("invalid"))
 
 
 # Quantile labels.
@@ -178,8 +190,8 @@ def union_once(*parts: DataFrame) -> DataFrame:
     return out.dropDuplicates(["array_id", "pair_id", "time"]) if "array_id" in out.columns else out.dropDuplicates(["pair_id", "time"])
 
 
-def q_histogram(pairs: DataFrame, edges: list[float], q_edges: list[float], by: list[str]) -> DataFrame:
-    """Dense separation × q counts with the conditional mass and what lies outside."""
+def q_histogram(pairs: DataFrame, edges: list[float], q_edges: list[float], by: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """Dense separation × q counts with the conditional mass and what lies outside; ``groups`` as for :func:`separation_bins`."""
     b = binned(pairs, edges).where("q IS NOT NULL")
     i = bin_index("q", q_edges)
     top = len(q_edges) - 2
@@ -191,7 +203,7 @@ def q_histogram(pairs: DataFrame, edges: list[float], q_edges: list[float], by:
         F.sum(F.when(F.col("q_bin") == -1, F.col("n")).otherwise(0)).alias("under"), F.sum(F.when(F.col("q_bin") > top, F.col("n")).otherwise(0)).alias("over"))
     spark = pairs.sparkSession
     cells = bin_table(spark, edges).select("bin").withColumn("q_bin", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    dense = pairs.select(*by).distinct().crossJoin(F.broadcast(cells)) if by else cells
+    dense = (pairs if groups is None else groups).select(*by).distinct().crossJoin(F.broadcast(cells)) if by else cells
     j = dense.join(c.where(inside), [*by, "bin", "q_bin"], "left").join(tot, [*by, "bin"], "left").na.fill(0)
     return j.withColumn("mass", F.when(F.col("in_range") > 0, F.col("n") / F.col("in_range")))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetwake.functions import wgs84
 from fleetwake.operators import frames, pairs
 
 
@@ -63,19 +66,14 @@ def test_near_pairs_match_brute_force(spark):
     rows = [(str(i), float(179.9 + x) if x < 0.1 else float(x - 180.1), float(y)) for i, (x, y) in enumerate(zip(rng.random(60) * 0.2, 70 + rng.random(60) * 0.2))]
     d = spark.createDataFrame(rows, "platform_id string, lon double, lat double").withColumn("time", F.lit("2025-01-01").cast("timestamp"))
     got = {(r.platform_id_1, r.platform_id_2) for r in pairs.near_pairs(d, 1500.0).collect()}
-    from fleetwake.functions.wgs84 import inverse_arrays
-
-    want = set()
-    for i, a in enumerate(rows):
-        for b in rows[i + 1:]:
-            s = inverse_arrays(*[np.array([v]) for v in (a[1], a[2], b[1], b[2])])[0][0]
-            if s <= 1500:
-                want.add(tuple(sorted((a[0], b[0]))))
+    a, b = d.select(*[F.col(c).alias(f"{c}_1") for c in ("platform_id", "lon", "lat")]), d.select(*[F.col(c).alias(f"{c}_2") for c in ("platform_id", "lon", "lat")])
+    every = wgs84.with_inverse(a.join(b, F.col("platform_id_1") < F.col("platform_id_2")), "g", "lon_1", "lat_1", "lon_2", "lat_2")
+    want = {(r.platform_id_1, r.platform_id_2) for r in every.where("g.s <= 1500").collect()}
     assert got == want and len(want) > 10
 
 
 def test_shared_folder_follows_the_session(spark):
-    assert frames.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert frames.shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
 
 
 def test_rows_without_time_are_cut_by_their_second_order(spark):
@@ -95,3 +93,29 @@ def test_quantiles_of_tiny_values_use_many_buckets(spark):
     import numpy as np
 
     assert np.allclose([q.v_p1, q.v_p9], np.quantile(ordered, [0.1, 0.9]), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_plane_pairs_are_the_near_ones(spark, spread):
+    r = random.Random(6)
+    rows = [(g, f"p{i}", r.choice([r.uniform(-50, 50), 10.0 * r.randrange(-3, 4)]), r.uniform(-50, 50)) for g in range(3) for i in range(40)]
+    rows += [(0, "x", None, 1.0), (0, "y", 2.0, None), (1, "z1", 0.0, 0.0), (1, "z2", 0.0, 0.0)]
+    got = frames.plane_pairs(spark.createDataFrame(rows, "g int, id string, x_m double, y_m double"), "g", "id", 10.0, spread=spread).select("g", "id_1", "id_2", "x_m_1", "y_m_2").collect()
+    want = [(a[0], a[1], b[1], a[2], b[3]) for a in rows for b in rows
+            if a[0] == b[0] and a[1] < b[1] and None not in (*a, *b) and (b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2 <= 100 * (1 + 1e-12)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pairs_beyond_the_edge_are_counted_without_being_formed(spark):
+    from fleetwake.operators import pairs, thirdorder
+
+    r = random.Random(9)
+    rows = [(t % 2, 0, f"p{i}", t, r.uniform(0, 90), r.uniform(0, 90), r.random(), r.random(), 10.0) for t in range(6) for i in range(9)]
+    rows += [(1, 0, "q1", 1, 5.0, 5.0, 0.1, 0.1, 10.0), (1, 0, "q2", 1, 5.0, 5.0, 0.2, 0.2, 10.0), (1, 0, "q3", 1, 5.0, 5.0, None, 0.2, 10.0), (7, 0, "alone", 1, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    g = spark.createDataFrame(rows, "array_id int, cluster_id int, platform_id string, t long, x_m double, y_m double, u double, v double, lat double")
+    g = g.withColumn("time", F.timestamp_seconds("t"))
+    edges = [5.0, 15.0, 30.0]
+    everyone = thirdorder.range_counts(pairs.pair_observations(g).where("r_m > 0"), edges, ["array_id"]).collect()
+    near = pairs.pair_observations(g, within_m=30.0)
+    bounded = thirdorder.range_counts(near, edges, ["array_id"], pairs.possible_pairs(g)).collect()
+    assert sorted(map(tuple, bounded)) == sorted(map(tuple, everyone)) and near.count() < sum(x.total for x in everyone)
