@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwake.functions import wgs84
@@ -33,23 +33,48 @@ def contiguous(series: DataFrame, interval_s: float, keys=(PAIR,)) -> tuple[Data
     return ok, end
 
 
+def _chunk(time: str = "time") -> Column:
+    return F.floor(F.unix_micros(time) / F.lit(frames.CHUNK_US)).cast("long")
+
+
+def _later(rows: DataFrame, k: list[str], events: dict[str, Column]) -> DataFrame:
+    """For every (pair, chunk): the earliest of each event in the chunks after it.
+
+    An event is a struct that begins with its time, NULL on other rows. One row for each chunk is
+    carried backwards along a pair, so what comes next is known without looking at the series again.
+    """
+    first = rows.groupBy(*k, "chunk").agg(*[F.min(e).alias(n) for n, e in events.items()])
+    after = Window.partitionBy(*k).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    return first.select(*k, "chunk", *[F.min(n).over(after).alias(n) for n in events])
+
+
+def _of_shell(prefix: str, n: int) -> Column:
+    return F.get(F.array(*[F.col(f"{prefix}{i}") for i in range(n)]), F.col("shell"))
+
+
 def first_passages(series: DataFrame, edges: list[float], interval_s: float, keys=(PAIR,)) -> DataFrame:
     """Pair mode: the clock starts at the first sample in [δ, ρδ), stops at the first later one above ρδ.
 
-    A sample can start only the shell it lies in, so entries need one pass without a shell join;
-    exits join the (pair, shell) entries back on the pair.
+    A sample can start only the shell it lies in, so entries need one pass without a shell join. An
+    exit lies in the chunk of its entry, or is the next exceedance of that chunk (:func:`_later`); entries meet
+    no other samples.
     """
-    k = list(keys)
+    k, n = list(keys), len(edges) - 1
     ok, end = contiguous(series, interval_s, keys)
-    ok = frames.cut(ok.select(*k, "time", "distance_km").withColumn("shell", bin_index("distance_km", edges)))
+    ok = frames.cut(ok.select(*k, "time", "distance_km", _chunk().alias("chunk")).withColumn("shell", bin_index("distance_km", edges)))
     # Half-open: the closed top edge of the bins belongs to no shell.
-    inside = (F.col("shell") >= 0) & (F.col("shell") < len(edges) - 1) & (F.col("distance_km") < edges[-1])
-    entry = ok.where(inside).groupBy(*k, "shell").agg(F.min_by(F.struct("time", "distance_km"), "time").alias("e")).select(
-        *k, "shell", F.col("e.time").alias("entry_time"), F.col("e.distance_km").alias("entry_km"))
+    inside = (F.col("shell") >= 0) & (F.col("shell") < n) & (F.col("distance_km") < edges[-1])
+    entry = ok.where(inside).groupBy(*k, "shell").agg(F.min_by(F.struct("time", "distance_km", "chunk"), "time").alias("e")).select(
+        *k, "shell", F.col("e.time").alias("entry_time"), F.col("e.distance_km").alias("entry_km"), F.col("e.chunk").alias("chunk"))
     shells = _shells(series.sparkSession, edges)
     clocks = entry.join(F.broadcast(shells), "shell")
-    out = clocks.join(ok.select(*k, "time", "distance_km"), k).where((F.col("time") > F.col("entry_time")) & (F.col("distance_km") > F.col("upper")))
-    exits = out.groupBy(*k, "shell").agg(F.min_by(F.struct("time", "distance_km"), "time").alias("x"))
+    sample = F.struct("time", "distance_km")
+    later = _later(ok, k, {f"x{i}": F.when(F.col("distance_km") > edges[i + 1], sample) for i in range(n)})
+    here = clocks.join(ok.select(*k, "chunk", "time", "distance_km"), [*k, "chunk"]).where((F.col("time") > F.col("entry_time")) & (F.col("distance_km") > F.col("upper")))
+    here = here.groupBy(*k, "shell").agg(F.min(sample).alias("near"))
+    exits = clocks.select(*k, "shell", "chunk").join(later, [*k, "chunk"]).join(here, [*k, "shell"], "left").select(
+        *k, "shell", F.coalesce("near", _of_shell("x", n)).alias("x"))
+    entry = entry.drop("chunk")
     last = ok.groupBy(*k).agg(F.max("time").alias("last_time"))
     dense = end.join(last, k).crossJoin(F.broadcast(shells))
     j = dense.join(entry, [*k, "shell"], "left").join(exits, [*k, "shell"], "left")
@@ -82,7 +107,7 @@ def observed_passages(series: DataFrame, edges: list[float], interval_s: float,
     s = series.withColumns({"__hard": hard, "__ok": have & F.coalesce(d >= 0, F.lit(False)) & ~hard})
     tv = F.when(F.col("__ok"), F.col("time"))
     s = frames.scan(s, k, "time", lag={"__p": F.struct("time", "distance_km", "__ok")}, last={"__seen": tv})
-    s = frames.scan(s, k, "time", lag={"__pv": F.col("__seen")})
+    s = frames.scan(s, k, "time", lag={"__pv": F.col("__seen")}, total={"__miss": (~F.col("__ok")).cast("long")})
     step_ok = F.coalesce(F.abs((F.unix_micros("time") - F.unix_micros("__p.time")) / F.lit(1e6) - interval_s) <= 1e-6, F.lit(False))
     gap = (F.unix_micros("time") - F.unix_micros("__pv")) / F.lit(60e6)
     s = s.withColumns({
@@ -92,28 +117,39 @@ def observed_passages(series: DataFrame, edges: list[float], interval_s: float,
     shells = _shells(series.sparkSession, edges)
     lower = F.element_at(F.array(*[F.lit(float(e)) for e in edges]), F.col("shell") + 1)
     begins = F.when(F.col("shell") >= 0, (F.col("__adj") & F.col("__p.__ok") & (F.col("__p.distance_km") < lower)) | (F.col("__first") & (d == lower)))
-    s = frames.cut(s.withColumn("__entry", F.coalesce(begins, F.lit(False))).drop("__seen", "__pv"))
-    entry = s.where("__entry").groupBy(*k, "shell").agg(F.min_by(F.struct("time", "distance_km", F.col("__p.time").alias("before")), "time").alias("e")).select(
-        *k, "shell", F.col("e.time").alias("entry_time"), F.col("e.distance_km").alias("entry_km"), F.col("e.before").alias("preceding_time"))
-    clocks = frames.cut(entry.join(F.broadcast(shells), "shell"))
-    later = clocks.join(s.select(*k, "time", "distance_km", "__ok", "__hard", "__adj", "__gap"), k).where(F.col("time") >= F.col("entry_time"))
-    after = F.col("time") > F.col("entry_time")
-    exits = later.where(after & F.col("__ok") & (F.col("distance_km") >= F.col("upper"))).groupBy(*k, "shell").agg(
-        F.min_by(F.struct("time", "distance_km"), "time").alias("x"))
-    seg = later.join(exits, [*k, "shell"], "left").where(F.col("x").isNull() | (F.col("time") <= F.col("x.time")))
     if policy == "strict_observed":
-        fault = F.when(F.col("__hard"), 1).when(~F.col("__ok"), 2).when(after & ~F.col("__adj"), 3)
+        fault = F.when(F.col("__hard"), 1).when(~F.col("__ok"), 2).when(~F.col("__adj"), 3)
     else:
         fault = F.when(F.col("__hard"), 1)
         if max_gap_min is not None:
-            fault = fault.when(after & (F.col("__gap") > max_gap_min), 4)
-    seg = seg.withColumn("__fault", fault)
-    g = seg.groupBy(*k, "shell").agg(
-        F.min(F.when(F.col("__fault").isNotNull(), F.struct("time", "__fault"))).alias("f"), F.count_if(~F.col("__ok")).alias("missing_count"),
-        F.coalesce(F.max(F.when(after, F.col("__gap"))), F.lit(0.0)).alias("max_gap_min"), F.max(F.when(F.col("__ok"), F.col("time"))).alias("last_seen"))
-    cens = seg.join(g.select(*k, "shell", F.col("f.time").alias("__ft")), [*k, "shell"]).where(F.col("__ok") & (F.col("time") < F.col("__ft"))).groupBy(*k, "shell").agg(F.max("time").alias("before_fault"))
+            fault = fault.when(F.col("__gap") > max_gap_min, 4)
+    s = s.withColumns({"__entry": F.coalesce(begins, F.lit(False)), "__fault": fault, "chunk": _chunk()})
+    s = frames.cut(s.select(*k, "time", "distance_km", "shell", "chunk", F.col("__p.time").alias("__before"), "__ok", "__gap", "__pv", "__miss", "__entry", "__fault"))
+    entry = s.where("__entry").groupBy(*k, "shell").agg(F.min(F.struct("time", "distance_km", F.col("__before").alias("before"), "chunk", "__miss")).alias("e"))
+    n = len(edges) - 1
+    # Exits and faults after an entry: in its own chunk, or the next ones known to that chunk.
+    exit_, trouble = F.struct("time", "distance_km", "__miss"), F.when(F.col("__fault").isNotNull(), F.struct("time", "__fault", "__pv"))
+    reach = lambda edge: F.when(F.col("__ok") & (F.col("distance_km") >= edge), exit_)
+    later = _later(s, k, {**{f"x{i}": reach(F.lit(edges[i + 1])) for i in range(n)}, "f1": trouble})
+    clocks = entry.join(F.broadcast(shells), "shell").select(*k, "shell", "upper", "e", F.col("e.chunk").alias("chunk"))
+    here = clocks.join(s.drop("shell"), [*k, "chunk"]).where(F.col("time") > F.col("e.time")).groupBy(*k, "shell").agg(
+        F.min(reach(F.col("upper"))).alias("near"), F.min(trouble).alias("f0"))
+    whole = s.groupBy(*k).agg(F.max(F.when(F.col("__ok"), F.col("time"))).alias("last_seen"), F.max("__miss").alias("all_missing"))
+    runs = clocks.join(later, [*k, "chunk"]).join(here, [*k, "shell"], "left").join(whole, k).select(
+        *k, "shell", "e", "last_seen", "all_missing", F.coalesce("near", _of_shell("x", n)).alias("x"), F.coalesce("f0", "f1").alias("f"))
+    runs = frames.cut(runs.withColumn("f", F.when(F.col("x").isNull() | (F.col("f.time") <= F.col("x.time")), F.col("f"))))
+    # The widest gap of a run: from rows in its first and last chunk, from one row for each chunk between them.
+    c0, c1 = F.col("e.chunk"), _chunk("x.time")
+    widest = s.groupBy(*k, "chunk").agg(F.max("__gap").alias("gap"))
+    between = runs.join(widest, k).where((F.col("chunk") > c0) & (c1.isNull() | (F.col("chunk") < c1))).select(*k, "shell", "gap")
+    ends = runs.withColumn("chunk", F.explode(F.array_distinct(F.array(c0, F.coalesce(c1, c0))))).join(s.select(*k, "chunk", "time", F.col("__gap").alias("gap")), [*k, "chunk"])
+    ends = ends.where((F.col("time") > F.col("e.time")) & (F.col("x").isNull() | (F.col("time") <= F.col("x.time")))).select(*k, "shell", "gap")
+    gaps = between.unionByName(ends).groupBy(*k, "shell").agg(F.max("gap").alias("gap"))
+    runs = runs.join(gaps, [*k, "shell"], "left").select(
+        *k, "shell", "x", "f", "last_seen", F.col("f.__pv").alias("before_fault"), (F.coalesce("x.__miss", "all_missing") - F.col("e.__miss")).alias("missing_count"),
+        F.coalesce("gap", F.lit(0.0)).alias("max_gap_min"), F.col("e.time").alias("entry_time"), F.col("e.distance_km").alias("entry_km"), F.col("e.before").alias("preceding_time"))
     pairs = series.select(*k).distinct()
-    j = pairs.crossJoin(F.broadcast(shells)).join(entry, [*k, "shell"], "left").join(exits, [*k, "shell"], "left").join(g, [*k, "shell"], "left").join(cens, [*k, "shell"], "left")
+    j = pairs.crossJoin(F.broadcast(shells)).join(runs, [*k, "shell"], "left")
     names = F.create_map(*[F.lit(x) for kv in ((1, "source_gap_limit"), (2, "missing_pair_position"), (3, "time_step_mismatch"), (4, "elapsed_gap_limit")) for x in kv])
     failed, none = F.col("f").isNotNull(), F.col("entry_time").isNull()
     reached = ~none & ~failed & F.col("x").isNotNull()
