@@ -221,6 +221,7 @@ def _(spark, sf):
 
 
 RULE = groups.ClusterRule(max_start_gap_s=40 * 3600.0, max_pair_m=7000.0, max_diameter_m=9000.0, max_members=6)
+OVERRIDES = {2: groups.ClusterRule(1.0, 1.0, 1.0, None, "single_cluster"), 3: groups.ClusterRule(20 * 3600.0, 3000.0, 20000.0)}
 
 
 def _metrics(spark, sf):
@@ -230,31 +231,68 @@ def _metrics(spark, sf):
         "platform_id", "array_id", "start_time", F.col("p.lon").alias("start_lon"), F.col("p.lat").alias("start_lat"))
     p = frames.cut(p)
     g = grid.resample_track(o, cells(o), 2880).join(p.select("platform_id", "array_id"), "platform_id")
-    return p, groups.pair_metrics(p, g, RULE)
+    return p, frames.cut(groups.pair_metrics(p, g, RULE, OVERRIDES))
 
 
-@query("gr02_pair_metrics", f"""WITH {GRID}, {STARTS},
-pp AS (SELECT a.array_id, a.platform_id AS platform_1, b.platform_id AS platform_2, abs(b.s - a.s)/1e6 AS gap FROM aa a JOIN aa b ON a.array_id = b.array_id AND a.platform_id < b.platform_id),
-cm AS (SELECT a.platform_id AS platform_1, b.platform_id AS platform_2, min(a.t) AS c FROM gr a JOIN gr b ON a.t = b.t AND a.platform_id < b.platform_id JOIN aa x ON x.platform_id = a.platform_id JOIN aa y ON y.platform_id = b.platform_id AND x.array_id = y.array_id WHERE a.lon IS NOT NULL AND b.lon IS NOT NULL GROUP BY 1, 2)
-SELECT array_id, pp.platform_1, pp.platform_2, round(gap, 4) AS start_gap_s, c AS first_common_us FROM pp LEFT JOIN cm USING (platform_1, platform_2)""")
-def _(spark, sf):
-    _, m = _metrics(spark, sf)
-    return m.select("array_id", "platform_1", "platform_2", rnd("start_gap_s").alias("start_gap_s"), us("first_common").alias("first_common_us"))
+METRICS = f"""{GRID}, {STARTS},
+fp AS (SELECT platform_id, arg_min(lon, time) AS lo, arg_min(lat, time) AS la FROM obs GROUP BY 1),
+rl AS (SELECT DISTINCT array_id, CASE array_id WHEN 2 THEN 1 WHEN 3 THEN 72000 ELSE 144000 END AS rgap, CASE array_id WHEN 2 THEN 1 WHEN 3 THEN 3000 ELSE 7000 END AS rpair,
+  CASE array_id WHEN 2 THEN 1 WHEN 3 THEN 20000 ELSE 9000 END AS rdiam, CASE WHEN array_id IN (2, 3) THEN 1000000 ELSE 6 END AS rmem FROM aa),
+pp AS (SELECT a.array_id, a.platform_id AS p1, b.platform_id AS p2, abs(b.s - a.s)/1e6 AS gap, x.lo AS lo0, x.la AS la0, y.lo AS lo1, y.la AS la1
+  FROM aa a JOIN aa b ON a.array_id = b.array_id AND a.platform_id < b.platform_id JOIN fp x ON x.platform_id = a.platform_id JOIN fp y ON y.platform_id = b.platform_id),
+cm AS (SELECT p1, p2, min(a.t) AS c FROM pp JOIN gr a ON a.platform_id = p1 JOIN gr b ON b.platform_id = p2 AND a.t = b.t WHERE a.lon IS NOT NULL AND b.lon IS NOT NULL GROUP BY 1, 2),
+sr AS (SELECT 'o' AS kind, p1, p2, lo0, la0, lo1, la1 FROM pp
+  UNION ALL SELECT 'c', p1, p2, a.lon, a.lat, b.lon, b.lat FROM cm JOIN gr a ON a.platform_id = p1 AND a.t = c JOIN gr b ON b.platform_id = p2 AND b.t = c),
+{geodesic("sr")},
+pm AS MATERIALIZED (SELECT pp.array_id, pp.p1, pp.p2, gap, c, o.s AS om, k.s AS km, gap <= rgap AND o.s <= rpair AS link
+  FROM pp JOIN rl USING (array_id) LEFT JOIN cm USING (p1, p2) LEFT JOIN geo o ON o.kind = 'o' AND o.p1 = pp.p1 AND o.p2 = pp.p2 LEFT JOIN geo k ON k.kind = 'c' AND k.p1 = pp.p1 AND k.p2 = pp.p2)"""
 
 
-@query("gr03_gr05_clusters")
+@query("gr02_pair_metrics", f"""WITH {METRICS} SELECT array_id, p1 AS platform_1, p2 AS platform_2, round(gap, 6) AS start_gap_s, c AS first_common_us,
+ round(om, 3) AS observed_m, round(km, 3) AS common_m, round(om, 3) AS distance_m, coalesce(link, false) AS link FROM pm""")
+def _(spark, sf):
+    _, m = _metrics(spark, sf)
+    return m.select("array_id", "platform_1", "platform_2", rnd("start_gap_s").alias("start_gap_s"), us("first_common").alias("first_common_us"),
+                    *[rnd(c, 3).alias(c) for c in ("observed_m", "common_m", "distance_m")], "link")
+
+
+# One merge for each array at a time: the best of all that its rule allows.
+CLUSTERS = METRICS + """,
+sg AS (SELECT array_id, platform_id AS p, s, CASE WHEN array_id = 2 THEN min(platform_id) OVER (PARTITION BY array_id) ELSE platform_id END AS seed FROM aa),
+st AS (
+  SELECT array_id, p, s, seed, 0 AS it FROM sg
+  UNION ALL
+  (WITH pr AS (SELECT x.array_id, least(x.seed, y.seed) AS a, greatest(x.seed, y.seed) AS b, min(CASE WHEN link THEN om END) AS tie
+      FROM st x JOIN st y ON x.array_id = y.array_id AND x.p < y.p AND x.seed <> y.seed JOIN pm ON p1 = x.p AND p2 = y.p GROUP BY 1, 2, 3),
+   mg AS (SELECT pr.array_id, a, b, any_value(tie) AS tie, max(om) AS wide, count(*) FILTER (om IS NULL) AS lost
+      FROM pr JOIN st x ON x.array_id = pr.array_id AND x.seed IN (a, b) JOIN st y ON y.array_id = pr.array_id AND y.seed IN (a, b) AND x.p < y.p JOIN pm ON p1 = x.p AND p2 = y.p WHERE tie IS NOT NULL GROUP BY 1, 2, 3),
+   nm AS (SELECT pr.array_id, a, b, list(p ORDER BY p) AS names, (max(s) - min(s))/1e6 AS spread FROM pr JOIN st ON st.array_id = pr.array_id AND st.seed IN (a, b) GROUP BY 1, 2, 3),
+   ch AS (SELECT mg.*, row_number() OVER (PARTITION BY mg.array_id ORDER BY tie, wide, spread, names) AS k FROM mg JOIN nm USING (array_id, a, b) JOIN rl USING (array_id)
+      WHERE lost = 0 AND wide <= rdiam AND spread <= rgap AND len(names) <= rmem)
+   SELECT st.array_id, st.p, st.s, CASE WHEN st.seed = ch.b THEN ch.a ELSE st.seed END, st.it + 1 FROM st JOIN ch ON ch.array_id = st.array_id AND ch.k = 1)),
+lb AS (SELECT * FROM st QUALIFY it = max(it) OVER (PARTITION BY array_id)),
+cn AS (SELECT *, count(*) OVER g AS size, row_number() OVER (PARTITION BY array_id, seed ORDER BY s, p) AS member, min((s, p)) OVER g AS f FROM lb WINDOW g AS (PARTITION BY array_id, seed)),
+ca AS (SELECT *, 'array_' || lpad(CAST(array_id AS VARCHAR), 3, '0') || '__cluster_' || lpad(CAST(dense_rank() OVER (PARTITION BY array_id ORDER BY f) AS VARCHAR), 3, '0') AS cluster_id FROM cn)"""
+
+
+@query("gr03_gr05_clusters", f"""WITH RECURSIVE {CLUSTERS} SELECT p AS platform_id, array_id, cluster_id, member AS member_id, size AS cluster_size,
+ CASE WHEN array_id = 2 THEN 'configured_single_cluster' WHEN size = 1 THEN 'algorithmic_singleton' ELSE 'candidate_cluster' END AS status FROM ca""")
 def _(spark, sf):
     p, m = _metrics(spark, sf)
-    return groups.number_clusters(p, groups.agglomerate(p, m, RULE)).drop("start_time")
+    return groups.number_clusters(p, groups.agglomerate(p, m, RULE, OVERRIDES), RULE, OVERRIDES).drop("start_time")
 
 
-@query("gr04_cluster_statistics")
+@query("gr04_cluster_statistics", f"""WITH RECURSIVE {CLUSTERS}, pc AS (SELECT pm.*, x.cluster_id FROM pm JOIN ca x ON x.p = p1 JOIN ca y ON y.p = p2 WHERE x.cluster_id = y.cluster_id),
+ps AS (SELECT cluster_id, count_if(link) AS links, max(om) AS xo, max(km) AS xk, count_if(om IS NULL) AS lo, count_if(km IS NULL) AS lk FROM pc GROUP BY 1)
+SELECT any_value(array_id) AS array_id, cluster_id, count(*) AS members, round((max(s) - min(s))/1e6, 3) AS start_spread_s, coalesce(any_value(links), 0) AS links, coalesce(any_value(lo), 0) AS unavailable,
+ coalesce(any_value(lk), 0) AS common_unavailable, round(CASE WHEN count(*) = 1 THEN 0 ELSE any_value(xo) END, 3) AS max_available_m, round(CASE WHEN count(*) = 1 THEN 0 WHEN any_value(lo) = 0 THEN any_value(xo) END, 3) AS diameter_m,
+ round(CASE WHEN count(*) = 1 THEN 0 WHEN any_value(lo) = 0 THEN any_value(xo) END, 3) AS observed_diameter_m, round(CASE WHEN count(*) = 1 THEN 0 WHEN any_value(lk) = 0 THEN any_value(xk) END, 3) AS common_diameter_m
+FROM ca LEFT JOIN ps USING (cluster_id) GROUP BY cluster_id""")
 def _(spark, sf):
     p, m = _metrics(spark, sf)
-    m = frames.cut(m)
-    a = frames.cut(groups.number_clusters(p, groups.agglomerate(p, m, RULE)))
+    a = frames.cut(groups.number_clusters(p, groups.agglomerate(p, m, RULE, OVERRIDES), RULE, OVERRIDES))
     s = groups.cluster_statistics(a, m)
-    return s.withColumns({c: rnd(c, 3) for c in ("start_spread_s", "max_available_m", "diameter_m")})
+    return s.withColumns({c: rnd(c, 3) for c in ("start_spread_s", "max_available_m", "diameter_m", "observed_diameter_m", "common_diameter_m")})
 
 
 @query("gr06_reference_assignments", """WITH s AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1)
