@@ -181,8 +181,8 @@ def fit(deployments: DataFrame, reviews: DataFrame, *, key: str = "platform_id",
 def score(deployments: DataFrame, model: Model, *, key: str = "platform_id", note: str = "note", threshold: float = 0.5) -> DataFrame:
     """One row for each record: counts, base verdict, probability and verdict.
 
-    Columns: ``key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality,
-    kept``. Words are runs of other characters than space and the controls 9 to 13; ``word_chars``
+    Columns: ``key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    quality``. Words are runs of other characters than space and the controls 9 to 13; ``word_chars``
     counts their code points, ``n_symbols`` the characters ``# * $ % & | < >``, ``n_dup_lines`` the
     lines with a word that equal an earlier line, ``n_repeat_words`` the words inside three-word windows that the note has twice
     or more. A note fails with under 50 words, or where more than half of its words repeat so. Else it
@@ -192,7 +192,7 @@ def score(deployments: DataFrame, model: Model, *, key: str = "platform_id", not
     """
     schema = (
         f"k {deployments.schema[key].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, base_failed boolean, quality double, kept boolean"
+        "n_repeat_words long, base_failed boolean, kept boolean, quality double"
     )
     shared.small_batches(deployments.sparkSession)
     sent = deployments.sparkSession.sparkContext.broadcast(model)
@@ -208,8 +208,8 @@ def score(deployments: DataFrame, model: Model, *, key: str = "platform_id", not
             lines = [_repeated_lines(body[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             failed = (n < 50) | (100 * repeat > 50 * n)
             p = sent.value.probability(Grams(data, offsets, hashed, first))
-            arrays = [n, _sums(_IS_POINT[data], offsets), _sums(_IS_SYMBOL[data], offsets), np.array(lines, np.int64), repeat, failed, p, ~failed & (p >= threshold)]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
+            arrays = [n, _sums(_IS_POINT[data], offsets), _sums(_IS_SYMBOL[data], offsets), np.array(lines, np.int64), repeat, failed, ~failed & (p >= threshold), p]
+            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, arrays)], names=["k", *names])
 
     rows = deployments.select(F.col(key).alias("k"), F.col(note).cast("binary").alias("t"))

@@ -64,13 +64,16 @@ def plan(deployments: DataFrame, *, old: Column, n_old: int, n_new: int = 16, ke
          capacities: list[int] | None = None, cost=None, bins: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """The new place of every deployment record: ``key, size, text_crc32, old_shard, shard, slot``.
 
-    ``old`` is the shard that a record lies in now (0 to ``n_old`` - 1; null: 0), ``size`` the UTF-8
+    ``old`` is the shard that a record lies in now (0 to ``n_old`` - 1; null: 0). A record with another
+    number lies outside of the old shards: it is placed like the others and counts as moved wherever
+    it goes. ``size`` is the UTF-8
     bytes of its note (null: none) plus 1. ``capacities`` are the bytes of the new shards, near equal
     by default. Minimum-cost flow over the sums of the shards says how many bytes go from each old
     to each new shard (``cost(i, j)`` a byte; by default 0 where the shard stays, else 1, so that
     the fewest bytes move). Within an old shard records are ordered by their text's hash, so that
     equal texts lie together, and the flows cut that order: a record goes where the middle of its
-    bytes falls. Each new shard thus differs from its capacity by less than its border records;
+    bytes falls. Records, not groups of equal texts, are what is moved: a group that lies in several old
+    shards, or at a border, stays spread where keeping it together would move more bytes. Each new shard thus differs from its capacity by less than its border records;
     ``slot`` numbers the records of a shard from 0 without gaps.
 
     The order is cut into ``bins`` ranges of hashes of each old shard, finer by key hash, and places
@@ -87,30 +90,32 @@ def plan(deployments: DataFrame, *, old: Column, n_old: int, n_new: int = 16, ke
         F.coalesce(old, F.lit(0)).cast("int").alias("old_shard"), F.xxhash64(text).alias("h"), F.xxhash64(F.col(key).cast("string")).alias("g"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
+    d = d.withColumn("source", F.when(F.col("old_shard").between(0, n_old - 1), F.col("old_shard")).otherwise(n_old))
     d = d.withColumn("bin", F.shiftrightunsigned("h", 64 - (bins - 1).bit_length()).cast("int")).withColumn("sub", F.shiftrightunsigned("g", 56).cast("int"))
     d = shared.cut(d)
-    sums = {r.old_shard: r.size for r in d.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}
-    supply = [sums.get(i, 0) for i in range(n_old)]
+    sums = {r.source: r.size for r in d.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    supply = [sums.get(i, 0) for i in range(n_old + 1)]
     capacities = capacities or even(sum(supply), n_new)
-    flows = min_cost_flow(supply, capacities, cost or (lambda i, j: int(i != j)))
-
-    # Bytes and rows before each (old shard, bin, sub): at most n_old x bins x 256 rows, however many records.
-    cells = d.groupBy("old_shard", "bin", "sub").agg(F.sum("size").alias("bytes"))
-    line = Window.partitionBy("old_shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    in_bin = Window.partitionBy("old_shard", "bin").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = cells.groupBy("old_shard", "bin").agg(F.sum("bytes").alias("b")).withColumn("before_bin", F.coalesce(F.sum("b").over(line), F.lit(0)))
-    cells = cells.withColumn("before_sub", F.coalesce(F.sum("bytes").over(in_bin), F.lit(0))).join(per_bin.drop("b"), ["old_shard", "bin"])
-    cells = cells.select("old_shard", "bin", "sub", (F.col("before_bin") + F.col("before_sub")).alias("before"))
-    inside = Window.partitionBy("old_shard", "bin", "sub").orderBy("h", "g", "k", "size", "text_crc32", *[f"keep_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = d.withColumn("upto", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["old_shard", "bin", "sub"])
+    cost = cost or (lambda i, j: int(i != j))
+    flows = min_cost_flow(supply, capacities, lambda i, j: cost(i, j) if i < n_old else 1)
+
+    # Bytes and rows before each (source, bin, sub): at most (n_old + 1) x bins x 256 rows, however many records.
+    cells = d.groupBy("source", "bin", "sub").agg(F.sum("size").alias("bytes"))
+    line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    in_bin = Window.partitionBy("source", "bin").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = cells.groupBy("source", "bin").agg(F.sum("bytes").alias("b")).withColumn("before_bin", F.coalesce(F.sum("b").over(line), F.lit(0)))
+    cells = cells.withColumn("before_sub", F.coalesce(F.sum("bytes").over(in_bin), F.lit(0))).join(per_bin.drop("b"), ["source", "bin"])
+    cells = cells.select("source", "bin", "sub", (F.col("before_bin") + F.col("before_sub")).alias("before"))
+    inside = Window.partitionBy("source", "bin", "sub").orderBy("h", "g", "k", "size", "text_crc32", *[f"keep_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.withColumn("upto", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["source", "bin", "sub"])
     middle = F.col("before") + F.col("upto") + F.col("size") / 2
     shard = None
-    for i in range(n_old):
+    for i in range(n_old + 1):
         out = sorted((j for a, j in flows if a == i), key=lambda j: (j != i, j))
         edge = 0
         for j in out:
             edge += flows[i, j]
-            here = (F.col("old_shard") == i) & ((middle <= edge) if j != out[-1] else F.lit(True))
+            here = (F.col("source") == i) & ((middle <= edge) if j != out[-1] else F.lit(True))
             shard = F.when(here, j) if shard is None else shard.when(here, j)
     placed = placed.withColumn("shard", (shard if shard is not None else F.lit(0)).cast("int"))
     return number(placed, key, keep)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,27 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetwake.operators import frames
+
 #: Word separators: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder of ``spark.checkpoint.dir`` and go on from the table.
-
-    The folder is named by the cluster; a temporary one is set only in local mode, where driver
-    and executors are one process. Lost executors lose nothing that is written here.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="notes-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/notes-{uuid.uuid4().hex}"
+    """Write a step to the shared folder and go on from the table, so that lost executors lose nothing of it."""
+    path = f"{frames.shared_folder(df.sparkSession).rstrip('/')}/notes-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark, rows: int = 1000) -> None:

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_its_query():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_stages(spark):
@@ -36,3 +36,19 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_odd_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = docs.limit(60).collect()
+    long = " ".join(r.text or "" for r in sample if r.lang == "en")
+    odd = [(None, sample[0].text, "en", None, 5), (None, sample[0].text, "en", None, 5), (10**6, long * 3, "en", "src1", 0), (10**6 + 1, None, None, None, None),
+           (10**6 + 2, "", "en", "src2", 0), (10**6 + 3, sample[1].text, None, "src2", 1), (10**6 + 3, sample[1].text, None, "src2", 1)]
+    left = spark.createDataFrame([tuple(r) for r in sample] + odd, docs.schema)
+    left = left.selectExpr("*", "'x' AS k", "1 AS size", "'y' AS copies", "2 AS old_shard")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, left, SF).collect()
+        if name != "sharding":
+            left = spark.createDataFrame(rows, docs.schema)
+            assert all(r.text for r in rows) and 0 < len(rows) <= len(sample) + len(odd) * 3, name
+    assert sum(r.doc_id == 10**6 for r in rows) <= 3 and len(rows) == left.count()

@@ -156,6 +156,17 @@ def test_rewrite_of_null_and_repeated_keys(spark, tmp_path):
         assert sorted([(r.platform_id, r.note, r.provenance) for r in back], key=str) == sorted([x for x in rows if shard_of[x[2]] not in stay], key=str)
 
 
+def test_records_outside_the_old_shards_are_placed(spark):
+    rows = [(f"p{i}", "x" * (i % 7), str([0, 1, 5, -3][i % 4])) for i in range(400)]
+    placed = sharding.plan(records(spark, rows), old=F.col("provenance").cast("int"), n_old=2, n_new=8, keep=("provenance",)).collect()
+    assert sorted((r.platform_id, r.provenance) for r in placed) == sorted((k, p) for k, _, p in rows)
+    assert all(str(r.old_shard) == r.provenance and 0 <= r.shard < 8 for r in placed)
+    sizes = [sum(r["size"] for r in placed if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) < 16
+    for s in range(8):
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
+
+
 def test_shards_of_odd_records(spark):
     import zlib
 
