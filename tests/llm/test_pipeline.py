@@ -50,5 +50,5 @@ def test_stages_take_odd_documents(spark):
         rows = stage(spark, left, SF).collect()
         if name != "sharding":
             left = spark.createDataFrame(rows, docs.schema)
-            assert all(r.text for r in rows) and 0 < len(rows) <= len(sample) + len(odd) * 3, name
+            assert all(r.text for r in rows) and 0 < len(rows) <= 3 * (len(sample) + len(odd)), name
     assert sum(r.doc_id == 10**6 for r in rows) <= 3 and len(rows) == left.count()
