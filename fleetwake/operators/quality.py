@@ -183,11 +183,57 @@ def repeat_rejections(rows: DataFrame) -> DataFrame:
     })
 
 
+def _linked(close: DataFrame, limit_us: int) -> DataFrame:
+    """``platform_id, island, chunk, anchor``: the anchor with which every chunk of an island begins.
+
+    A chunk maps the anchor it gets to the one it hands on. Only rows in the last ``limit`` before a chunk can
+    be its anchor, so this map has few rows; maps of neighbouring chunks are composed to maps of
+    2, 4, 8 … chunks, and what is reached from the first chunk doubles with them.
+    """
+    k = [KEY, "island", "chunk"]
+    none = F.lit(runsolver.NO_ANCHOR)
+    span = close.groupBy(KEY, "island").agg(F.min("chunk").alias("c0"), F.max("chunk").alias("c1"))
+    start = span.select(KEY, "island", F.col("c0").alias("chunk"), none.alias("anchor"))
+    long = frames.cut(span.where("c1 > c0").withColumn("span", F.col("c1") - F.col("c0")))
+    most = long.agg(F.max("span")).first()[0]
+    if not most:
+        return start
+    rows = close.join(long.select(KEY, "island"), [KEY, "island"])
+    end = (F.col("chunk") + 1) * frames.CHUNK_US
+    tails = rows.where((F.col("t_us") >= end - limit_us) & ~F.col("human").isin("reject", "uncertain")).withColumns({"chunk": F.col("chunk") + 1, "before": F.lit(True)})
+    both = rows.withColumn("before", F.lit(False)).unionByName(tails)
+
+    def handed_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for island, d in pdf.sort_values("t_us").groupby("island", sort=False):
+            core = d[~d["before"]]
+            if len(core):
+                given = np.r_[runsolver.NO_ANCHOR, d.loc[d["before"], "t_us"].to_numpy(np.int64)]
+                made = runsolver.Thinning(core["t_us"].to_numpy(np.int64), core["human"].to_numpy(), limit_us).handed_on(given)
+                out.append(pd.DataFrame({KEY: d[KEY].iloc[0], "island": island, "chunk": d["chunk"].iloc[0], "anchor": given, "next": made}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*k, "anchor", "next"])
+
+    hop = both.groupBy(KEY, "chunk").applyInPandas(handed_on, "platform_id string, island long, chunk long, anchor long, next long")
+    # An anchor whose reach ends with the chunk is none to the next one.
+    hop = frames.cut(hop.withColumn("next", F.when(F.col("next") + limit_us > end, F.col("next")).otherwise(none)))
+    reached, step = frames.cut(start), 1
+    while step <= most:
+        further = reached.join(hop, [*k, "anchor"]).select(KEY, "island", (F.col("chunk") + step).alias("chunk"), F.col("next").alias("anchor"))
+        reached = frames.cut(reached.unionByName(further))
+        step *= 2
+        if step <= most:
+            onward = hop.select(KEY, "island", (F.col("chunk") - step // 2).alias("chunk"), F.col("anchor").alias("next"), F.col("next").alias("__to"))
+            hop = frames.cut(hop.join(onward, [*k, "next"]).select(*k, "anchor", F.col("__to").alias("next")))
+    return reached
+
+
 def short_interval_rejections(rows: DataFrame, cfg: PositionConfig = PositionConfig()) -> DataFrame:
     """Thins rows that follow the surviving anchor by less than the minimum interval.
 
     A row at least the minimum after its predecessor survives whatever came before, so the track
-    falls apart into islands of closely spaced rows there; single rows never reach Python.
+    falls apart into islands of closely spaced rows there; single rows never reach Python. Islands are
+    cut into the chunks of ``frames`` (a day), so that a densely sampled platform spreads over many tasks;
+    each chunk is thinned from the anchor that :func:`_linked` finds for it.
     """
     scope = (F.col("segment_status") == "retained") & _usable() & ~F.col("deployment_uncertain")
     considered = rows.where(_flag(scope)).select(KEY, "segment", "time", "obs_index", "human", "rej_repeat")
@@ -196,29 +242,28 @@ def short_interval_rejections(rows: DataFrame, cfg: PositionConfig = PositionCon
     considered = considered.join(twins, [KEY, "time"], "left").withColumn("__dup", F.col("__c").isNotNull()).drop("__c")
     # Repeated rows are skipped; duplicate times are barriers between islands.
     line = considered.where(~F.col("rej_repeat") | F.col("__dup"))
+    limit_us = round(cfg.min_dt_s * 1e6)
     seen = frames.scan(line, KEY, TRACK, lag={"__p": F.struct(t.alias("t"), "segment", "__dup")})
     fresh = (
         F.col("__p").isNull() | F.col("__p.__dup") | F.col("__dup") | (F.col("__p.segment") != F.col("segment"))
-        | (t - F.col("__p.t") >= round(cfg.min_dt_s * 1e6))
+        | (t - F.col("__p.t") >= limit_us)
     )
     lots = frames.islands(seen.withColumn("__f", fresh).drop("__p"), KEY, TRACK, F.col("__f"), out="island").where(~F.col("__dup"))
     sizes = lots.groupBy(KEY, "island").agg(F.count(F.lit(1)).alias("__s")).where("__s > 1")
-    close = lots.join(sizes, [KEY, "island"]).withColumn("__lot", F.floor(F.col("island") / 256))
-    limit = cfg.min_dt_s
+    if limit_us > frames.CHUNK_US:
+        raise ValueError("the minimum interval must not exceed a day")
+    close = lots.join(sizes, [KEY, "island"]).select(
+        KEY, "island", "obs_index", t.alias("t_us"), "human", F.floor(t / F.lit(frames.CHUNK_US)).cast("long").alias("chunk"))
+    close = frames.cut(close)
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["island", "t_us", "obs_index"])
-        drop = np.zeros(len(pdf), bool)
-        at = np.flatnonzero(np.r_[True, pdf["island"].to_numpy()[1:] != pdf["island"].to_numpy()[:-1]])
-        sec, human = pdf["t_us"].to_numpy() / 1e6, pdf["human"].to_numpy()
-        for a, z in zip(at, np.r_[at[1:], len(pdf)]):
-            drop[a:z] = runsolver.thin_short(sec[a:z], human[a:z], limit)
-        return pdf.loc[drop, [KEY, "obs_index"]]
-
-    hits = (
-        close.select(KEY, "__lot", "island", "obs_index", t.alias("t_us"), "human")
-        .groupBy(KEY, "__lot").applyInPandas(thin, "platform_id string, obs_index long")
-    )
+        hits = []
+        for _, d in pdf.sort_values(["island", "t_us", "obs_index"]).groupby("island", sort=False):
+            stretch = runsolver.Thinning(d["t_us"].to_numpy(np.int64), d["human"].to_numpy(), limit_us)
+            hits.append(d.loc[stretch.fallen(int(d["anchor"].iloc[0])), [KEY, "obs_index"]])
+        return pd.concat(hits)
+
+    hits = close.join(_linked(close, limit_us), [KEY, "island", "chunk"]).groupBy(KEY, "chunk").applyInPandas(thin, "platform_id string, obs_index long")
     return rows.join(hits.withColumn("rej_short", F.lit(True)), [KEY, "obs_index"], "left").withColumn("rej_short", _flag(F.col("rej_short")))
 
 

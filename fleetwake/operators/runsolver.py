@@ -339,21 +339,55 @@ def thin_new_side(p: Piece, trusted_from_s: float) -> list[Cure]:
     return out
 
 
-def thin_short(t: np.ndarray, human: np.ndarray, limit_s: float) -> np.ndarray:
-    """Rejected rows of one island of closely spaced rows; the anchor is the last surviving row.
+NO_ANCHOR = -(2**62)
 
-    Rows that a human rejected never anchor and are not judged; an uncertain row ends the anchor.
+
+class Thinning:
+    """One stretch of an island of closely spaced rows: which rows fall, given the anchor before it.
+
+    The anchor is the last surviving row. What follows it by less than the limit falls; the first row
+    beyond that which no human rejected decides what comes next: it is the new anchor, or, where it is
+    uncertain, the next row without doubt is. So every row has one next anchor, and the anchor that a stretch hands
+    on is a function of the one it gets.
     """
-    drop = np.zeros(len(t), bool)
-    at, n = 0, len(t)
-    while at < n:
-        if human[at] in ("reject", "uncertain"):
-            at += 1
-            continue
-        # Everything within the limit of an anchor falls; the next row beyond it decides what follows.
-        beyond = at + 1
-        while beyond < n and (0 < t[beyond] - t[at] < limit_s or human[beyond] == "reject"):
-            drop[beyond] = 0 < t[beyond] - t[at] < limit_s
-            beyond += 1
-        at = beyond
-    return drop
+
+    def __init__(self, t_us: np.ndarray, human: np.ndarray, limit_us: int):
+        self.t, self.limit, self.n = t_us, limit_us, len(t_us)
+        live = human != "reject"
+        self.able = live & (human != "uncertain")
+        self.next_live, self.next_able = (self._next(x) for x in (live, self.able))
+        beyond = self.next_live[np.searchsorted(t_us, t_us + limit_us)]
+        # n: no further row, the anchor stays; n + 1: an uncertain row ends it and nothing follows.
+        self.after = np.where(beyond == self.n, self.n, np.where(self.next_able[beyond] == self.n, self.n + 1, self.next_able[beyond]))
+
+    def _next(self, mark: np.ndarray) -> np.ndarray:
+        at = np.where(np.r_[mark, True], np.arange(self.n + 1), self.n)
+        return np.minimum.accumulate(at[::-1])[::-1]
+
+    def first(self, anchor: int) -> int:
+        """Position of the first anchor in the stretch, or n, or n + 1, as in ``after``."""
+        if anchor == NO_ANCHOR:
+            return int(self.next_able[0]) if self.next_able[0] < self.n else self.n + 1
+        beyond = self.next_live[np.searchsorted(self.t, anchor + self.limit)]
+        if beyond == self.n:
+            return self.n
+        return int(self.next_able[beyond]) if self.next_able[beyond] < self.n else self.n + 1
+
+    def handed_on(self, anchors: np.ndarray) -> np.ndarray:
+        """The anchor after the stretch for every anchor before it."""
+        last = np.empty(self.n + 2, np.int64)
+        last[self.n + 1] = NO_ANCHOR
+        for i in range(self.n - 1, -1, -1):
+            last[i] = self.t[i] if self.after[i] == self.n else last[self.after[i]]
+        first = [self.first(int(a)) for a in anchors]
+        return np.array([a if f == self.n else last[f] for a, f in zip(anchors, first)], np.int64)
+
+    def fallen(self, anchor: int) -> np.ndarray:
+        drop = np.zeros(self.n, bool)
+        at = self.first(anchor)
+        if anchor != NO_ANCHOR:
+            drop |= self.t < anchor + self.limit
+        while at < self.n:
+            drop[at + 1 : np.searchsorted(self.t, self.t[at] + self.limit)] = True
+            at = int(self.after[at])
+        return drop

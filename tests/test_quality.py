@@ -76,8 +76,55 @@ def test_pieces_decide_like_whole_runs(spark, policy):
     assert got == whole_run_cures(pdf, policy == "aggressive") and got
 
 
+def plain_thinning(t, human, limit):
+    """The rule as one walk over an island."""
+    drop, at = [False] * len(t), 0
+    while at < len(t):
+        if human[at] in ("reject", "uncertain"):
+            at += 1
+            continue
+        beyond = at + 1
+        while beyond < len(t) and (t[beyond] - t[at] < limit or human[beyond] == "reject"):
+            drop[beyond] = bool(t[beyond] - t[at] < limit)
+            beyond += 1
+        at = beyond
+    return drop
+
+
 def test_short_interval_anchor_is_the_last_survivor():
-    t = np.array([0.0, 100, 200, 260, 500])
+    t = np.array([0, 100, 200, 250, 400]) * 1_000_000
     human = np.array(["", "", "", "", ""])
-    # 100 s falls to 0 s; 200 s is far enough from 0 s; 260 s falls to 200 s.
-    assert list(runsolver.thin_short(t, human, 150.0)) == [False, True, False, True, False]
+    got = runsolver.Thinning(t, human, 150_000_000).fallen(runsolver.NO_ANCHOR)
+    assert list(got) == [False, True, False, True, False]
+
+
+def test_stretches_hand_their_anchor_on():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(2, 60))
+        t = np.cumsum(r.integers(1, 12, n)).astype(np.int64)
+        human = r.choice(["", "", "", "reject", "uncertain"], n)
+        cuts = np.sort(r.integers(0, n + 1, 3))
+        anchor, got = runsolver.NO_ANCHOR, []
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            if b > a:
+                s = runsolver.Thinning(t[a:b], human[a:b], 15)
+                got += list(s.fallen(anchor))
+                anchor = int(s.handed_on(np.array([anchor]))[0])
+        assert got == plain_thinning(t, human, 15)
+
+
+def test_dense_track_over_many_days(spark):
+    """One island of a week: chunks are thinned apart and agree with one walk."""
+    r = np.random.default_rng(5)
+    seconds = np.cumsum(r.integers(200, 1500, 700))
+    rows = [("dense", i, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=int(s)), 0.001 * i, 0.0) for i, s in enumerate(seconds)]
+    rows += [("calm", i, dt.datetime(2025, 1, 1) + dt.timedelta(hours=2 * i), 0.001 * i, 1.0) for i in range(20)]
+    d = spark.createDataFrame(rows, "platform_id string, obs_index long, time timestamp, lon double, lat double")
+    human = F.when(F.col("obs_index") % 17 == 5, "reject").when(F.col("obs_index") % 41 == 7, "uncertain").otherwise("")
+    d = d.withColumns({"human": human, "segment": F.lit(0), "segment_status": F.lit("retained"), "deployment_uncertain": F.lit(False), "rej_repeat": F.lit(False), **{c: F.lit(True) for c in ("valid_time", "valid_position", "drogue_eligible", "deployment_eligible")}})
+    cfg = PositionConfig(min_dt_s=1800.0)
+    got = {(x.platform_id, x.obs_index) for x in quality.short_interval_rejections(d, cfg).where("rej_short").collect()}
+    flags = ["reject" if i % 17 == 5 else "uncertain" if i % 41 == 7 else "" for i in range(700)]
+    want = {("dense", i) for i, x in enumerate(plain_thinning(list(map(int, seconds)), flags, 1800)) if x}
+    assert got == want and len(want) > 200
