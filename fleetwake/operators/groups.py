@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetwake.functions import geo, wgs84
 from fleetwake.operators import frames
+from fleetwake.operators.pairs import first_common
 
 KEY = "platform_id"
 
@@ -68,11 +69,12 @@ def pair_metrics(platforms: DataFrame, grid: DataFrame, rule: ClusterRule, overr
     p = frames.salted_pairs(platforms.select("array_id", KEY, "start_time", "start_lon", "start_lat"), "array_id", KEY, spread=spread)
     p = p.withColumn("start_gap_s", F.abs(geo.seconds_between("start_time_1", "start_time_2")))
     p = wgs84.with_inverse(p, "__g", "start_lon_1", "start_lat_1", "start_lon_2", "start_lat_2").withColumn("observed_m", F.col("__g.s")).drop("__g")
-    cells = grid.where("lon IS NOT NULL AND lat IS NOT NULL").select("array_id", "time", KEY, "lon", "lat")
-    met = frames.salted_pairs(cells, ["array_id", "time"], KEY, spread=spread).groupBy("array_id", f"{KEY}_1", f"{KEY}_2").agg(
-        F.min_by(F.struct("time", "lon_1", "lat_1", "lon_2", "lat_2"), "time").alias("c"))
-    met = wgs84.with_inverse(met, "__g", "c.lon_1", "c.lat_1", "c.lon_2", "c.lat_2")
-    met = met.select("array_id", f"{KEY}_1", f"{KEY}_2", F.col("c.time").alias("first_common"), F.col("__g.s").alias("common_m"))
+    met = first_common(grid, ("array_id",), spread)
+    for i in (1, 2):
+        at = grid.select(F.col(KEY).alias(f"{KEY}_{i}"), F.col("time").alias("first_common"), F.col("lon").alias(f"lon_{i}"), F.col("lat").alias(f"lat_{i}"))
+        met = met.join(at, [f"{KEY}_{i}", "first_common"])
+    met = wgs84.with_inverse(met, "__g", "lon_1", "lat_1", "lon_2", "lat_2")
+    met = met.select("array_id", f"{KEY}_1", f"{KEY}_2", "first_common", F.col("__g.s").alias("common_m"))
     j = p.join(met, ["array_id", f"{KEY}_1", f"{KEY}_2"], "left")
     d = F.col("observed_m") if reference == "observed_starts" else F.col("common_m")
     j = j.withColumn("distance_m", d)

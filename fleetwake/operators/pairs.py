@@ -64,24 +64,61 @@ def encounters(grid: DataFrame, max_m: float, *, max_from_start_s: float | None
         geo.seconds_between("start_time_1", "time").alias("delay_1_s"), geo.seconds_between("start_time_2", "time").alias("delay_2_s"))
 
 
+#: Times in one word of a presence index; the sign of a long stays free.
+WORD = 62
+
+
+def presence(grid: DataFrame, on, flags: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(words, times): which platforms are there when, as bits.
+
+    ``words``: ``on…, platform_id, word`` and one long for each flag, whose bit k says that the flag holds at
+    position 62·word + k. ``times``: ``time, pos``, the distinct times in order. Two platforms meet where the words
+    of one number have a common bit, so pairs are joined by words and not by times.
+    """
+    times = grid.select("time").where("time IS NOT NULL").distinct().withColumn("__all", F.lit(0))
+    times = frames.cut(frames.number(times, "__all", "time", out="pos").select("time", "pos"))
+    rows = grid.select(*on, "time", KEY, *[f.alias(f"__{n}") for n, f in flags.items()]).join(times, "time")
+    bit = F.expr(f"shiftleft(1L, CAST(pos % {WORD} AS INT))")
+    words = rows.groupBy(*on, KEY, F.floor(F.col("pos") / WORD).cast("long").alias("word")).agg(
+        *[F.bit_or(F.when(F.col(f"__{n}"), bit).otherwise(F.lit(0).cast("long"))).alias(n) for n in flags])
+    return words, times
+
+
+def lowest(bits: Column) -> Column:
+    """Number of the lowest bit that is set."""
+    return F.bit_count(bits.bitwiseAND(-bits) - 1)
+
+
+def highest(bits: Column) -> Column:
+    return F.length(F.bin(bits)) - 1
+
+
+def below(bits: Column, k: Column) -> Column:
+    """How many bits under number ``k`` are set."""
+    return F.bit_count(bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int")) - 1))
+
+
 def search_counts(platforms: DataFrame, grid: DataFrame, found: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
     """Sizes of the search: possible, eligible, overlapping and found pairs, as counts without listing pairs.
 
     Overlap is counted per pair of presence patterns: platforms with the same set of grid times
-    share a pattern, and only patterns (with their head counts) are compared.
+    share a pattern, and only patterns (with their head counts) are compared, by words of their
+    presence index.
     """
     n = platforms.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("possible"))
     if same:
         e = platforms.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("eligible"))
     else:
         e = n.select(F.col("possible").alias("eligible"))
-    rows = grid.where("lon IS NOT NULL AND lat IS NOT NULL")
-    shape = rows.groupBy(*same, KEY).agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("time")).alias("x"), F.sum(F.xxhash64("time").cast("decimal(38,0)")).alias("s"))
+    words, _ = presence(grid.where("lon IS NOT NULL AND lat IS NOT NULL"), same, {"bits": F.lit(True)})
+    words = frames.cut(words)
+    shape = words.groupBy(*same, KEY).agg(
+        F.sum(F.bit_count("bits")).alias("c"), F.bit_xor(F.xxhash64("word", "bits")).alias("x"), F.sum(F.xxhash64("word", "bits").cast("decimal(38,0)")).alias("s"))
     heads = shape.groupBy(*same, "c", "x", "s").agg(F.count(F.lit(1)).alias("k"), F.min(KEY).alias(KEY))
-    reps = frames.cut_if_shuffled(heads.select(*same, KEY, "k"))
-    times = rows.select(KEY, "time").join(reps, KEY)
-    meet = frames.salted_pairs(times.select(*same, "time", KEY, "k"), [*same, "time"], KEY).select(P1, P2, "k_1", "k_2").distinct()
+    reps = frames.cut(heads.select(*same, KEY, "k"))
+    rows = words.join(reps.select(KEY, "k"), KEY)
+    meet = frames.salted_pairs(rows.select(*same, "word", KEY, "bits", "k"), [*same, "word"], KEY)
+    meet = meet.where(F.col("bits_1").bitwiseAND(F.col("bits_2")) != 0).select(P1, P2, "k_1", "k_2").distinct()
     cross = meet.agg(F.coalesce(F.sum(F.col("k_1") * F.col("k_2")), F.lit(0)).alias("a"))
     own = reps.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0)).cast("long").alias("b"))
     f = found.agg(F.count(F.lit(1)).alias("found"))
@@ -89,6 +126,15 @@ def search_counts(platforms: DataFrame, grid: DataFrame, found: DataFrame, same:
     return one.select("possible", "eligible", (F.col("a") + F.col("b")).alias("overlapping"), "found")
 
 
+def first_common(grid: DataFrame, on=("array_id",), spread: int = 1) -> DataFrame:
+    """``on…, platform_id_1, platform_id_2, first_common``: the first time at which both have a position."""
+    on = list(on)
+    words, times = presence(grid.where("lon IS NOT NULL AND lat IS NOT NULL"), on, {"bits": F.lit(True)})
+    met = frames.salted_pairs(words, [*on, "word"], KEY, spread=spread).withColumn("both", F.col("bits_1").bitwiseAND(F.col("bits_2")))
+    first = met.where("both <> 0").groupBy(*on, P1, P2).agg(F.min(F.col("word") * WORD + lowest(F.col("both"))).alias("pos"))
+    return first.join(times, "pos").select(*on, P1, P2, F.col("time").alias("first_common"))
+
+
 def pair_table(found: DataFrame, grid: DataFrame, columns=("lon", "lat")) -> DataFrame:
     """Rows of both members over the complete common window, with the centre and the row number."""
     rows = grid.select(KEY, "time", *columns)
@@ -174,19 +220,28 @@ def inventory_violations(pairs: DataFrame, a: str = P1, b: str = P2) -> DataFram
 def coverage(grid: DataFrame, population=("array_id", "cluster_id"), spread: int = 1) -> DataFrame:
     """Scheduled and valid times of every pair: every row of ``grid`` is a scheduled time of its platform.
 
-    Counts before, inside and after the pair's first and last valid time.
+    Counts before, inside and after the pair's first and last valid time, from the words of the
+    presence index: whole words by their number of bits, the first and the last valid word bit by bit.
     """
     on = list(population)
-    p = frames.salted_pairs(grid.select(*on, "time", KEY, "valid"), [*on, "time"], KEY, spread=spread)
-    p = p.withColumn("ok", F.col("valid_1") & F.col("valid_2"))
+    words, times = presence(grid, on, {"s": F.lit(True), "v": F.coalesce(F.col("valid"), F.lit(False))})
     g = [*on, P1, P2]
-    # The counts follow from positions in time: before the first and after the last valid one.
-    s = p.groupBy(*g, "time").agg(F.bool_or("ok").alias("ok"))
-    ends = s.groupBy(*g).agg(F.count(F.lit(1)).alias("scheduled"), F.count_if("ok").alias("valid"),
-                             F.min(F.when(F.col("ok"), F.col("time"))).alias("first_valid"), F.max(F.when(F.col("ok"), F.col("time"))).alias("last_valid"))
-    j = s.join(ends.select(*g, "first_valid", "last_valid"), g)
-    c = j.groupBy(*g).agg(F.count_if(F.col("time") < F.col("first_valid")).alias("before"), F.count_if(F.col("time") > F.col("last_valid")).alias("after"))
-    out = ends.join(c, g)
+    w = frames.salted_pairs(words, [*on, "word"], KEY, spread=spread).select(
+        *g, "word", F.col("s_1").bitwiseAND(F.col("s_2")).alias("s"), F.col("v_1").bitwiseAND(F.col("v_2")).alias("v"))
+    w = frames.cut(w.where("s <> 0").withColumns({"n": F.bit_count("s").cast("long"), "m": F.bit_count("v").cast("long")}))
+    held, at = F.col("v") != 0, F.struct("word", "s", "v")
+    ends = w.groupBy(*g).agg(F.sum("n").alias("scheduled"), F.sum("m").alias("valid"), F.min(F.when(held, at)).alias("a"), F.max(F.when(held, at)).alias("z"))
+    j = w.join(ends.select(*g, F.col("a.word").alias("w0"), F.col("z.word").alias("w1")), g)
+    c = j.groupBy(*g).agg(F.coalesce(F.sum(F.when(F.col("word") < F.col("w0"), F.col("n"))), F.lit(0)).alias("b0"),
+                          F.coalesce(F.sum(F.when(F.col("word") > F.col("w1"), F.col("n"))), F.lit(0)).alias("a0"))
+    early = below(F.col("a.s"), lowest(F.col("a.v")))
+    late = F.bit_count("z.s") - below(F.col("z.s"), highest(F.col("z.v")) + 1)
+    out = ends.join(c, g).withColumns({
+        "before": F.col("b0") + F.coalesce(early, F.lit(0)), "after": F.col("a0") + F.coalesce(late, F.lit(0)),
+        "__p": F.col("a.word") * WORD + lowest(F.col("a.v")), "__q": F.col("z.word") * WORD + highest(F.col("z.v"))})
+    for pos, name in (("__p", "first_valid"), ("__q", "last_valid")):
+        out = out.join(times.select(F.col("pos").alias(pos), F.col("time").alias(name)), pos, "left")
+    out = out.drop("b0", "a0", "a", "z", "__p", "__q")
     return out.withColumns({
         "inside_missing": F.when(F.col("valid") > 0, F.col("scheduled") - F.col("valid") - F.col("before") - F.col("after")).otherwise(F.lit(0)),
         "complete": F.col("scheduled") == F.col("valid"), "fraction": F.col("valid") / F.col("scheduled")})
