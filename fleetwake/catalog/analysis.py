@@ -392,11 +392,13 @@ MEM = [("early", 2.0, 4.0), ("late", 6.0, 8.0)]
 
 @query("pj04_separation_memory", f"""WITH {AGE}, p AS (SELECT a.array_id, a.platform_id AS p1, b.platform_id AS p2, a.age, sqrt(pow(b.x-a.x,2)+pow(b.y-a.y,2)) AS r FROM ag0 a JOIN ag0 b ON a.array_id = b.array_id AND a.t = b.t AND a.platform_id < b.platform_id WHERE a.age >= 0 AND a.age < 192 AND a.x IS NOT NULL AND b.x IS NOT NULL),
 w AS (SELECT * FROM (VALUES ('early', 2, 4), ('late', 6, 8)) v(grp, a, b)),
-c AS (SELECT p.array_id, grp, p.age AS t, q.age AS s, sum(p.r*q.r)/sum(p.r*p.r) AS k, count(*) AS n FROM p JOIN w ON p.age/24 >= a AND p.age/24 < b JOIN p q ON q.array_id = p.array_id AND q.p1 = p.p1 AND q.p2 = p.p2 AND q.age <= p.age GROUP BY 1, 2, 3, 4 HAVING sum(p.r*p.r) > 0)
-SELECT array_id, grp AS "group", CAST(least(floor(((s-t)/t + 1)*10), 9) AS INTEGER) AS bin, count(*) AS samples, count(DISTINCT t) AS targets, round(avg(k), 5) AS correlation FROM c GROUP BY 1, 2, 3""")
+c AS (SELECT p.array_id, grp, p.age AS t, q.age AS s, sum(p.r*q.r)/sum(p.r*p.r) AS k, count(*) AS n FROM p JOIN w ON p.age/24 >= a AND p.age/24 < b JOIN p q ON q.array_id = p.array_id AND q.p1 = p.p1 AND q.p2 = p.p2 AND q.age <= p.age GROUP BY 1, 2, 3, 4 HAVING sum(p.r*p.r) > 0),
+g AS (SELECT array_id, grp, CAST(least(floor(((s-t)/t + 1)*10), 9) AS INTEGER) AS bin, count(*) AS samples, count(DISTINCT t) AS targets, round(avg(k), 5) AS correlation FROM c GROUP BY 1, 2, 3)
+SELECT a.array_id, w.grp AS "group", k.bin, coalesce(samples, 0) AS samples, coalesce(targets, 0) AS targets, correlation
+FROM (SELECT DISTINCT array_id FROM ag0) a CROSS JOIN w CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS bin) k LEFT JOIN g ON g.array_id = a.array_id AND g.grp = w.grp AND g.bin = k.bin""")
 def _(spark, sf):
     m = dispersion.separation_memory(aged(spark, sf), BY, MEM, 10)
-    return m.where("samples > 0").select("array_id", "group", "bin", "samples", "targets", rnd("correlation", 5).alias("correlation"))
+    return m.select("array_id", "group", "bin", "samples", "targets", rnd("correlation", 5).alias("correlation"))
 
 
 @query("pj05_lagrangian_structure", f"""WITH {AGE}, a AS (SELECT platform_id, u, v FROM ag0 WHERE age = 0 AND u IS NOT NULL)

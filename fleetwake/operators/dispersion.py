@@ -107,22 +107,46 @@ def regime_coefficients(absolute: DataFrame, relative: DataFrame, by: list[str],
     return b.join(r, by, "full_outer").withColumns({c: F.when(many, F.col(c)) for c in ("exponent", "coefficient")})
 
 
-def separation_memory(points: DataFrame, by: list[str], windows: list[tuple[str, float, float]], bins: int, spread: int = 1) -> DataFrame:
+def _gram(series: DataFrame, by: list[str], first_h: float, pairs_per_block: int) -> DataFrame:
+    """``by…, t, s, n, d, pairs``: sums over pairs of r(t)·r(s) and r(t)² and their number, for s ≤ t and t ≥ ``first_h``.
+
+    ``series``: by, pair, age_h, r. Pairs are dealt into blocks; a block is a matrix of pairs by times, its sums
+    are matrix products, and only they are shuffled.
+    """
+    n_blocks = max(1, -(-series.select(*by, "pair").distinct().count() // pairs_per_block))
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in by)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pd.factorize(pdf["pair"])[0]
+        ages, col = np.unique(pdf["age_h"].to_numpy(), return_inverse=True)
+        r, here = np.zeros((row.max() + 1, len(ages))), np.zeros((row.max() + 1, len(ages)))
+        r[row, col], here[row, col] = pdf["r"].to_numpy(), 1.0
+        late = np.flatnonzero(ages >= first_h)
+        count = here[:, late].T @ here
+        t, s = np.nonzero((count > 0) & (np.arange(len(ages))[None, :] <= late[:, None]))
+        out = pd.DataFrame({"t": ages[late[t]], "s": ages[s], "n": (r[:, late].T @ r)[t, s], "d": ((r * r)[:, late].T @ here)[t, s], "pairs": count[t, s].astype(np.int64)})
+        for i, c in enumerate(by):
+            out.insert(i, c, pdf[c].iloc[0])
+        return out
+
+    blocks = series.withColumn("__block", F.pmod(F.xxhash64("pair"), F.lit(n_blocks)))
+    sums = blocks.groupBy(*by, "__block").applyInPandas(products, f"{kinds}, t double, s double, n double, d double, pairs long")
+    return sums.groupBy(*by, "t", "s").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("pairs").alias("pairs"))
+
+
+def separation_memory(points: DataFrame, by: list[str], windows: list[tuple[str, float, float]], bins: int, spread: int = 1, pairs_per_block: int = 512) -> DataFrame:
     """Correlation of current and past separations of all pairs, binned by lag over age.
 
-    Only target times inside the windows (days) are joined to the past of their pair; sums over
-    pairs are formed per (target, past) before anything is binned.
+    Targets are the times inside the windows (days); the sums over pairs for every target and past
+    time are triangular matrix products of blocks of pairs (:func:`_gram`).
     """
-    rows = points.where("x_m IS NOT NULL AND y_m IS NOT NULL AND age_h >= 0").select(*by, "time", "age_h", KEY, "x_m", "y_m")
+    rows = points.where("x_m IS NOT NULL AND y_m IS NOT NULL AND age_h >= 0").where(F.col("age_h") / 24 < max(b for _, _, b in windows)).select(*by, "time", "age_h", KEY, "x_m", "y_m")
     p = frames.salted_pairs(rows, [*by, "time", "age_h"], KEY, spread=spread)
-    p = frames.cut(p.select(*by, P1, P2, "age_h", F.hypot(F.col("x_m_2") - F.col("x_m_1"), F.col("y_m_2") - F.col("y_m_1")).alias("r")))
+    p = frames.cut(p.select(*by, F.xxhash64(P1, P2).alias("pair"), "age_h", F.hypot(F.col("x_m_2") - F.col("x_m_1"), F.col("y_m_2") - F.col("y_m_1")).alias("r")))
     table = F.array(*[F.struct(F.lit(n).alias("group"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for n, a, b in windows])
-    now = p.withColumn("__g", F.explode(F.filter(table, lambda w: (F.col("age_h") / 24 >= w["a"]) & (F.col("age_h") / 24 < w["b"]))))
-    now = now.select(*by, P1, P2, F.col("__g.group").alias("group"), F.col("age_h").alias("t"), F.col("r").alias("rt"))
-    past = p.withColumnsRenamed({"age_h": "s", "r": "rs"})
-    j = now.join(past, [*by, P1, P2]).where(F.col("s") <= F.col("t"))
-    c = j.groupBy(*by, "group", "t", "s").agg(F.sum(F.col("rt") * F.col("rs")).alias("n"), F.sum(F.col("rt") * F.col("rt")).alias("d"), F.count(F.lit(1)).alias("pairs"))
-    c = c.where("d > 0").withColumns({"correlation": F.col("n") / F.col("d"), "lag": (F.col("s") - F.col("t")) / F.col("t")})
+    c = _gram(p, by, 24 * min(a for _, a, _ in windows), pairs_per_block).where("d > 0")
+    c = c.withColumn("__g", F.explode(F.filter(table, lambda w: (F.col("t") / 24 >= w["a"]) & (F.col("t") / 24 < w["b"])))).withColumn("group", F.col("__g.group")).drop("__g")
+    c = c.withColumns({"correlation": F.col("n") / F.col("d"), "lag": (F.col("s") - F.col("t")) / F.col("t")})
     at = F.least(F.floor((F.col("lag") + 1) * bins), F.lit(bins - 1)).cast("int")
     c = c.withColumn("bin", at)
     got = c.groupBy(*by, "group", "bin").agg(
