@@ -504,7 +504,14 @@ def _(spark, sf):
     return s.select("cluster_id", us("time").alias("t_us"), *[rnd(c, 3).alias(c) for c in ("cx", "major_m", "gyration_m", "centroid_displacement_m")])
 
 
-@query("cs04_hull_area")
+@query("cs04_hull_area", f"""WITH {PTS}, q AS (SELECT cluster_id, t, count(*) AS n FROM pts GROUP BY 1, 2), u AS (SELECT DISTINCT cluster_id, t, x, y FROM pts),
+e AS (SELECT a.cluster_id, a.t, a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy FROM u a JOIN u b ON a.cluster_id = b.cluster_id AND a.t = b.t AND (a.x <> b.x OR a.y <> b.y)),
+k AS (SELECT e.cluster_id, e.t, ax, ay, qx, qy, min((qx - ax)*(c.y - ay) - (qy - ay)*(c.x - ax)) AS side, max(CASE WHEN (qx - ax)*(c.y - ay) - (qy - ay)*(c.x - ax) = 0 THEN pow(c.x - ax, 2) + pow(c.y - ay, 2) END) AS far,
+  max(CASE WHEN (qx - ax)*(c.y - ay) - (qy - ay)*(c.x - ax) = 0 THEN -((c.x - ax)*(qx - ax) + (c.y - ay)*(qy - ay)) END) AS back FROM e JOIN u c ON c.cluster_id = e.cluster_id AND c.t = e.t GROUP BY ALL),
+h AS (SELECT cluster_id, t, sum((ax - mx)*(qy - my) - (ay - my)*(qx - mx))/2 AS area, count(*) AS edges FROM k JOIN (SELECT cluster_id, t, min(x) AS mx, min(y) AS my FROM u GROUP BY 1, 2) USING (cluster_id, t)
+  WHERE side >= 0 AND far <= pow(qx - ax, 2) + pow(qy - ay, 2) AND back <= 0 GROUP BY 1, 2),
+r AS (SELECT q.*, CASE WHEN edges > 2 AND area > 0 THEN area END AS a FROM q LEFT JOIN h USING (cluster_id, t))
+SELECT cluster_id, t AS t_us, n, round(a, 2) AS hull_m2, round(a/(arg_min(a, t) FILTER (a IS NOT NULL) OVER (PARTITION BY cluster_id)), 5) AS hull_ratio FROM r""")
 def _(spark, sf):
     h = clusters.hull_area(points(spark, sf))
     return h.select("cluster_id", us("time").alias("t_us"), "n", rnd("hull_m2", 2).alias("hull_m2"), rnd("hull_ratio", 5).alias("hull_ratio"))

@@ -73,38 +73,76 @@ def centroid_displacement(shape: DataFrame, group=GROUP) -> DataFrame:
         "centroid_displacement_m", F.hypot(F.col("cx") - F.col("__f.cx"), F.col("cy") - F.col("__f.cy"))).drop("__f")
 
 
-def hull_area(points: DataFrame, group=GROUP) -> DataFrame:
+#: Directions of the extreme points that bound the inside of a cluster, in turn.
+COMPASS = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+HULL_ROWS = 4096
+
+
+def _ring(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in turn (fewer than three where the points lie on a line)."""
+    pts = sorted(set(zip(x.tolist(), y.tolist())))
+
+    def side(seq):
+        out = []
+        for q in seq:
+            while len(out) >= 2 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(side(pts) + side(pts[::-1]) if len(pts) > 2 else pts).reshape(-1, 2)
+
+
+def outer_points(points: DataFrame, g: list[str]) -> DataFrame:
+    """Points that can be corners of the hull of their group, with its number of points ``n``.
+
+    The extreme points in eight directions span a polygon inside the hull; what lies strictly inside of
+    it is dropped. They are aggregates, so a large group is reduced before it is shuffled.
+    """
+    p = F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y"))
+    ends = points.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), *[F.max_by(p, F.struct(F.lit(i) * F.col("x_m") + F.lit(j) * F.col("y_m"), p)).alias(f"__e{k}") for k, (i, j) in enumerate(COMPASS)])
+    j = points.join(ends, g)
+    inside = F.lit(True)
+    for k in range(len(COMPASS)):
+        a, b = F.col(f"__e{k}"), F.col(f"__e{(k + 1) % len(COMPASS)}")
+        turn = (b["x"] - a["x"]) * (F.col("y_m") - a["y"]) - (b["y"] - a["y"]) * (F.col("x_m") - a["x"])
+        inside &= (a == b) | (turn > 0)
+    flat = F.size(F.array_distinct(F.array(*[F.col(f"__e{k}") for k in range(len(COMPASS))]))) < 3
+    return j.where(flat | ~inside).drop(*[f"__e{k}" for k in range(len(COMPASS))])
+
+
+def hull_area(points: DataFrame, group=GROUP, rows: int = HULL_ROWS) -> DataFrame:
     """Area of the convex hull per (cluster, time) and its ratio to the cluster's first finite hull.
 
-    A group holds the members of one cluster at one time; many groups share a call.
+    Inner points go first (:func:`outer_points`). A cluster that still has more than ``rows`` points at one time is
+    cut into shares by hash; the hull of the corners of their hulls is its hull, so no task holds it whole.
     """
     g = [*group, "time"]
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    types = ", ".join(f"{c} {kinds[c]}" for c in g)
+    outer = frames.cut(outer_points(points.select(*g, "x_m", "y_m").where("x_m IS NOT NULL AND y_m IS NOT NULL"), g))
+    left = outer.groupBy(*g).agg(F.count(F.lit(1)).alias("__left"))
+    outer = outer.join(left, g)
+    crowded = outer.where(F.col("__left") > rows).withColumn("__share", F.pmod(F.xxhash64("x_m", "y_m"), F.ceil(F.col("__left") / rows)))
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = _ring(pdf["x_m"].to_numpy(), pdf["y_m"].to_numpy())
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in (*g, "n")}, "x_m": ring[:, 0], "y_m": ring[:, 1]})
+
+    some = crowded.groupBy(*g, "__share").applyInPandas(corners, f"{types}, n long, x_m double, y_m double")
+    whole = outer.where(F.col("__left") <= rows).select(*g, "n", "x_m", "y_m").unionByName(some.select(*g, "n", "x_m", "y_m"))
+
+    def areas_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for key, part in pdf.groupby(g, sort=False):
-            pts = sorted(set(zip(part["x_m"], part["y_m"])))
-            area = 0.0
-            if len(pts) >= 3:
-                def chain(seq):
-                    out = []
-                    for q in seq:
-                        while len(out) >= 2 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                            out.pop()
-                        out.append(q)
-                    return out[:-1]
-
-                ring = np.array(chain(pts) + chain(pts[::-1]))
-                x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
-                area = abs(float(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1)))) / 2
-            rows.append((*key, len(part), area if len(pts) >= 3 and area > 0 else None))
-        return pd.DataFrame(rows, columns=[*g, "n", "hull_m2"])
+            ring = _ring(part["x_m"].to_numpy(), part["y_m"].to_numpy())
+            x, y = (ring - ring[0]).T
+            area = abs(float(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1)))) / 2 if len(ring) > 2 else 0.0
+            out.append((*key, part["n"].iloc[0], area if area > 0 else None))
+        return pd.DataFrame(out, columns=[*g, "n", "hull_m2"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in g) + ", n long, hull_m2 double"
     lot = F.floor(F.unix_micros("time") / F.lit(frames.CHUNK_US // 4))
-    areas = points.select(*g, "x_m", "y_m").withColumn("__lot", lot).groupBy(*group, "__lot").applyInPandas(hull, schema)
-    areas = frames.cut(areas)
+    areas = frames.cut(whole.withColumn("__lot", lot).groupBy(*group, "__lot").applyInPandas(areas_of, f"{types}, n long, hull_m2 double"))
     first = areas.where("hull_m2 IS NOT NULL").groupBy(*group).agg(F.min_by("hull_m2", "time").alias("__f"))
     return areas.join(first, list(group), "left").withColumn("hull_ratio", F.col("hull_m2") / F.col("__f")).drop("__f")
 
