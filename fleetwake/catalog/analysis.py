@@ -52,9 +52,9 @@ def _(spark, sf):
 
 @query("ep04_moments", f"""WITH {EP}, m AS (SELECT array_id, bin, avg(dul) AS m FROM eb GROUP BY 1, 2)
 SELECT array_id, bin, round(any_value(m)*1e6, 4) + 0.0 AS mean_um, round(avg(dul*dul)*1e9, 4) AS raw2_e9, round(avg((dul-m)*(dul-m))*1e9, 4) AS var_e9,
- round(avg(pow(dul-m,3))/pow(avg((dul-m)*(dul-m)),1.5), 4) + 0.0 AS skew, round(avg(pow(dul-m,4))/pow(avg((dul-m)*(dul-m)),2), 4) AS flat FROM eb JOIN m USING (array_id, bin) GROUP BY 1, 2 HAVING count(*) > 5""")
+ CASE WHEN avg((dul-m)*(dul-m)) > 0 THEN round(avg(pow(dul-m,3))/pow(avg((dul-m)*(dul-m)),1.5), 4) + 0.0 END AS skew, CASE WHEN avg((dul-m)*(dul-m)) > 0 THEN round(avg(pow(dul-m,4))/pow(avg((dul-m)*(dul-m)),2), 4) END AS flat FROM eb JOIN m USING (array_id, bin) GROUP BY 1, 2""")
 def _(spark, sf):
-    m = thirdorder.moments(thirdorder.binned(observed(spark, sf), EDGES), ["array_id", "bin"], "dul", "dul").where("n_dul > 5")
+    m = thirdorder.moments(thirdorder.binned(observed(spark, sf), EDGES), ["array_id", "bin"], "dul", "dul")
     return m.select("array_id", "bin", rnd(F.col("mean_dul") * 1e6, 4).alias("mean_um"), rnd(F.col("raw2_dul") * 1e9, 4).alias("raw2_e9"),
                     rnd(F.col("var_dul") * 1e9, 4).alias("var_e9"), rnd("skew_dul", 4).alias("skew"), rnd("flat_dul", 4).alias("flat"))
 
@@ -319,12 +319,12 @@ def _(spark, sf):
     return s.select("scope", "array_id", "cluster_id", "shell", "reached", "at_risk", rnd("fsle", 5).alias("fsle"), rnd("fsle_se", 4).alias("fsle_se"), rnd("median_days", 5).alias("median_days"))
 
 
-@query("fs08_power_fits", f"""WITH {SPEC}, e AS (SELECT scope, array_id, cluster_id, ln(fsle/86400) + 2/3.0*ln(lo*1000) AS v FROM spx WHERE reached >= 3 AND fsle > 0 AND lo >= 2*(1-1e-12) AND hi <= 16*(1+1e-12))
-SELECT scope, array_id, count(*) AS shells, CASE WHEN count(*) >= 2 THEN round(avg(v), 5) END AS log_a, CASE WHEN count(*) >= 2 THEN round(sqrt(var_pop(v)), 5) END AS log_rmse FROM e WHERE scope = 'pooled' GROUP BY 1, 2""")
+@query("fs08_power_fits", f"""WITH {SPEC}, e AS (SELECT scope, array_id, cluster_id, CASE WHEN reached >= 3 AND fsle > 0 AND lo >= 2*(1-1e-12) AND hi <= 16*(1+1e-12) THEN ln(fsle/86400) + 2/3.0*ln(lo*1000) END AS v FROM spx)
+SELECT scope, array_id, count(v) AS shells, CASE WHEN count(v) >= 2 THEN round(avg(v), 5) END AS log_a, CASE WHEN count(v) >= 2 THEN round(sqrt(var_pop(v)), 5) END AS log_rmse FROM e WHERE scope = 'pooled' GROUP BY 1, 2""")
 def _(spark, sf):
     p = frames.cut(passage.first_passages(distances(spark, sf), FE, 21600, FK))
     f = passage.power_fits(passage.spectrum(p, FE, SETS[:1]), [("richardson", -2 / 3, 2.0, 16.0)], ["scope", "array_id"])
-    return f.where("shells > 0").select("scope", "array_id", "shells", rnd(F.log("coefficient"), 5).alias("log_a"), rnd("log_rmse", 5).alias("log_rmse"))
+    return f.select("scope", "array_id", "shells", rnd(F.log("coefficient"), 5).alias("log_a"), rnd("log_rmse", 5).alias("log_rmse"))
 
 
 @query("fs09_cluster_inventory", f"""WITH {PICK}, n AS (SELECT user_id // 5 AS cluster_id, count(DISTINCT user_id) AS members FROM events GROUP BY 1),
@@ -426,20 +426,21 @@ def _(spark, sf):
     return g.select("array_id", "bin", rnd("amplitude", 4).alias("amplitude"), rnd("location", 4).alias("location"), rnd("width", 4).alias("width"), "status")
 
 
-@query("pj08_structure_functions", f"""WITH {EP} SELECT array_id, bin, round(avg(dul*dul)*1e9, 4) AS s2_e9, round(avg(c)*1e12, 4) + 0.0 AS s3_e12, round(avg(dul*dut*dut)*1e12, 4) + 0.0 AS mixed_e12, round(-(avg(c) + avg(dul*dut*dut))/(2*avg(r))*1e15, 3) + 0.0 AS epsilon_mixed_e15 FROM eb GROUP BY 1, 2""")
+@query("pj08_structure_functions", f"""WITH {EP} SELECT array_id, bin, round(avg(dul*dul)*1e9, 4) AS s2_e9, round(avg(c)*1e12, 4) + 0.0 AS s3_e12, round(avg(dul*dut*dut)*1e12, 4) + 0.0 AS mixed_e12, round(-(avg(c) + avg(dul*dut*dut))/(2*avg(r))*1e15, 3) + 0.0 AS epsilon_mixed_e15 FROM {_DENSE} LEFT JOIN eb USING (array_id, bin) GROUP BY 1, 2""")
 def _(spark, sf):
-    o = observed(spark, sf).where("r_m > 0")
-    s = dispersion.structure_functions(thirdorder.separation_bins(o, EDGES, BY), o, EDGES, BY).where("observations > 0")
+    m = moving(spark, sf)
+    o = paired(m).where("r_m > 0")
+    s = dispersion.structure_functions(thirdorder.separation_bins(o, EDGES, BY, groups=pairs.possible_pairs(m)), o, EDGES, BY)
     return s.select("array_id", "bin", rnd(F.col("s2") * 1e9, 4).alias("s2_e9"), rnd(F.col("s3") * 1e12, 4).alias("s3_e12"), rnd(F.col("mixed") * 1e12, 4).alias("mixed_e12"), rnd(F.col("epsilon_mixed") * 1e15, 3).alias("epsilon_mixed_e15"))
 
 
 @query("pj09_scaling_fits", f"""WITH {EP}, pf AS (SELECT array_id, bin, count(DISTINCT p) AS pf FROM (SELECT array_id, bin, unnest([p1, p2]) AS p FROM eb) GROUP BY 1, 2),
 s AS (SELECT array_id, bin, ln(avg(r)) AS x, ln(avg(dul*dul)) AS y FROM eb JOIN pf USING (array_id, bin) GROUP BY 1, 2 HAVING count(*) >= 12 AND count(DISTINCT pair_id) >= 3 AND any_value(pf) >= 3 AND count(DISTINCT t) >= 12 AND avg(r) BETWEEN 1000 AND 35000)
-SELECT array_id, count(*) AS bins, round(regr_slope(y, x), 5) + 0.0 AS exponent, round(sqrt(greatest(0, regr_syy(y, x) - pow(regr_sxy(y, x), 2)/regr_sxx(y, x))/(count(*) - 2)/regr_sxx(y, x)), 5) AS exponent_se FROM s GROUP BY 1 HAVING count(*) >= 3""")
+SELECT array_id, count(*) AS bins, CASE WHEN count(*) >= 3 THEN round(regr_slope(y, x), 5) + 0.0 END AS exponent, CASE WHEN count(*) >= 3 THEN round(sqrt(greatest(0, regr_syy(y, x) - pow(regr_sxy(y, x), 2)/nullif(regr_sxx(y, x), 0))/nullif(count(*) - 2, 0)/nullif(regr_sxx(y, x), 0)), 5) END AS exponent_se FROM s GROUP BY 1""")
 def _(spark, sf):
     o = observed(spark, sf).where("r_m > 0")
     s = dispersion.structure_functions(thirdorder.separation_bins(o, EDGES, BY), o, EDGES, BY)
-    f = dispersion.scaling_fits(s, BY, 1000.0, 35000.0).where("bins >= 3")
+    f = dispersion.scaling_fits(s, BY, 1000.0, 35000.0)
     return f.select("array_id", "bins", rnd("exponent", 5).alias("exponent"), rnd("exponent_se", 5).alias("exponent_se"))
 
 
