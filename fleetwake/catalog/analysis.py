@@ -156,7 +156,14 @@ def _(spark, sf):
                     rnd(F.col("absolute_sum") * 1e9, 3).alias("absolute_e9"), "leading_pair")
 
 
-@query("ep16_influence_audit")
+@query("ep16_influence_audit", f"""WITH {LOPO}, s AS (SELECT array_id, bin, -1.25*sum(c)/sum(r) AS e, coalesce(max(abs(c))/nullif(sum(abs(c)), 0), 0) AS xf, CASE WHEN count(*) > 1 THEN -1.25*(sum(c) - arg_max(c, abs(c)))/nullif(sum(r) - arg_max(r, abs(c)), 0) END AS we,
+  count(*) >= 12 AND count(DISTINCT pair_id) >= 3 AND count(DISTINCT t) >= 12 AS enough FROM eb GROUP BY 1, 2),
+m AS (SELECT array_id, bin, count(DISTINCT p) >= 3 AS several FROM pl0 GROUP BY 1, 2),
+d AS (SELECT array_id, bin, count(e) AS removals, count_if(sign(e) <> sign(base) AND e <> 0 AND base <> 0) AS reversals, max(abs(e - base))/abs(any_value(base)) AS mr FROM lo JOIN b0 USING (array_id, bin) GROUP BY 1, 2)
+SELECT array_id, bin, CASE WHEN NOT (enough AND several) THEN 'low_support' WHEN we > 0 AND reversals > 0 THEN 'event_and_platform_sign_sensitive' WHEN we > 0 THEN 'event_sign_sensitive' WHEN reversals > 0 THEN 'platform_sign_sensitive'
+  WHEN xf >= 0.1 AND mr >= 0.5 THEN 'observation_and_platform_concentrated' WHEN xf >= 0.1 THEN 'observation_concentrated' WHEN mr >= 0.5 THEN 'platform_sensitive_without_sign_reversal'
+  WHEN we IS NOT NULL AND removals > 0 THEN 'persistent_negative_under_tested_removals' ELSE 'influence_test_incomplete' END AS classification, removals, reversals
+FROM s JOIN m USING (array_id, bin) LEFT JOIN d USING (array_id, bin) WHERE e < 0 AND (bin + 0.5)*4000 <= 30000""")
 def _(spark, sf):
     o = observed(spark, sf)
     s = frames.cut(thirdorder.separation_bins(o, EDGES, BY))
