@@ -173,12 +173,40 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("platform_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
-@query("op9_minhash_near_duplicates")
+@query(
+    "op9_minhash_near_duplicates",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, MIN(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+""",
+)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(deployments(spark, sf), shingle=4).withColumnRenamed("platform_id", "doc_id")
 
 
-@query("op5_doubling_substring_dedup")
+@query(
+    "op5_doubling_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, MIN(doc_id) AS first FROM v GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM v JOIN f USING (k) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM t ANTI JOIN c USING (doc_id, j) GROUP BY doc_id),
+m AS (SELECT doc_id, COUNT(*) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(deployments(spark, sf)).withColumnRenamed("platform_id", "doc_id")
 
