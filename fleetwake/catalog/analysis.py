@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetwake.catalog.base import query, rnd, us
 from fleetwake.catalog.gridded import GRID, MOVE, PAIRS, cells as grid_cells, fixes, moving, plane
-from fleetwake.catalog.inputs import OBS, events, geodesic
+from fleetwake.catalog.inputs import OBS, destination, events, geodesic
 from fleetwake.functions import bins
 from fleetwake.operators import affine, audit, dispersion, frames, grid, pairs, passage, raster, spatial, thirdorder
 
@@ -213,7 +213,10 @@ def _(spark, sf):
     return part.withColumn("fraction", rnd("fraction"))
 
 
-@query("sp06_cell_extent")
+@query("sp06_cell_extent", f"""WITH {SP}, cq AS (SELECT DISTINCT array_id, win, band, cx, cy, z FROM sc),
+co AS (SELECT array_id, 130.0 AS lo0, 20.0 AS la0, degrees(atan2((cx + i)*z, (cy + j)*z)) AS az, sqrt(pow((cx + i)*z, 2) + pow((cy + j)*z, 2)) AS dist FROM cq, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+{destination("co")}, ex AS (SELECT array_id, min(lo) AS w, max(lo) AS e, min(la) AS s, max(la) AS n FROM dst GROUP BY 1)
+SELECT array_id, round(w - (e - w)*0.05, 5) AS west, round(e + (e - w)*0.05, 5) AS east, round(s - (n - s)*0.05, 5) AS south, round(n + (n - s)*0.05, 5) AS north FROM ex""")
 def _(spark, sf):
     _, o = _spatial(spark, sf)
     c, _ = spatial.cells(o, SPW, BANDS, BY)

@@ -103,3 +103,24 @@ def geodesic(source: str, out: str = "geo", steps: int = 8) -> str:
     delta = f"({big_b}*ss*(cm + {big_b}/4*(cs*(2*cm*cm - 1) - {big_b}/6*cm*(4*ss*ss - 3)*(4*cm*cm - 3))))"
     ctes.append(f"{out} AS MATERIALIZED (SELECT * EXCLUDE ({drop}, lam, sp, u1, u2, q), {minor}*(1 + q/16384*(4096 + q*(-768 + q*(320 - 175*q))))*(sg - {delta}) AS s, degrees(atan2(e, n)) AS az FROM {out}_u)")
     return ",\n".join(ctes)
+
+
+def destination(source: str, out: str = "dst", steps: int = 5) -> str:
+    """CTEs from ``source`` with lo0, la0, az (degrees), dist (metres) to ``out`` with lo, la: the end of that geodesic."""
+    flat = "(1 - 1/298.257223563)"
+    minor = f"(6378137.0*{flat})"
+    big_a = "(1 + q/16384*(4096 + q*(-768 + q*(320 - 175*q))))"
+    big_b = "(q/1024*(256 + q*(-128 + q*(74 - 47*q))))"
+    delta = f"({big_b}*sin(sg)*(cos(m1 + sg) + {big_b}/4*(cos(sg)*(2*pow(cos(m1 + sg), 2) - 1) - {big_b}/6*cos(m1 + sg)*(4*pow(sin(sg), 2) - 3)*(4*pow(cos(m1 + sg), 2) - 3))))"
+    ctes = [
+        f"{out}_a AS (SELECT *, atan({flat}*tan(radians(la0))) AS u1, sin(radians(az)) AS s1, cos(radians(az)) AS c1 FROM {source})",
+        f"{out}_b AS (SELECT *, 2*atan2(tan(u1), c1) AS m1, cos(u1)*s1 AS sa, (1 - pow(cos(u1)*s1, 2))*(6378137.0*6378137.0 - {minor}*{minor})/({minor}*{minor}) AS q FROM {out}_a)",
+        f"{out}_0 AS (SELECT *, dist/({minor}*{big_a}) AS base, dist/({minor}*{big_a}) AS sg FROM {out}_b)",
+    ]
+    for i in range(steps):
+        ctes.append(f"{out}_{i + 1} AS (SELECT * REPLACE (base + {delta} AS sg) FROM {out}_{i})")
+    c = "(1/298.257223563/16*(1 - sa*sa)*(4 + 1/298.257223563*(4 - 3*(1 - sa*sa))))"
+    turn = (f"atan2(sin(sg)*s1, cos(u1)*cos(sg) - sin(u1)*sin(sg)*c1) - (1 - {c})/298.257223563*sa*(sg + {c}*sin(sg)*(cos(m1 + sg) + {c}*cos(sg)*(2*pow(cos(m1 + sg), 2) - 1)))")
+    ctes.append(f"{out} AS (SELECT * EXCLUDE (u1, s1, c1, m1, sa, q, base, sg), lo0 + degrees({turn}) AS lo, "
+                f"degrees(atan2(sin(u1)*cos(sg) + cos(u1)*sin(sg)*c1, {flat}*sqrt(sa*sa + pow(sin(u1)*sin(sg) - cos(u1)*cos(sg)*c1, 2)))) AS la FROM {out}_{steps})")
+    return ",\n".join(ctes)
