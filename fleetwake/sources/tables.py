@@ -259,7 +259,7 @@ def select_ids(df: DataFrame, column: str, wanted, platforms: DataFrame) -> tupl
     spark = df.sparkSession
     asked = spark.createDataFrame([(w,) for w in wanted], T.StructType([T.StructField(column, kind)]))
     unknown = asked.join(platforms.select(column).distinct(), column, "left_anti")
-    return df.where(F.col(column).isin(list(wanted))), unknown
+    return df.join(asked.distinct(), column, "left_semi"), unknown
 
 
 def array_view(grid: DataFrame, *, start=None, end=None, reference=None, category: str | None = None) -> DataFrame:
